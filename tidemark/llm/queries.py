@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, reshard, secrets, urls
+from . import chat, katz, packing, quality, reshard, secrets, substrings, urls
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -65,6 +65,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Today's shards: documents by their source, as uneven as sources are."""
     docs = _read(spark, sf_dir, "documents")
@@ -109,6 +113,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def url_entries(pages: DataFrame) -> DataFrame:
     """Dated list entries that follow from the pages' hosts: every third host is listed at some day,
     most of these are taken off later, and some come back; half of the entries name the parent."""
@@ -158,9 +166,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
+        "op4_katz": op4_katz,
         "op6_reshard": op6_reshard,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
+        "op9_substrings": op9_substrings,
         "op10_url_list": op10_url_list,
     }
 
