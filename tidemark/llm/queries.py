@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, packing, quality, reshard, secrets, substrings, urls
+from . import chat, katz, neardup, packing, quality, reshard, secrets, substrings, urls
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -69,6 +69,10 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(_read(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Today's shards: documents by their source, as uneven as sources are."""
     docs = _read(spark, sf_dir, "documents")
@@ -167,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
         "op4_katz": op4_katz,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_reshard": op6_reshard,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
