@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, neardup, packing, quality, reshard, secrets, substrings, urls
+from . import chat, decontaminate, katz, neardup, packing, quality, reshard, secrets, substrings, urls
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -22,6 +22,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_items", "item_ids", "equal")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -168,6 +172,7 @@ SELECT p.page_id, host, fetched_at, rule IS NOT NULL AS blocked, coalesce(rule,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
         "op4_katz": op4_katz,
