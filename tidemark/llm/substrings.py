@@ -1,15 +1,16 @@
 """Substring dedup by level-wise doubling.
 
-Level 0 finds the windows of `window` words that start in more than one document. Only those go on: a
-window of twice the length is a candidate where both of its halves repeat, and so on until no candidate
-survives. Words covered by a window of level 0 that also starts in a document with a smaller doc_id are
-removed; the later levels say how long the repeats are (`longest`: the greatest length window * 2^k of
-which a window starts in another document too; 0: none).
-
-Windows are judged on the input, not on what is left. Defined cases: null or empty text: no words;
-fewer words than a window: nothing removed; null doc_id: after all others; rows with one doc_id don't
-remove from each other; repeated rows: each gets its own result; empty table: no rows; other columns
-are ignored.
+The first level finds half windows that start in more than one document; only windows over such a half
+go on to twice the length, where they are compared in full, and no longer windows are asked for, as
+`window` is the length that decides. On the first level a window is represented by one of its halves,
+the one with the least hash: equal windows pick the same half, so nothing is missed, and a quarter of all
+halves is asked for instead of each. Where no half repeats, the text asks nothing on the next level.
+
+A word goes if it is covered by a window whose word sequence also starts in a document with a smaller
+doc_id. Windows are judged on the input, not on what is left. Defined cases: null or empty text: no
+words; fewer words than a window: nothing removed; null doc_id: after all others; rows with one doc_id
+don't remove from each other; repeated rows: each gets its own result; empty table: no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,190 +21,169 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import chunks as C
 from .common import store
-from .shingles import hash_words, join, mix, split, windows
+from .shingles import hash_words, mix, split, windows
 
 LAST = np.iinfo(np.int64).max
 ASK = "part int, chunk string, ids binary, counts binary, keys binary"
-REPLY = "chunk string, part int, bits binary"
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, row_key string, starts array<int>, hashes array<long>"
+REPLY = "level int, chunk string, part int, bits binary"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
-_REPLY = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("bits", pa.binary())])
-_RESULT = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("row_key", pa.string()), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))]
-)
+_REPLY = pa.schema([("level", pa.int32()), ("chunk", pa.string()), ("part", pa.int32()), ("bits", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _windows(texts: list[bytes], k: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    words = [split(t, lower=False) for t in texts]
-    return words, [windows(hash_words(w), k) for w in words]
+class Question:
+    """The distinct keys of a chunk, in the order of their first occurrence, each with the document of
+    that occurrence; the occurrences are at `doc`, ordered as the documents are (by doc_id)."""
 
+    def __init__(self, keys: np.ndarray, doc: np.ndarray, sent: np.ndarray, parts: int):
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.empty(0, bool)
+        heads = order[new]
+        by_place = np.argsort(heads)
+        rank = np.empty(len(heads), np.int64)
+        rank[by_place] = np.arange(len(heads))
+        self.mine = np.empty(len(keys), np.int64)
+        self.mine[order] = rank[np.cumsum(new) - 1]
+        heads = heads[by_place]
+        self.keys, self.doc, self.sent = keys[heads], doc[heads], sent
+        self.part = np.searchsorted(C.part_bounds(parts), self.keys, side="right")
+        #: Occurrences in a greater document than the first one here.
+        self.behind = sent[doc] > sent[self.doc[self.mine]]
+
+    def blobs(self, chunk: str) -> Iterator[dict]:
+        order = np.argsort(self.part, kind="stable")
+        ends = np.searchsorted(self.part[order], np.arange(int(self.part.max(initial=0)) + 2))
+        for p in np.flatnonzero(np.diff(ends)):
+            own = order[ends[p] : ends[p + 1]]
+            counts = np.bincount(self.doc[own], minlength=len(self.sent)).astype(np.int32)
+            has = np.flatnonzero(counts)
+            yield {"part": int(p), "chunk": chunk, "ids": C.planes(np.diff(self.sent[has], prepend=0)), "counts": C.planes(counts[has]), "keys": C.pack_keys(self.keys[own])}
+
+    def told(self, replies: dict[int, bytes]) -> np.ndarray:
+        """The replies' bits, by distinct key."""
+        out = np.zeros(len(self.keys), bool)
+        for p in np.unique(self.part):
+            own = np.flatnonzero(self.part == p)
+            out[own] = np.unpackbits(np.frombuffer(replies[int(p)], np.uint8), count=len(own)).astype(bool)
+        return out
+
+
+class Texts:
+    """A chunk's words, and its windows and their representative halves."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes], window: int):
+        self.words = [split(t, lower=False) for t in texts]
+        self.sent = np.array([LAST if i is None else i for i in ids], np.int64)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        doc = np.repeat(np.arange(len(ids)), self.size)
+        flat = hash_words([w for own in self.words for w in own])
+        full = windows(flat, window)
+        inside = doc[: len(full)] == doc[window - 1 : window - 1 + len(full)]
+        self.at = np.flatnonzero(inside)  # where a window starts
+        self.full, self.doc = full[self.at], doc[self.at]
+        half = -(-window // 2)
+        halves = mix(windows(flat, half))
+        least, self.pick = halves[self.at], self.at.copy()
+        for step in range(1, window - half + 1):
+            other = halves[self.at + step]
+            lower = other < least
+            least = np.where(lower, other, least)
+            self.pick[lower] = self.at[lower] + step
+        places = np.unique(self.pick)
+        self.of = np.searchsorted(places, self.pick)
+        self.halves, self.half_doc = halves[places], doc[places]
+
+
+def _chunk(table: pa.Table | pa.RecordBatch, row: int, window: int) -> tuple[list[int | None], Texts]:
+    ids, texts = C.unpack(*(table.column(c)[row].as_py() for c in ("ids", "sizes", "texts")))
+    return ids, Texts(ids, texts, window)
+
+
+def _by_level(replies: pa.Table, chunk: str) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
+    for level, name, part, bits in zip(*(replies.column(c).to_pylist() for c in ("level", "chunk", "part", "bits"))):
+        if name == chunk:
+            out[level][part] = bits
+    return out
+
+
+def _answer(level: int):
+    """Per key: on level 1 whether two documents hold it, on level 2 whether a smaller document does."""
 
-def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the first occurrence of each key, in order, and for each occurrence the rank of its
-    first one among these."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.empty(0, bool)
-    heads = order[new]
-    rank = np.empty(len(heads), np.int64)
-    by_place = np.argsort(heads)
-    rank[by_place] = np.arange(len(heads))
-    mine = np.empty(len(keys), np.int64)
-    mine[order] = rank[np.cumsum(new) - 1] if len(keys) else 0
-    return heads[by_place], mine, order
-
-
-def _routes(keys: np.ndarray, parts: int) -> np.ndarray:
-    return np.searchsorted(C.part_bounds(parts), keys, side="right").astype(np.int32)
-
+    def answer(asked: pa.Table) -> pa.Table:
+        blobs = asked.column("keys").to_pylist()
+        keys = np.concatenate([C.unpack_keys(b) for b in blobs])
+        doc = np.concatenate([np.repeat(np.cumsum(C.unplanes(i, np.int64)), C.unplanes(c, np.int32)) for i, c in zip(asked.column("ids").to_pylist(), asked.column("counts").to_pylist())])
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+        least = np.minimum.reduceat(doc[order], heads)
+        yes = np.empty(len(keys), bool)
+        yes[order] = (least < np.maximum.reduceat(doc[order], heads))[group] if level == 1 else least[group] < doc[order]
+        ends = np.cumsum([len(b) // 7 for b in blobs])
+        bits = [np.packbits(x).tobytes() for x in np.split(yes, ends[:-1])]
+        n = asked.num_rows
+        return pa.table({"level": [level] * n, "chunk": asked.column("chunk"), "part": asked.column("part"), "bits": bits}, schema=_REPLY)
 
-def _layout(texts: list[bytes], k: int, parts: int):
-    """What a chunk asks, and how the replies map back: words per document, windows per document,
-    rank of each window's first occurrence, keys, document and part of the first occurrences."""
-    words, hashed = _windows(texts, k)
-    lengths = np.array([len(h) for h in hashed], np.int64)
-    raw = np.concatenate(hashed) if hashed else np.empty(0, np.uint64)
-    keys = mix(raw)
-    heads, mine, _ = _first(keys)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    return words, raw, lengths, mine, heads, doc, keys[heads], _routes(keys[heads], parts)
+    return answer
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
-    """-> doc_id, n_words, n_removed, kept_sha256, longest."""
+    """-> doc_id, n_words, n_removed, kept_sha256."""
     chunks = C.chunked(docs)
-    parts = C.part_count(chunks, 1.2)
+    parts1, parts2 = C.part_count(chunks, 0.4), C.part_count(chunks, 0.8)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, _, ids, sizes, texts = (batch.column(c)[row].as_py() for c in range(5))
-                ids, texts = C.unpack(ids, sizes, texts)
-                _, _, _, _, heads, doc, keys, part = _layout(texts, window, parts)
-                order, sent = np.argsort(part, kind="stable"), np.array([LAST if i is None else i for i in ids], np.int64)
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(ends)):
-                    own = order[ends[p] : ends[p + 1]]
-                    counts = np.bincount(doc[heads[own]], minlength=len(ids)).astype(np.int32)
-                    has = np.flatnonzero(counts)
-                    yield pa.RecordBatch.from_pydict(
-                        {"part": [int(p)], "chunk": [chunk], "ids": [C.planes(np.diff(sent[has], prepend=0))], "counts": [C.planes(counts[has])], "keys": [C.pack_keys(keys[own])]}, schema=_ASK
-                    )
-
-    def answer(asked: pa.Table) -> pa.Table:
-        names, blobs = asked.column("chunk").to_pylist(), asked.column("keys").to_pylist()
-        keys = np.concatenate([C.unpack_keys(b) for b in blobs])
-        doc = np.concatenate([np.repeat(np.cumsum(C.unplanes(i, np.int64)), C.unplanes(c, np.int32)) for i, c in zip(asked.column("ids").to_pylist(), asked.column("counts").to_pylist())])
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        new = np.r_[True, ordered[1:] != ordered[:-1]]
-        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
-        least, most = np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
-        earlier, shared = np.empty(len(keys), bool), np.empty(len(keys), bool)
-        earlier[order] = least[group] < doc[order]
-        shared[order] = (least < most)[group]
-        part, out, at = asked.column("part")[0].as_py(), [], 0
-        for blob in blobs:
-            n = len(blob) // 7
-            out.append(np.packbits(np.r_[earlier[at : at + n], shared[at : at + n]]).tobytes())
-            at += n
-        return pa.table({"chunk": names, "part": [part] * len(names), "bits": out}, schema=_REPLY)
+                _, t = _chunk(batch, row, window)
+                for blob in Question(t.halves, t.half_doc, t.sent, parts1).blobs(batch.column("chunk")[row].as_py()):
+                    yield pa.RecordBatch.from_pylist([blob], schema=_ASK)
+
+    def candidates(t: Texts, replies: dict[int, bytes]) -> np.ndarray:
+        q = Question(t.halves, t.half_doc, t.sent, parts1)
+        shared = q.told(replies)
+        shared[q.mine[q.behind]] = True
+        return shared[q.mine][t.of]
+
+    def ask_windows(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        for row in range(chunk.num_rows):
+            name, (_, t) = chunk.column("chunk")[row].as_py(), _chunk(chunk, row, window)
+            asked = candidates(t, _by_level(replies, name)[1])
+            out += Question(mix(t.full[asked]), t.doc[asked], t.sent, parts2).blobs(name)
+        return pa.Table.from_pylist(out, schema=_ASK)
 
     def finish(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in _RESULT}
-        bits = dict(zip(replies.column("part").to_pylist(), replies.column("bits").to_pylist()))
         for row in range(chunk.num_rows):
-            ids, texts = C.unpack(*(chunk.column(c)[row].as_py() for c in ("ids", "sizes", "texts")))
-            words, raw, lengths, mine, heads, doc, _, part = _layout(texts, window, parts)
-            earlier, shared = np.zeros(len(heads), bool), np.zeros(len(heads), bool)
-            for p in np.unique(part):
-                own = np.flatnonzero(part == p)
-                both = np.unpackbits(np.frombuffer(bits[int(p)], np.uint8), count=2 * len(own)).astype(bool)
-                earlier[own], shared[own] = both[: len(own)], both[len(own) :]
-            sent = np.array([LAST if i is None else i for i in ids], np.int64)
-            # Earlier: in a smaller document of another chunk than the first one here, or here in a smaller one.
-            behind = sent[doc] > sent[doc[heads[mine]]] if len(mine) else np.empty(0, bool)
-            local = np.zeros(len(heads), bool)
-            local[mine[behind]] = True
-            removed, again = earlier[mine] | behind, (shared | local)[mine]
-            at = 0
-            for i, w, n in zip(ids, words, lengths):
-                own, starts, h = removed[at : at + n], np.flatnonzero(again[at : at + n]), raw[at : at + n]
-                at += n
-                drop, kept = np.zeros(len(w) + 1, np.int32), w
-                if own.any():
-                    drop[: len(own)] += own
-                    drop[window : window + len(own)] -= own[: len(drop) - window]
-                    gone = np.cumsum(drop[:-1]) > 0
-                    kept = [x for x, g in zip(w, gone) if not g]
-                text = b" ".join(kept)
+            name, (ids, t) = chunk.column("chunk")[row].as_py(), _chunk(chunk, row, window)
+            told = _by_level(replies, name)
+            asked = candidates(t, told[1])
+            q = Question(mix(t.full[asked]), t.doc[asked], t.sent, parts2)
+            gone = t.at[asked][q.told(told[2])[q.mine] | q.behind]
+            cover = np.zeros(int(t.size.sum()) + window, np.int32)
+            np.add.at(cover, gone, 1)
+            np.add.at(cover, gone + window, -1)
+            covered = np.cumsum(cover) > 0
+            begin = 0
+            for i, words in zip(ids, t.words):
+                mask = covered[begin : begin + len(words)]
+                begin += len(words)
+                kept = [w for w, g in zip(words, mask) if not g] if mask.any() else words
                 out["doc_id"].append(i)
-                out["n_words"].append(len(w))
-                out["n_removed"].append(len(w) - len(kept))
-                out["kept_sha256"].append(hashlib.sha256(text).hexdigest())
-                out["row_key"].append(hashlib.md5(b" ".join(w)).hexdigest())
-                out["starts"].append(starts.astype(np.int32) if len(starts) else [])
-                out["hashes"].append(h[starts].view(np.int64) if len(starts) else [])
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(kept))
+                out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
         return pa.table(out, schema=_RESULT)
 
-    replies = chunks.mapInArrow(ask, ASK).groupBy("part").applyInArrow(answer, REPLY)
-    found = store(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, RESULT))
-    longest = _double(found, window)
-    best = longest.select(F.col("row_key").alias("_row_key"), "longest", "holders")
-    # Equal texts are one row above; all of a text with two holders repeats.
-    whole = F.floor(F.log2(F.greatest(F.col("n_words") / window, F.lit(1)))).cast("int")
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "row_key").join(best, F.col("row_key") == F.col("_row_key"), "left").select(
-        "doc_id",
-        "n_words",
-        "n_removed",
-        "kept_sha256",
-        F.when(F.col("longest").isNull(), 0).when(F.col("holders"), window * F.pow(F.lit(2), whole)).otherwise(F.col("longest")).cast("long").alias("longest"),
-    )
-
-
-def _double(found: DataFrame, window: int) -> DataFrame:
-    """row_key, longest, holders (the text is in two documents) of the texts with repeats. A level keeps
-    the starts and hashes of a text's surviving windows; the work shrinks from level to level. What is
-    compared are numbers of texts, one per distinct text, so that exact copies take part once."""
-    order_id = F.coalesce("doc_id", F.lit(int(LAST)))
-    texts = store(
-        found.where(F.size("starts") > 0)
-        .groupBy("row_key")
-        .agg((F.min(order_id) < F.max(order_id)).alias("holders"), F.first("starts").alias("starts"), F.first("hashes").alias("hashes"))
-    )
-    level, length = texts.drop("holders"), window
-    reached = texts.select("row_key", F.lit(window).alias("longest"))
-    grown = "row_key string, hash long, start int"
-    fields = pa.schema([("row_key", pa.string()), ("hash", pa.int64()), ("start", pa.int32())])
-
-    def pairs(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for key, s, h in zip(*(batch.column(c) for c in range(3))):
-                    s, h = s.values.to_numpy(), h.values.to_numpy().view(np.uint64)
-                    right = np.searchsorted(s, s + k)
-                    both = (right < len(s)) & (s[np.minimum(right, len(s) - 1)] == s + k)
-                    if both.any():
-                        hashes = join(h[both], h[right[both]], k).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(key, len(hashes)), pa.array(hashes), pa.array(s[both])], schema=fields)
-
-        return run
-
-    while True:
-        candidates = store(level.mapInArrow(pairs(length), grown))
-        length *= 2
-        shared = candidates.groupBy("hash").agg((F.min("row_key") < F.max("row_key")).alias("s")).where("s").select("hash")
-        level = store(
-            candidates.join(shared, "hash", "left_semi")
-            .groupBy("row_key")
-            .agg(F.sort_array(F.collect_list(F.struct("start", "hash"))).alias("_s"))
-            .select("row_key", F.col("_s.start").alias("starts"), F.col("_s.hash").alias("hashes"))
-        )
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level.select("row_key", F.lit(length).alias("longest")))
-    return reached.groupBy("row_key").agg(F.max("longest").alias("longest")).join(texts.select("row_key", "holders"), "row_key")
+    first = store(chunks.mapInArrow(ask_halves, ASK).groupBy("part").applyInArrow(_answer(1), REPLY))
+    asked = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_windows, ASK)
+    second = asked.groupBy("part").applyInArrow(_answer(2), REPLY)
+    return chunks.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(finish, RESULT)
