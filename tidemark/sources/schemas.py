@@ -1,7 +1,7 @@
 """Declared schemas: the union of the places where a field may stand. Nothing is inferred."""
 
 PERSON = "struct<id: string, name: string, displayName: string>"
-META = f"struct<title: string, name: string, subtitle: string, author: string, authorName: string, authors: array<{PERSON}>, narrator: string, narratorName: string, narrators: array<string>, series: string, seriesName: string, sequence: string, seriesSequence: string, isbn: string, isbn_13: string, isbn_10: string, asin: string, ASIN: string, publishedYear: string, publishedDate: string, duration: double, pages: int, finished: boolean>"
+META = f"struct<title: string, name: string, subtitle: string, author: string, authorName: string, authors: array<{PERSON}>, narrator: string, narratorName: string, narrators: array<string>, series: string, seriesName: string, sequence: string, seriesSequence: string, isbn: string, isbn_13: string, isbn_10: string, asin: string, publishedYear: string, publishedDate: string, duration: double, pages: int, finished: boolean>"
 LIBRARY_ITEM = (
     "id string, libraryId string, mediaType string, libraryType string, title string, name string, subtitle string, author string, authors array<" + PERSON + ">, narrator string, isbn string, isbn_13 string, isbn_10 string, asin string, "
     "publishedYear string, duration double, pages int, current_time double, isFinished boolean, "
