@@ -2,16 +2,22 @@
 
 A document's set holds its distinct shingles of `width` words (A-Z in lower case). Documents with equal
 sets are one node. TREES signature orders of DEPTH min-hashes each are kept sorted, every one a tree
-written out in order: neighbours in an order share the longest prefixes. Candidates come in two rounds:
+written out in order: neighbours in an order share the longest prefixes. Candidates come in three rounds:
 
 1. neighbours in each order; every node confirms those that most orders agree on;
-2. all other neighbours, and all pairs below one tree node, where both sides are still in different
-   components. How deep that tree node lies adapts to the region: a pair meets where its region has no
-   more than CROSS such pairs per member, and at full depth in any case.
-
-Every link is confirmed on the full sets, 100 * intersection >= percent * union. A pair inside one
-component needs no confirmation, so a group of n near copies costs a multiple of n. A linked pair of
-similarity 0.85 is missed by all trees with probability 3e-15 at depth 2 and 5e-4 at full depth 8.
+2. all other neighbours where both sides are still in different components;
+3. all pairs below one tree node where they are so even then. How deep that tree node lies adapts to the
+   region: a pair meets where its region has no more than CROSS such pairs per member, and at full depth
+   in any case.
+
+Before round 2, nodes are peeled: a node whose shingles are for more than 100 - percent in a hundred its
+own, in no other node that is left, can have no link and goes, which makes more shingles someone's own.
+What is left bounds each intersection by the shared part of either side; pairs whose bound is too low
+are dropped. Both steps lose no link. Pairs whose signatures differ by much more than the threshold allows
+are dropped too (a link at the threshold is lost so with probability 2e-4). Every link is confirmed on the full sets, 100 * intersection >=
+percent * union. A pair inside one component needs no confirmation, so a group of n near copies costs a
+multiple of n. A linked pair of similarity 0.85 is missed by all trees with probability 3e-15 at depth 2
+and 5e-4 at full depth 8.
 
 Defined cases: null or empty text, or no words: an empty set, linked with nothing; fewer words than
 width: the whole sequence as one shingle; null doc_id: after all others; rows with one doc_id are
@@ -36,8 +42,11 @@ from .shingles import hash_words, mix, split, windows
 
 WIDTH, PERCENT, TREES, DEPTH = 5, 85, 24, 8
 #: Neighbours taken on each side of an order, partners that a node confirms first, depths at which
-#: regions are tried, pairs per member that a region may have.
-REACH, FIRST, LEVELS, CROSS = 2, 2, (2, 4, 6, 8), 8
+#: regions are tried, pairs per member that a region may have, times that nodes are peeled.
+REACH, FIRST, LEVELS, CROSS, PEELS = 2, 2, (2, 4, 6, 8), 8, 3
+#: Before full sets are compared in rounds 2 and 3, signatures must agree to within this of the similarity: 3.5
+#: standard deviations of the estimate. Members of a region that a task holds twice at most.
+MARGIN, BLOCK = 0.09, 4096
 
 BASE = "doc_id long, row_hash long, key binary, n_shingles long, paths binary"
 _BASE = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("paths", pa.binary())])
@@ -93,10 +102,6 @@ def row_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash")
 
 
-def _sizes_agree(percent: int) -> Column:
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-
-
 def _neighbours(forest: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes close to each other in an order, with the number of such orders and the longest
     shared prefix. The orders are sorted across the cluster; equal paths are told apart by the key, so
@@ -191,20 +196,99 @@ def _labelled(frame: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
     return frame.join(labels.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(key) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", key)).drop("_node", "_root")
 
 
-def _regions(forest: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs below one tree node and in different components, each region at its own depth."""
+def _peeled(open_nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """key, most: of open_nodes (key, n_shingles) those that may have a link among themselves, with the
+    number of their shingles that another one of them has too."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, z in zip(batch.column(0), batch.column(1)):
+                own = _unpacked(z.as_py(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(key, len(own)), pa.array(own)], ["key", "shingle"])
+
+    left = open_nodes
+    for _ in range(PEELS):
+        rows = texts.join(left.select("key"), "key", "left_semi").select("key", "packed").mapInArrow(explode, "key binary, shingle long")
+        own = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.first("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("own"))
+        counted = left.select("key", "n_shingles").join(own, "key", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+        left = store(counted.where(100 * F.col("most") >= percent * F.col("n_shingles")).select("key", "n_shingles", "most"))
+    return left
+
+
+def _may_link(percent: int) -> Column:
+    """By the most that both sides can share."""
+    most = F.least("ma", "mb")
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+
+
+def _alike(sign: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Share of equal min-hashes of one signature with each of the others."""
+    return (others == sign).mean(axis=1)
+
+
+_MET = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _met(percent: int):
+    """Pairs of one region (of two blocks of it) in different components that may be similar enough."""
+
+    def run(members: pa.Table) -> pa.Table:
+        order = np.argsort(members.column("block").to_numpy(), kind="stable")
+        members = members.take(pa.array(order))
+        keys, block = members.column("key").to_pylist(), members.column("block").to_numpy()
+        n, most = members.column("n_shingles").to_numpy(), members.column("most").to_numpy()
+        roots = np.unique(members.column("root").to_pylist(), return_inverse=True)[1]
+        signs = np.frombuffer(b"".join(members.column("paths").to_pylist()), ">u2").reshape(len(keys), -1)
+        low, high = members.column("low")[0].as_py(), members.column("high")[0].as_py()
+        a, b = [], []
+        # Only members outside the largest component are laid against the others.
+        few = np.flatnonzero(roots != np.bincount(roots).argmax())
+        minor = np.zeros(len(keys), bool)
+        minor[few] = True
+        for i in few:
+            both = np.minimum(most, most[i])
+            other = (roots != roots[i]) & (100 * both >= percent * (n + n[i] - both)) & (~minor | (np.arange(len(keys)) > i))
+            if low != high:
+                other &= block != block[i]
+            near = np.flatnonzero(other)
+            if len(near):
+                for j in near[_alike(signs[i], signs[near]) >= percent / 100 - MARGIN]:
+                    a.append(min(keys[i], keys[j]))
+                    b.append(max(keys[i], keys[j]))
+        return pa.table({"a": a, "b": b}, schema=_MET)
+
+    return run
+
+
+def _likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(batch.num_rows, TREES * DEPTH) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= percent / 100 - MARGIN))
+
+    one, two = (signs.select(F.col("key").alias(s), F.col("paths").alias(f"p{s}")) for s in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary")
+
+
+def _regions(forest: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs below one tree node and in different components, each region at its own depth. Regions of
+    more than BLOCK members are laid out as pairs of blocks, so a task holds two blocks at most."""
     left = _labelled(forest, labels, "key", "root")
-    out = None
+    taken = None
     for level in LEVELS:
         prefix = left.withColumn("_p", F.substring("path", 1, 2 * level))
         sizes = prefix.groupBy("tree", "_p", "root").agg(F.count("*").alias("c")).groupBy("tree", "_p").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
         sizes = sizes.where("m * m > same").withColumn("_take", (F.col("m") * F.col("m") - F.col("same") <= 2 * CROSS * F.col("m")) | F.lit(level == LEVELS[-1]))
-        marked = store(prefix.join(sizes.select("tree", "_p", "_take"), ["tree", "_p"]))
-        side = lambda s: marked.where("_take").select("tree", "_p", F.col("key").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("root").alias(f"r{s}"))  # noqa: E731, B023
-        met = side("a").join(side("b"), ["tree", "_p"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_agree(percent)).select("a", "b")
-        out = met if out is None else out.unionByName(met)
-        left = marked.where("not _take").drop("_p", "_take")
-    return out.distinct()
+        marked = store(prefix.join(sizes.select("tree", "_p", "m", "_take"), ["tree", "_p"]))
+        own = marked.where("_take").select("tree", "_p", "key", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        taken = own if taken is None else taken.unionByName(own)
+        left = marked.where("not _take").drop("_p", "m", "_take")
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    facing = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
+    spread = taken.withColumn("block", mine).withColumn("f", F.explode(facing)).select("tree", "_p", "f.low", "f.high", "block", "key", "root").join(signs, "key")
+    return spread.groupBy("tree", "_p", "low", "high").applyInArrow(_met(percent), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -212,7 +296,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     base = _base(docs, width)
     nodes = base.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths"))
     trees = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("paths", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)))).alias("tree", "path")
-    planted = store(nodes).select(trees, "key", "n_shingles", "doc_id")
+    nodes = store(nodes)
+    planted = nodes.select(trees, "key", "n_shingles", "doc_id")
     # Most nodes share no tree node of the least depth with another one; they are done.
     root = F.substring("path", 1, 2 * LEVELS[0]).alias("_r")
     shared = planted.select("tree", root).groupBy("tree", "_r").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
@@ -222,9 +307,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     first = _first(pairs)
     links = store(_confirmed(first, texts, percent, width))
     labels = components(links)
-    rest = _labelled(_labelled(pairs.join(first, ["a", "b"], "left_anti"), labels, "a", "ra"), labels, "b", "rb").where("ra <> rb").select("a", "b")
-    more = rest.unionByName(_regions(forest.drop("doc_id"), labels, percent)).distinct().join(first, ["a", "b"], "left_anti")
-    found = store(_confirmed(more, texts, percent, width))
+    rooted = _labelled(forest.withColumn("_r", root), labels, "key", "root")
+    mixed = rooted.groupBy("tree", "_r").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "_r")
+    open_nodes = rooted.join(mixed, ["tree", "_r"], "left_semi").select("key", "n_shingles").distinct()
+    peeled = _peeled(open_nodes, texts, percent, width)
+    most = lambda s: peeled.select(F.col("key").alias(s), F.col("most").alias(f"m{s}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(most("a"), "a").join(most("b"), "b").where(_may_link(percent))
+    rest = _labelled(_labelled(rest, labels, "a", "ra"), labels, "b", "rb").where("ra <> rb").select("a", "b")
+    thinned = store(forest.select("tree", "path", "key").join(peeled.select("key"), "key"))
+    signs = store(nodes.select("key", "paths").join(peeled, "key"))
+    second = store(_likely(rest, signs, percent))
+    found = store(_confirmed(second, texts, percent, width))
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = components(links)
+    third = _regions(thinned, labels, signs, percent).join(first.unionByName(second), ["a", "b"], "left_anti")
+    found = store(_confirmed(third, texts, percent, width))
     if not found.isEmpty():
         labels = components(links.unionByName(found))
     marked = store(_labelled(base.select("doc_id", "row_hash", "key", "n_shingles"), labels, "key", "root"))
