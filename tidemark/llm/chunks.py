@@ -24,7 +24,7 @@ CHUNK = "chunk string, n_bytes long, ids array<long>, sizes binary, texts binary
 _FIELDS = pa.schema([("chunk", pa.string()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary())])
 
 #: Bytes of text in a chunk, and bytes of keys that one part may hold.
-CHUNK_BYTES, PART_BYTES = 16 << 20, 24 << 20
+CHUNK_BYTES, PART_BYTES = 8 << 20, 24 << 20
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -77,15 +77,16 @@ def part_bounds(parts: int) -> np.ndarray:
     return np.array([(1 << 64) * p // parts for p in range(1, parts)], np.uint64)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Seven bytes of each 64-bit key; within a part the eighth adds little."""
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+def pack_keys(keys: np.ndarray, size: int = 7) -> bytes:
+    """The low bytes of 64-bit keys: seven, as within a part of the key space the eighth adds little; fewer
+    where keys are only told apart inside a small group."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def unpack_keys(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+def unpack_keys(blob: bytes, size: int = 7) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, size)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :7] = raw
+    out[:, :size] = raw
     return out.view(np.uint64).reshape(-1)
 
 
