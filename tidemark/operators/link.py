@@ -130,3 +130,35 @@ def resolve_remembered(items: DataFrame, remembered: DataFrame, owned_editions:
 def author_search(state: DataFrame, name: str) -> DataFrame:
     """Rows whose author contains name in either case, by title."""
     return state.where(F.col("author").ilike(f"%{name}%")).orderBy("title")
+
+
+def search_works(items: DataFrame, works: DataFrame, k: int = 5, with_author: bool = True) -> DataFrame:
+    """item_id, book_id, rank, strategy: the k most active works whose standard title equals the item's
+    and, in the first pass, whose author's words overlap; items without such a hit are searched by title
+    alone. Works are ranked per title before they meet the items."""
+    w = works.select("book_id", "activity", T.standard_title(F.col("title")).alias("t"), F.split(T.standard_author(F.col("author")), " ").alias("a"))
+    i = items.select("item_id", T.standard_title(F.col("title")).alias("t"), F.split(T.standard_author(F.col("author")), " ").alias("ia"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("activity"), "book_id"))
+    keyed = w.select("t", F.explode(F.array_distinct("a")).alias("word"), "book_id", "activity").withColumn("r", rank("t", "word")).where(F.col("r") <= k)
+    both = i.select("item_id", "t", F.explode(F.array_distinct("ia")).alias("word")).join(keyed, ["t", "word"]).select("item_id", "book_id", "activity").distinct()
+    both = both.withColumn("rank", rank("item_id")).where(F.col("rank") <= k).select("item_id", "book_id", "rank", F.lit("title_author").alias("strategy"))
+    left = i.join(both.select("item_id").distinct(), "item_id", "left_anti") if with_author else i
+    top = w.withColumn("rank", rank("t")).where(F.col("rank") <= k)
+    alone = left.select("item_id", "t").join(top.select("t", "book_id", "rank"), "t").select("item_id", "book_id", "rank", F.lit("title").alias("strategy"))
+    return both.unionByName(alone) if with_author else alone
+
+
+def hits_to_matches(hits: DataFrame, editions: DataFrame, owned_books: DataFrame) -> DataFrame:
+    """hits (item_id, book_id) -> match_type: an owned work gives its first edition; another one a
+    placeholder edition with the work's id, to be added."""
+    first = editions.groupBy("book_id").agg(F.min("edition_id").alias("_e"))
+    own = owned_books.select("book_id", F.lit(True).alias("_own")).distinct()
+    j = hits.join(own, "book_id", "left").join(first, "book_id", "left")
+    mine = F.col("_own").isNotNull() & F.col("_e").isNotNull()
+    return j.select("item_id", "book_id", F.when(mine, F.col("_e")).otherwise(F.col("book_id")).alias("edition_id"), F.when(mine, "title_author_different_edition").otherwise("title_author_auto_add").alias("match_type"))
+
+
+def latest_reads(reads: DataFrame, editions: DataFrame) -> DataFrame:
+    """The read of highest id per user_book_id, with its edition's lengths."""
+    last = reads.groupBy("user_book_id").agg(F.max(F.struct("id", "edition_id", "progress_pages", "progress_seconds", "finished_at")).alias("r")).select("user_book_id", "r.*")
+    return last.join(editions.select("edition_id", "audio_seconds", "pages"), "edition_id", "left")

@@ -95,3 +95,22 @@ def _bands(c: Column, steps) -> Column:
     for least, said in steps:
         out = F.when(c >= least, said) if out is None else out.when(c >= least, said)
     return out
+
+
+def preferred_editions(scored: DataFrame, editions: DataFrame) -> DataFrame:
+    """book_id, edition_id: the best scored edition of a work, else its first one."""
+    best = best_editions(scored, "book_id", S.DEFAULT).select("book_id", F.col("edition_id").alias("_b"))
+    first = editions.groupBy("book_id").agg(F.min("edition_id").alias("_f"))
+    return first.join(best, "book_id", "left").select("book_id", F.coalesce("_b", "_f").alias("edition_id"))
+
+
+def resolve_additions(matches: DataFrame, editions: DataFrame, wanted_format: Column, duration: Column) -> DataFrame:
+    """matches (item_id, book_id, edition_id): the matched edition if it can hold progress, else the best
+    sibling that can; null if there is none. Siblings are read only for the works that need them."""
+    cap = capable_editions(editions).select(F.col("edition_id").alias("_c"))
+    j = matches.join(cap, F.col("edition_id") == F.col("_c"), "left")
+    fine = j.where("_c is not null").select("item_id", "book_id", "edition_id")
+    need = j.where("_c is null").select("item_id", "book_id")
+    siblings = editions.join(need.select("book_id").distinct(), "book_id", "left_semi")
+    found = progress_capable(siblings, "book_id", wanted_format, duration).select("book_id", "edition_id")
+    return fine.unionByName(need.join(found, "book_id", "left").select("item_id", "book_id", "edition_id"))

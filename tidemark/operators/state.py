@@ -140,3 +140,28 @@ def fingerprint(books: DataFrame, key: str = "user_id", member: str = "book_id")
 def decision_policy(actions: DataFrame, now: Column, ttl_days: int = 7, remembered: tuple[str, ...] = ("not_found", "match_rejected", "already_in_library"), force: bool = False) -> DataFrame:
     """Skips that are remembered, with their expiry; none when forced."""
     return actions.where((F.col("status") == "skipped") & F.col("reason").isin(*remembered) & F.lit(not force)).withColumn("expires_at", now + F.expr(f"interval {ttl_days} days"))
+
+
+def upsert_mappings(state: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Edition mappings by (user_id, identifier, lower-case title): type, edition and time are overwritten,
+    progress stays."""
+    new = mappings.withColumn("title", F.lower(F.trim("title")))
+    for c in state.columns:
+        if c not in new.columns:
+            new = new.withColumn(c, F.lit(None).cast(state.schema[c].dataType))
+    return merge(state, new.select(*state.columns), KEY, ("identifier_type", "edition_id", "updated_at"))
+
+
+def complete(state: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows in done (KEY, finished_at) get progress 100, and the time where there is one."""
+    d = done.select(*KEY, F.col("finished_at").alias("_f"), F.lit(True).alias("_d"))
+    j = state.join(d, list(KEY), "left")
+    out = {"progress_percent": F.when(F.col("_d"), 100.0).otherwise(F.col("progress_percent")), "finished_at": F.coalesce("_f", "finished_at")}
+    return j.select(*[out[c].alias(c) if c in out else F.col(c) for c in state.columns])
+
+
+def multi_key_lookup(items: DataFrame, state: DataFrame) -> DataFrame:
+    """items (user_id, item_id, patterns): the first pattern, in order, for which state has a complete row."""
+    keys = items.select("user_id", "item_id", F.posexplode("patterns").alias("pos", "identifier"))
+    rows = keys.join(state.where("edition_id is not null and progress_percent is not null"), ["user_id", "identifier"])
+    return rows.groupBy("user_id", "item_id").agg(F.min_by(F.struct("identifier", "edition_id"), "pos").alias("h")).select("user_id", "item_id", "h.*")

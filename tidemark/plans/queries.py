@@ -650,3 +650,146 @@ def t11(spark, d):
     """A day without events ends a session."""
     e = view(spark, d, "fx_progress").select("user_id", "item_id", F.col("last_update").alias("ts"), "pos", F.col("progress_ratio").alias("progress"))
     return sessions.sessionize(e, 86400).withColumns({"session_start": F.unix_micros("session_start"), "session_end": F.unix_micros("session_end")})
+
+
+# Searches, additions, further state
+
+STD = f"iw AS (SELECT item_id, {O.standard('title', T.TITLE_STEPS, True)} AS t, string_split({O.standard('author', T.AUTHOR_STEPS, False)}, ' ') AS a FROM fx_items), ww AS (SELECT book_id, activity, {O.standard('title', T.TITLE_STEPS, True)} AS t, string_split({O.standard('author', T.AUTHOR_STEPS, False)}, ' ') AS a FROM fx_works)"
+SEARCH = STD + """,
+hit AS (SELECT item_id, book_id, row_number() OVER (PARTITION BY item_id ORDER BY activity DESC, book_id)::int AS rank FROM iw JOIN ww ON iw.t = ww.t AND list_has_any(iw.a, ww.a)),
+both_ AS (SELECT *, 'title_author' AS strategy FROM hit WHERE rank <= 5),
+alone AS (SELECT item_id, book_id, row_number() OVER (PARTITION BY item_id ORDER BY activity DESC, book_id)::int AS rank FROM iw JOIN ww ON iw.t = ww.t WHERE item_id NOT IN (SELECT item_id FROM both_))"""
+
+
+@query("s7_s9_work_search", "SELECT item_id, book_id, rank, strategy FROM both_ UNION ALL SELECT item_id, book_id, rank, 'title' FROM alone WHERE rank <= 5", "fx_editions", "fx_items", "fx_works", more=SEARCH)
+def s7(spark, d):
+    return link.search_works(view(spark, d, "fx_items"), view(spark, d, "fx_works"))
+
+
+@query("s10_candidates_with_editions", "SELECT b.item_id, b.book_id, e.edition_id, e.edition_id IS NOT NULL AS enhanced FROM both_ b LEFT JOIN fx_editions e ON e.book_id = b.book_id AND e.pages IS NOT NULL WHERE b.rank = 1", "fx_editions", "fx_items", "fx_works", more=SEARCH)
+def s10(spark, d):
+    hits = link.search_works(view(spark, d, "fx_items"), view(spark, d, "fx_works")).where("rank = 1 and strategy = 'title_author'")
+    e = view(spark, d, "fx_editions").where("pages is not null").select("book_id", "edition_id")
+    return hits.join(e, "book_id", "left").select("item_id", "book_id", "edition_id", F.col("edition_id").isNotNull().alias("enhanced"))
+
+
+@query("j21_hits_to_matches", "SELECT b.item_id, b.book_id, CASE WHEN o.book_id IS NOT NULL AND f.e IS NOT NULL THEN f.e ELSE b.book_id END AS edition_id, CASE WHEN o.book_id IS NOT NULL AND f.e IS NOT NULL THEN 'title_author_different_edition' ELSE 'title_author_auto_add' END AS match_type FROM both_ b LEFT JOIN (SELECT DISTINCT book_id FROM fx_user_books WHERE status_id = 3) o ON o.book_id = b.book_id LEFT JOIN (SELECT book_id, min(edition_id) AS e FROM fx_editions GROUP BY book_id) f ON f.book_id = b.book_id WHERE rank = 1", "fx_editions", "fx_items", "fx_works", "fx_user_books", more=SEARCH)
+def j21(spark, d):
+    hits = link.search_works(view(spark, d, "fx_items"), view(spark, d, "fx_works")).where("rank = 1 and strategy = 'title_author'").select("item_id", "book_id")
+    return link.hits_to_matches(hits, view(spark, d, "fx_editions"), view(spark, d, "fx_user_books").where("status_id = 3"))
+
+
+@query("j10_remembered", "SELECT i.item_id, l.edition_id, CASE WHEN e.edition_id IS NOT NULL THEN 'remembered' ELSE 'auto_add' END AS match_type, 85.0::double AS score FROM fx_items i JOIN (SELECT item_id, item_id * 1000 + item_id % 9 AS edition_id FROM fx_items) l ON l.item_id = i.item_id LEFT JOIN fx_editions e ON e.edition_id = l.edition_id", "fx_editions", "fx_items")
+def j10(spark, d):
+    items = view(spark, d, "fx_items").select("item_id")
+    return link.resolve_remembered(items, items.withColumn("edition_id", F.col("item_id") * 1000 + F.col("item_id") % 9), view(spark, d, "fx_editions"))
+
+
+@query("s13_latest_read", "SELECT user_book_id, edition_id, id, audio_seconds, pages FROM (SELECT user_id * 1000 + item_id AS user_book_id, pos AS id, item_id * 1000 + pos % 9 AS edition_id, row_number() OVER (PARTITION BY user_id * 1000 + item_id ORDER BY pos DESC) AS r FROM fx_history) h LEFT JOIN (SELECT edition_id, audio_seconds, pages FROM fx_editions) e USING (edition_id) WHERE r = 1", "fx_history", "fx_editions")
+def s13(spark, d):
+    c = F.col
+    reads = view(spark, d, "fx_history").select((c("user_id") * 1000 + c("item_id")).alias("user_book_id"), c("pos").alias("id"), (c("item_id") * 1000 + c("pos") % 9).alias("edition_id"), F.lit(None).cast("int").alias("progress_pages"), c("position").alias("progress_seconds"), F.lit(None).cast("timestamp").alias("finished_at"))
+    return link.latest_reads(reads, view(spark, d, "fx_editions")).select("user_book_id", "edition_id", "id", "audio_seconds", "pages")
+
+
+@query("w12_preferred_edition", "SELECT book_id, edition_id FROM r WHERE rn = 1", "fx_editions", more=CONTEXT + ", " + RANKED)
+def w12(spark, d):
+    return select.preferred_editions(_scored(spark, d, S.DEFAULT), view(spark, d, "fx_editions"))
+
+
+@query(
+    "w9_addition_editions",
+    f"SELECT m.book_id AS item_id, m.book_id, CASE WHEN m.ok THEN m.edition_id ELSE w.edition_id END AS edition_id FROM (SELECT book_id, min(edition_id) AS edition_id, bool_or(edition_id = lo AND unit IS NOT NULL) AS ok FROM (SELECT *, {BASIS} AS unit, min(edition_id) OVER (PARTITION BY book_id) AS lo FROM e) GROUP BY book_id) m LEFT JOIN (SELECT book_id, edition_id FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN {O.FORMAT} = 'audiobook' THEN 0 WHEN {O.FORMAT} = 'mixed' THEN 1 ELSE 2 END, CASE WHEN audio_seconds > 0 THEN abs(audio_seconds - 20000) ELSE 1e18 END, users_count DESC, edition_id) AS rn FROM (SELECT *, {BASIS} AS unit FROM e) WHERE unit IS NOT NULL) WHERE rn = 1) w ON w.book_id = m.book_id",
+    "fx_editions", more=CONTEXT,
+)
+def w9(spark, d):
+    """Every work's first edition as the match."""
+    e = view(spark, d, "fx_editions")
+    matches = e.groupBy("book_id").agg(F.min("edition_id").alias("edition_id")).withColumn("item_id", F.col("book_id"))
+    return select.resolve_additions(matches, e, F.lit("audiobook"), F.lit(20000))
+
+
+@query("w14_remembered_or_matched", "SELECT k.item_id, k.item_id AS book_id, coalesce(e.edition_id, k.item_id * 1000) AS edition_id, e.edition_id IS NOT NULL AND NOT (coalesce(e.audio_seconds > 0, false) OR coalesce(e.pages > 0, false)) AS defer FROM fx_known k LEFT JOIN fx_editions e ON e.edition_id = k.edition_id", "fx_known", "fx_editions")
+def w14(spark, d):
+    k = view(spark, d, "fx_known").select("item_id", F.col("item_id").alias("book_id"), (F.col("item_id") * 1000).alias("edition_id"), F.col("edition_id").alias("remembered_id"))
+    return select.remembered_or_matched(k, view(spark, d, "fx_editions"))
+
+
+@query("k1_mapping_upsert", "SELECT coalesce(c.user_id, k.user_id) AS user_id, coalesce(c.identifier, k.identifier) AS identifier, coalesce(lower(c.title), k.title) AS title, CASE WHEN c.user_id IS NOT NULL THEN c.edition_id ELSE k.edition_id END AS edition_id, k.progress_percent FROM fx_known k FULL JOIN fx_current c ON c.user_id = k.user_id AND c.identifier = k.identifier AND lower(c.title) = k.title", "fx_known", "fx_current")
+def k1(spark, d):
+    k = view(spark, d, "fx_known").select("user_id", "identifier", "title", "identifier_type", "edition_id", "updated_at", "progress_percent")
+    m = view(spark, d, "fx_current").select("user_id", "identifier", F.upper("title").alias("title"), "identifier_type", "edition_id", "updated_at")
+    return state.upsert_mappings(k, m).select("user_id", "identifier", "title", "edition_id", "progress_percent")
+
+
+@query("k4_completion", "SELECT k.user_id, k.item_id, CASE WHEN c.user_id IS NOT NULL THEN 100.0 ELSE k.progress_percent END AS progress_percent, coalesce(c.item_id % 2 = 0, false) AS stamped FROM fx_known k LEFT JOIN fx_current c ON c.user_id = k.user_id AND c.identifier = k.identifier AND c.title = k.title AND c.progress_percent > 80", "fx_known", "fx_current")
+def k4(spark, d):
+    k = view(spark, d, "fx_known").withColumn("finished_at", F.lit(None).cast("timestamp"))
+    done = view(spark, d, "fx_current").where("progress_percent > 80").withColumn("finished_at", F.when(F.col("item_id") % 2 == 0, F.col("updated_at").cast("timestamp")))
+    return state.complete(k, done).select("user_id", "item_id", "progress_percent", F.col("finished_at").isNotNull().alias("stamped"))
+
+
+@query("j12_legacy_keys", "SELECT c.user_id, c.item_id, k.identifier, k.edition_id FROM fx_current c JOIN fx_known k ON c.user_id = k.user_id AND k.identifier = c.identifier WHERE k.edition_id IS NOT NULL", "fx_known", "fx_current")
+def j12(spark, d):
+    items = view(spark, d, "fx_current").select("user_id", "item_id", F.array(F.concat(F.lit("title_author:"), F.col("identifier")), F.col("identifier")).alias("patterns"))
+    return state.multi_key_lookup(items, view(spark, d, "fx_known").drop("item_id"))
+
+
+@query("g15_decision_policy", "SELECT pos, reason FROM s WHERE status = 'skipped' AND reason IN ('not_found', 'match_rejected', 'already_in_library')", "fx_history", more=DECIDED)
+def g15(spark, d):
+    return state.decision_policy(_decided(spark, d), F.expr(NOW)).select("pos", "reason")
+
+
+@query(
+    "g14_additions",
+    f"""SELECT item_id, CASE WHEN NOT any_ THEN 'fail' WHEN mine THEN 'skip' WHEN NOT cap THEN 'skip' ELSE 'add' END AS outcome,
+      CASE WHEN NOT any_ THEN 'NOT_FOUND' WHEN mine THEN 'ALREADY_IN_LIBRARY' WHEN NOT cap THEN 'no_length' ELSE 'best_edition' END AS reason, edition_id
+    FROM (SELECT item_id, bool_or(fits) AS any_, bool_or(fits AND owned) AS mine, max(CASE WHEN rn = 1 AND fits THEN edition_id END) AS edition_id, coalesce(bool_or(rn = 1 AND fits AND has), false) AS cap
+      FROM (SELECT c.*, row_number() OVER (PARTITION BY item_id ORDER BY NOT fits, users_count DESC, edition_id) AS rn FROM
+        (SELECT book_id AS item_id, edition_id, users_count, book_id % 5 = 0 AS owned, coalesce(audio_seconds > 0 OR pages > 0, false) AS has, NOT (source_format = 'audiobook' AND {O.FORMAT} = 'book') AS fits FROM e) c) GROUP BY item_id)""",
+    "fx_editions", more=CONTEXT,
+)
+def g14(spark, d):
+    e = view(spark, d, "fx_editions")
+    c = e.withColumns({"item_id": F.col("book_id"), "fmt": F.when(F.col("book_id") % 2 == 0, "audiobook").otherwise("ebook"), "match_type": F.lit("isbn"), "edition_score": F.col("users_count")})
+    owned = e.where("book_id % 5 = 0").select("book_id")
+    return decide.plan_additions(c, owned, e.limit(0).select(F.col("book_id").alias("item_id"))).select("item_id", "outcome", "reason", "edition_id")
+
+
+@query("f13_j18_completed_union", "SELECT item_id, kind FROM (SELECT DISTINCT item_id, 'progress' AS kind FROM fx_history WHERE progress > 90 UNION ALL SELECT DISTINCT item_id, 'completed' FROM fx_history WHERE coalesce(is_finished, false) AND item_id NOT IN (SELECT item_id FROM fx_history WHERE progress > 90))", "fx_history")
+def f13(spark, d):
+    from ..sources import readers
+
+    h = view(spark, d, "fx_history")
+    items = h.select("item_id").distinct().withColumns({"item_finished": F.lit(False), "kind": F.lit("completed")})
+    done = readers.completed_items(items, h).select("item_id", "kind")
+    return readers.with_completed(h.where("progress > 90").select("item_id", F.lit("progress").alias("kind")).distinct(), done)
+
+
+@query("j19_latest_session", "SELECT item_id, epoch_us(max(last_update)) AS last_listened_at FROM fx_history GROUP BY item_id", "fx_history")
+def j19(spark, d):
+    from ..sources import readers
+
+    h = view(spark, d, "fx_history").select("item_id", F.col("last_update").cast("timestamp").alias("updated_at"))
+    items = h.select("item_id").distinct().withColumn("last_listened_at", F.lit(None).cast("timestamp"))
+    return readers.latest_sessions(items, h).select("item_id", F.unix_micros("last_listened_at").alias("last_listened_at"))
+
+
+@query("f11_author_search", "SELECT book_id FROM fx_works WHERE author ILIKE '%brand#1%'", "fx_works")
+def f11(spark, d):
+    return link.author_search(view(spark, d, "fx_works"), "brand#1").select("book_id")
+
+
+@query("p23_title_author_keys", "SELECT item_id, 'title_author:' || regexp_replace(trim(lower(title)), '\\s+', '_', 'g') || '|' || regexp_replace(trim(lower(author)), '\\s+', '_', 'g') AS key FROM fx_items", "fx_editions", "fx_items")
+def p23(spark, d):
+    return view(spark, d, "fx_items").select("item_id", P.title_author_key(F.col("title"), F.col("author")).alias("key"))
+
+
+@query("k16_verified_writes", "SELECT pos, coalesce(pos % 4 <> 0 AND pos % 3 <= 1, false) AS verified FROM fx_history WHERE progress IS NOT NULL", "fx_history")
+def k16(spark, d):
+    from ..sources import sinks
+
+    h = view(spark, d, "fx_history").where("progress is not null")
+    plan = h.select(F.col("pos").alias("action_id"), F.col("position"), "progress")
+    ack = h.where("pos % 4 <> 0").select(F.col("pos").alias("action_id"), (F.col("position") + F.col("pos") % 3).alias("position"), (F.col("progress") + 1).alias("progress"))
+    return sinks.verify_writes(plan, ack).select(F.col("action_id").alias("pos"), "verified")
