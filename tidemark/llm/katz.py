@@ -31,6 +31,8 @@ from .shingles import hash_words, mix, split
 
 #: Counts up to K are discounted; contexts with more than this share of all tokens are spread.
 K, HOT = 5, 1 / 500
+#: Bytes of a word's hash by which the words after one context are told apart.
+FOLLOWER = 6
 END, START = hash_words([b" end", b" start"])
 
 _ASK1 = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -194,7 +196,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 a, b = np.searchsorted(part, [p, p + 1])
                 f, t = np.searchsorted(first, [a, b])
                 own = rows[a:b]
-                values = (int(p), chunk.column("chunk")[row].as_py(), keys[h[rows[first[f:t]]]].tobytes(), hot[h[rows[first[f:t]]]].tobytes(), C.planes(sizes[f:t]), C.pack_keys(keys[w[own]]), C.planes(trained[own]), C.planes(counts[w[own]].astype(np.uint32)))
+                values = (int(p), chunk.column("chunk")[row].as_py(), keys[h[rows[first[f:t]]]].tobytes(), hot[h[rows[first[f:t]]]].tobytes(), C.planes(sizes[f:t]), C.pack_keys(keys[w[own]], FOLLOWER), C.planes(trained[own]), C.planes(counts[w[own]].astype(np.uint32)))
                 for name, value in zip(out, values):
                     out[name].append(value)
         return pa.table(out, schema=_ASK2)
@@ -203,7 +205,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         take = lambda name, f: [f(x) for x in asked.column(name).to_pylist()]
         contexts = take("contexts", lambda x: np.frombuffer(x, np.uint64))
         sizes = take("sizes", lambda x: C.unplanes(x, np.uint32))
-        words_, trained, singles = take("keys", C.unpack_keys), take("counts", lambda x: C.unplanes(x, np.uint32)), take("singles", lambda x: C.unplanes(x, np.uint32))
+        words_, trained, singles = take("keys", lambda x: C.unpack_keys(x, FOLLOWER)), take("counts", lambda x: C.unplanes(x, np.uint32)), take("singles", lambda x: C.unplanes(x, np.uint32))
         hs, h_at = np.unique(np.concatenate(contexts), return_inverse=True)
         h = np.repeat(h_at, np.concatenate(sizes))
         w, single = np.concatenate(words_), np.concatenate(singles)
