@@ -32,6 +32,15 @@ def store(df: DataFrame, packed: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after lowering the session's Arrow batches to `rows` rows, if they are larger: texts of some KB
+    then cost a Python worker and the JVM beside it a few MB at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def words(text: Column | str) -> Column:
     """The words of a text as an array; null text: none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 from .shingles import hash_words, mix
 
 MASKS = ("111001011", "11011101", "1011111")
@@ -112,7 +112,7 @@ def _hits(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                         out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=_HITS)
 
-    return store(docs.select(F.col("doc_id").cast("long"), row_hash(), "text").mapInArrow(scan, HITS))
+    return store(small_batches(docs).select(F.col("doc_id").cast("long"), row_hash(), "text").mapInArrow(scan, HITS))
 
 
 def row_hash():

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 from .shingles import hash_words, mix, split, windows
 
 WIDTH, PERCENT, TREES, DEPTH = 5, 85, 24, 8
@@ -98,7 +98,7 @@ def _base(docs: DataFrame, width: int) -> DataFrame:
                 keys = [set_key(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(paths, pa.binary())], schema=_BASE)
 
-    return store(docs.select(F.col("doc_id").cast("long"), "text", row_hash()).mapInArrow(sign, BASE))
+    return store(small_batches(docs).select(F.col("doc_id").cast("long"), "text", row_hash()).mapInArrow(sign, BASE))
 
 
 def row_hash() -> Column:

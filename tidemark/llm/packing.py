@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 from .tokens import encoder
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
@@ -29,7 +29,7 @@ PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
     """Token counts and checksums of every document's pieces; the ids themselves go no further."""
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    columns = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, stop = encoder(tokenizer), np.uint32(end).tobytes()

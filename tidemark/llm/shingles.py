@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a Python worker keeps.
-CACHE_SIZE = 300_000
+CACHE_SIZE = 150_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
