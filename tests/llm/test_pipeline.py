@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table, each against what it must do."""
 
 import collections
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,32 @@ def test_stages(spark, docs, tmp_path):
     rows = lambda df: collections.Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert rows(corpus_pipeline.run(spark, str(tmp_path))) == rows(after)
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_near_dedup_links_at_eighty_in_a_hundred(spark, tmp_path):
+    """Against brute force; most pairs lie between 0.80 and 0.85, where op5's threshold takes none."""
+    rng, data = random.Random(8), []
+    for g in range(60):
+        w = [f"g{g}w{k}" for k in range(204)]
+        data.append((2 * g, " ".join(w), "en", "s", 0))
+        for at in rng.sample(range(10, 190, 12), rng.choice([3, 4, 4, 4, 5])):
+            w[at] = f"x{rng.randrange(10**6)}"
+        data.append((2 * g + 1, " ".join(w), "en", "s", 0))
+    sets = {}
+    for i, t, *_ in data:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    alike = {g: (len(sets[2 * g] & sets[2 * g + 1]), len(sets[2 * g] | sets[2 * g + 1])) for g in range(60)}
+    want = {2 * g for g in alike} | {2 * g + 1 for g, (both, either) in alike.items() if 100 * both < 80 * either}
+    between = [g for g, (both, either) in alike.items() if 80 * either <= 100 * both < 85 * either]
+    assert len(between) > 20 and len(want) > 65
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_forest_follows_the_threshold():
+    assert (neardup.levels(85), neardup.met_in(85)) == ([2, 5, 8], 7)
+    for percent in range(60, 100, 5):
+        s, depths = percent / 100, neardup.levels(percent)
+        assert (1 - s ** depths[-1]) ** neardup.TREES <= 5e-4 and depths[0] == 2
+    assert neardup.margin(80) > neardup.margin(85)

@@ -16,8 +16,9 @@ What is left bounds each intersection by the shared part of either side; pairs w
 are dropped. Both steps lose no link. Pairs whose signatures differ by much more than the threshold allows
 are dropped too (a link at the threshold is lost so with probability 2e-4). Every link is confirmed on the full sets, 100 * intersection >=
 percent * union. A pair inside one component needs no confirmation, so a group of n near copies costs a
-multiple of n. A linked pair of similarity 0.85 is missed by all trees with probability 3e-15 at depth 2
-and 5e-4 at full depth 8.
+multiple of n. Full depth, the trees a link must be met in and the signatures' margin follow `percent`: a
+pair at the threshold is missed by all trees with probability MISS at most at full depth (5e-4 at depth 8
+for 85, 7e-5 at depth 5 for 80). Thresholds under 54 would need more trees than there are.
 
 Defined cases: null or empty text, or no words: an empty set, linked with nothing; fewer words than
 width: the whole sequence as one shingle; null doc_id: after all others; rows with one doc_id are
@@ -27,6 +28,7 @@ are ignored by near_duplicates and kept by drop_near_duplicates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,15 +43,14 @@ from .common import small_batches, store
 from .shingles import hash_words, mix, split, windows
 
 WIDTH, PERCENT, TREES, DEPTH = 5, 85, 24, 8
-#: Neighbours taken on each side of an order, partners that a node confirms first, depths at which
+#: Neighbours taken on each side of an order, partners that a node confirms first, least depth at which
 #: regions are tried, pairs per member that a region may have, times that nodes are peeled.
-REACH, FIRST, LEVELS, CROSS, PEELS = 2, 2, (2, 5, 8), 8, 2
-#: Before full sets are compared in rounds 2 and 3, signatures must agree to within this of the similarity: 3.5
-#: standard deviations of the estimate. Members of a region that a task holds twice at most.
-MARGIN, BLOCK = 0.09, 4096
-#: Trees of the 24 in which a node must meet another one at the least depth: a link at 0.85 is met in 17 of
-#: them, and in fewer than 7 with probability 2e-6.
-MET = 7
+REACH, FIRST, LEAST, CROSS, PEELS = 2, 2, 2, 8, 2
+#: Members of a region that a task holds twice at most.
+BLOCK = 4096
+#: For a pair at the threshold: the probabilities that all trees miss it at full depth, and that it is met in
+#: fewer trees than asked for; standard deviations by which its signatures' agreement may fall short.
+MISS, FEW, DEVIATIONS = 5e-4, 3e-6, 3.5
 
 BASE = "doc_id long, row_hash long, key binary, n_shingles long, paths binary"
 _BASE = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("paths", pa.binary())])
@@ -58,6 +59,25 @@ _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()),
 _SEEDS = (np.random.default_rng(20240101).integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 
 
+def levels(percent: int) -> list[int]:
+    """Depths at which regions are tried; the last one is as deep as MISS allows."""
+    last = max((d for d in range(LEAST, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES <= MISS), default=LEAST)
+    return sorted({LEAST, (LEAST + last) // 2, last})
+
+
+def met_in(percent: int) -> int:
+    """Trees in which a node must meet another one at the least depth."""
+    p = (percent / 100) ** LEAST
+    fewer = np.cumsum([math.comb(TREES, k) * p**k * (1 - p) ** (TREES - k) for k in range(TREES)])
+    return max(1, int(np.searchsorted(fewer, FEW, side="right")))
+
+
+def margin(percent: int) -> float:
+    """How far signatures may agree less than the similarity asked for before full sets are compared."""
+    s = percent / 100
+    return DEVIATIONS * math.sqrt(s * (1 - s) / (TREES * DEPTH))
+
+
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     words = hash_words(split(text, lower=True))
@@ -242,6 +262,7 @@ _MET = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 def _met(percent: int):
     """Pairs of one region (of two blocks of it) in different components that may be similar enough."""
+    full = levels(percent)[-1]
 
     def run(members: pa.Table) -> pa.Table:
         order = np.argsort(members.column("block").to_numpy(), kind="stable")
@@ -263,10 +284,10 @@ def _met(percent: int):
                 other &= block != block[i]
             near = np.flatnonzero(other)
             if len(near):
-                # A pair that an earlier tree has together down to its leaves is that tree's to tell.
-                told = (signs[near, : tree * DEPTH] == signs[i, : tree * DEPTH]).reshape(len(near), tree, DEPTH).all(axis=2).any(axis=1)
+                # A pair that an earlier tree has together down to full depth is that tree's to tell.
+                told = (signs[near, : tree * DEPTH] == signs[i, : tree * DEPTH]).reshape(len(near), tree, DEPTH)[:, :, :full].all(axis=2).any(axis=1)
                 near = near[~told]
-                for j in near[_alike(signs[i], signs[near]) >= percent / 100 - MARGIN]:
+                for j in near[_alike(signs[i], signs[near]) >= percent / 100 - margin(percent)]:
                     a.append(min(keys[i], keys[j]))
                     b.append(max(keys[i], keys[j]))
         return pa.table({"a": a, "b": b}, schema=_MET)
@@ -280,7 +301,7 @@ def _likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(batch.num_rows, TREES * DEPTH) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= percent / 100 - MARGIN))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= percent / 100 - margin(percent)))
 
     one, two = (signs.select(F.col("key").alias(s), F.col("paths").alias(f"p{s}")) for s in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary")
@@ -290,11 +311,11 @@ def _regions(forest: DataFrame, labels: DataFrame, signs: DataFrame, percent: in
     """Pairs below one tree node and in different components, each region at its own depth. Regions of
     more than BLOCK members are laid out as pairs of blocks, so a task holds two blocks at most."""
     left = _labelled(forest, labels, "key", "root")
-    taken = None
-    for level in LEVELS:
+    taken, depths = None, levels(percent)
+    for level in depths:
         prefix = left.withColumn("_p", F.substring("path", 1, 2 * level))
         sizes = prefix.groupBy("tree", "_p", "root").agg(F.count("*").alias("c")).groupBy("tree", "_p").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        sizes = sizes.where("m * m > same").withColumn("_take", (F.col("m") * F.col("m") - F.col("same") <= 2 * CROSS * F.col("m")) | F.lit(level == LEVELS[-1]))
+        sizes = sizes.where("m * m > same").withColumn("_take", (F.col("m") * F.col("m") - F.col("same") <= 2 * CROSS * F.col("m")) | F.lit(level == depths[-1]))
         marked = store(prefix.join(sizes.select("tree", "_p", "m", "_take"), ["tree", "_p"]))
         own = marked.where("_take").select("tree", "_p", "key", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
         taken = own if taken is None else taken.unionByName(own)
@@ -313,11 +334,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     nodes = store(nodes)
     planted = nodes.select(trees, "key", "n_shingles", "doc_id")
     # Most nodes share no tree node of the least depth with another one; they are done.
-    root = F.substring("path", 1, 2 * LEVELS[0]).alias("_r")
+    root = F.substring("path", 1, 2 * LEAST).alias("_r")
     shared = planted.select("tree", root).groupBy("tree", "_r").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
     met = store(planted.withColumn("_r", root).join(shared, ["tree", "_r"], "left_semi").drop("_r"))
     # A link is met in most trees; what is met in few has none.
-    often = met.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") >= MET).select("key")
+    often = met.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") >= met_in(percent)).select("key")
     forest = store(met.join(often, "key", "left_semi"))
     pairs = store(_neighbours(forest.select("tree", "path", "key", "n_shingles"), percent))
     texts = store(_payloads(docs, forest.select("doc_id"), width), packed=True)
