@@ -34,7 +34,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of 1024 tokens."""
+    """All documents' pieces with their token ids and their places in sequences of 1024 tokens."""
     return packing.pack(docs, tokenizer_path())
 
 

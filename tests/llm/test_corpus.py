@@ -290,6 +290,13 @@ def test_substrings(docs, nothing, monkeypatch):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_kept_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(15))
+    df = spark.createDataFrame([(1, f"né one\n{passage} é"), (2, f"two {passage}  tail"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.kept_texts(df).collect()}
+    assert got == {1: (18, 0, f"né one {passage} é"), 2: (17, 15, "two tail"), 3: (0, 0, "")}
+
+
 # Packing
 
 
@@ -319,6 +326,27 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
+def test_packed_sequences_can_be_written(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path())
+    data = [(i, prose_of(i)) for i in range(40)] + [(3, prose_of(3))]
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), tokenizer_path(), capacity=64, block_rows=5).collect()
+    texts, fills = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in got:
+        ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+        texts[r["doc_id"]][r["start"]] = ids
+        fills[r["sequence_id"]].append((r["offset"], ids))
+    for i, t in data:
+        assert [x for _, own in sorted(texts[i].items()) for x in own] == [*tk.encode(t, add_special_tokens=False).ids, 2]
+    assert all(sum(len(x) for _, x in own) <= 64 for own in fills.values())
+
+
+def prose_of(i):
+    return " ".join(f"word{i * k % 97}" for k in range(3 * i))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_is_near_the_bound(seed):
     rng = np.random.default_rng(seed)

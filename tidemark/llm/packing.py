@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, store
 from .tokens import encoder
 
-PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, row_key long, piece int, start long, length long, ids binary"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
-    """Token counts and checksums of every document's pieces; the ids themselves go no further."""
+    """Every document's pieces; ids: their token ids, four bytes each, low bytes first."""
     columns = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,9 +41,9 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFram
                 lead = n % capacity or capacity
                 for k, at in enumerate([0, *range(lead, n, capacity)]):
                     to = lead if k == 0 else at + capacity
-                    for column, value in zip(out, (doc, key, k, at, to - at, zlib.crc32(ids[4 * at : 4 * to]))):
+                    for column, value in zip(out, (doc, key, k, at, to - at, ids[4 * at : 4 * to])):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "row_key", "piece", "start", "length", "ids"])
 
     return columns.mapInArrow(cut, PIECES)
 
@@ -194,7 +194,7 @@ def plan(counts: dict[int, int], capacity: int, smallest: int, n_groups: int) ->
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, n_groups: int = 96, small: float = 0.1, block_rows: int = 20_000) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
 
     n_groups: sizes that the configurations know; small: lengths under this share of the capacity are
     left for the best-fit pass. Ranks within a length come from counts by (length, block), so that no
@@ -221,5 +221,5 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, n_
         [(x, r, n, f, o) for x, own in by_length.items() for r, n, f, o in sorted(own)], "_length long, _from long, _count long, _first long, _offset long"
     )
     return ranked.join(F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_count"))).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset")
+        "doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset")
     )

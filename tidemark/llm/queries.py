@@ -118,7 +118,7 @@ FROM m"""
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

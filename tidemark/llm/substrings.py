@@ -15,12 +15,12 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import chunks as C
 from .common import store
@@ -29,10 +29,12 @@ from .shingles import hash_words, mix, split, windows
 LAST = np.iinfo(np.int64).max
 ASK = "part int, chunk string, ids binary, counts binary, keys binary"
 REPLY = "level int, chunk string, part int, bits binary"
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RESULT = "doc_id long, n_words long, n_removed long, kept string"
 _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _REPLY = pa.schema([("level", pa.int32()), ("chunk", pa.string()), ("part", pa.int32()), ("bits", pa.binary())])
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+#: Rows of a result that go to the JVM at once.
+ROWS = 200
 
 
 class Question:
@@ -135,7 +137,12 @@ def _answer(level: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
-    """-> doc_id, n_words, n_removed, kept_sha256."""
+    """-> doc_id, n_words, n_removed, kept_sha256: kept_texts with a digest in place of the text."""
+    return kept_texts(docs, window).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def kept_texts(docs: DataFrame, window: int = 13) -> DataFrame:
+    """-> doc_id, n_words, n_removed, kept: the words that stay, joined by blanks."""
     chunks = C.chunked(docs)
     parts1, parts2 = C.part_count(chunks, 0.4), C.part_count(chunks, 0.8)
 
@@ -180,8 +187,8 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 out["doc_id"].append(i)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
-                out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.table(out, schema=_RESULT)
+                out["kept"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
+        return pa.Table.from_batches(pa.table(out, schema=_RESULT).to_batches(ROWS), _RESULT)
 
     first = store(chunks.mapInArrow(ask_halves, ASK).groupBy("part").applyInArrow(_answer(1), REPLY))
     asked = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_windows, ASK)
