@@ -343,6 +343,18 @@ def test_packed_sequences_can_be_written(spark):
     assert all(sum(len(x) for _, x in own) <= 64 for own in fills.values())
 
 
+def test_ids_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import encoder
+
+    tk, encode = Tokenizer.from_file(tokenizer_path()), encoder(tokenizer_path())
+    mark = "<|endoftext|>"
+    for text in [f"a {mark} b", mark, mark * 3, f"x  {mark}  \n y{mark}z", f"{mark}\n\n {mark} ", "<|endoftext", "<|other|> <|endoftext |>", f"é{mark}'s it's 12 {mark[1:]}", ""]:
+        assert np.frombuffer(encode(text), np.uint32).tolist() == tk.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(encode(f"a {mark} b"), np.uint32).tolist() == [64, 220, 50256, 275]
+
+
 def prose_of(i):
     return " ".join(f"word{i * k % 97}" for k in range(3 * i))
 
