@@ -214,3 +214,23 @@ def test_oracle(spark, name):
 def test_formats(spark):
     df = spark.createDataFrame([("10h 30m",), ("45m",), ("0m",), (None,)], "t string")
     assert [r[0] for r in df.select(P.parse_duration(F.col("t"))).collect()] == [37800, 2700, None, None]
+
+
+def test_every_work_of_a_block_is_compared(spark):
+    """Forty works of one block; an item's own work can be the least active."""
+    words = "amber brook cedar delta ember frost grove haven inlet jewel".split()
+    works = [(n, f"Silver Tide {words[n % 10]} {words[n // 10]}", "Mara Holt" if n % 3 else "Milo Hart", 1000 - 20 * n) for n in range(40)]
+    works += [(100 + n, *works[n][1:3], 5) for n in range(0, 40, 7)] + [(200, None, None, 1)]
+    items = [(n, works[n][1].upper() if n % 2 else works[n][1] + " (Unabridged)", works[n][2]) for n in range(40)] + [(50, "Silver Tide", "Mara Holt"), (51, None, "x")]
+    w = spark.createDataFrame(works, "book_id long, title string, author string, activity long")
+    i = spark.createDataFrame(items, "item_id long, title string, author string")
+    every = i.select("item_id", F.col("title").alias("item_title"), F.col("author").alias("item_author")).crossJoin(w.where("title is not null"))
+    brute = {}
+    for r in link.score_works(every.where("item_title is not null")).select("item_id", "book_id", "score").collect():
+        brute.setdefault(r["item_id"], []).append((-round(r["score"], 9), r["book_id"]))
+    got = {r["item_id"]: (-round(r["score"], 9), r["book_id"]) for r in link.link_by_title_author(i, w).collect()}
+    assert got == {n: min(own) for n, own in brute.items() if min(own)[0] <= -70} and all(got[n][1] == n for n in range(40))
+    best = {}
+    for r in link.best_matches(link.score_works(link.candidate_pairs(i, w))).collect():
+        best.setdefault(r["item_id"], []).append((-round(r["score"], 9), r["book_id"]))
+    assert {n: sorted(own) for n, own in best.items() if n != 51} == {n: sorted(own)[:10] for n, own in brute.items()}

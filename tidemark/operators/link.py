@@ -69,25 +69,44 @@ def block_keys(title: Column, author: Column) -> Column:
     return F.array(F.concat_ws("|", F.array_join(words, " "), F.array_join(F.array_sort(F.transform(F.split(T.standard_author(author), " "), lambda w: F.substring(w, 1, 1))), "")))
 
 
-def candidate_pairs(items: DataFrame, works: DataFrame, k: int = 10) -> DataFrame:
-    """item_id, book_id and the work's columns: per block the k most active works meet the items, found
-    before the join, so a crowded block costs k pairs per item."""
-    w = works.withColumn("block", F.explode(block_keys(F.col("title"), F.col("author"))))
-    top = w.withColumn("_r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("activity"), "book_id"))).where(F.col("_r") <= k).drop("_r")
-    i = items.select("item_id", F.col("title").alias("item_title"), F.col("author").alias("item_author"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
-    return i.join(top, "block").drop("block")
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int = 500) -> DataFrame:
+    """left and right joined on keys; the right rows of a crowded key are dealt over several tasks."""
+    counts = right.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_salts"))
+    mine = F.pmod(F.xxhash64(*right.columns), F.col("_salts")).cast("int")
+    spread = right.join(counts, keys).withColumn("_salt", mine).drop("_salts")
+    facing = left.join(counts, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return facing.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
+def candidate_pairs(items: DataFrame, works: DataFrame) -> DataFrame:
+    """item_id, item_title, item_author, the work's columns, title_score and author_score: an item meets
+    every work of its block. Titles and authors are compared once for all items and works of one form."""
+    form = lambda title, author, t, a: (T.standard_title(F.col(title)).alias(t), F.coalesce(T.standard_author(F.col(author)), F.lit("")).alias(a))
+    w = works.select("*", *form("title", "author", "_u", "_b"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
+    i = items.select("item_id", F.col("title").alias("item_title"), F.col("author").alias("item_author"), *form("title", "author", "_t", "_a"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
+    forms = _dealt(i.select("block", "_t", "_a").distinct(), w.select("block", "_u", "_b").distinct(), ["block"])
+    compared = forms.withColumns({"title_score": T.title_similarity(F.col("_t"), F.col("_u")) * 100, "author_score": T.author_similarity(F.col("_a"), F.col("_b")) * 100})
+    met = i.join(compared, ["block", "_t", "_a"]).drop("_t", "_a")
+    return _dealt(met, w, ["block", "_u", "_b"]).drop("block", "_u", "_b")
+
+
+def best_matches(scored: DataFrame, k: int = 10) -> DataFrame:
+    """The k best works of each item, by score; ties: the least book_id."""
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "book_id"))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 def score_works(pairs: DataFrame) -> DataFrame:
     """pairs (item_title, item_author, title, author, activity and, where present, series and year
-    columns of both sides) with one column per factor, score and confidence."""
+    columns of both sides) with one column per factor, score and confidence. title_score and author_score
+    are taken as they are if the pairs have them."""
     col = lambda name, kind="string": F.col(name) if name in pairs.columns else F.lit(None).cast(kind)
     staged = pairs.withColumns(
         {"_t": T.standard_title(F.col("item_title")), "_u": T.standard_title(F.col("title")), "_a": T.standard_author(F.col("item_author")), "_b": T.standard_author(F.col("author"))}
     ).withColumns(
         {
-            "title_score": T.title_similarity(F.col("_t"), F.col("_u")) * 100,
-            "author_score": T.author_similarity(F.col("_a"), F.col("_b")) * 100,
+            "title_score": F.col("title_score") if "title_score" in pairs.columns else T.title_similarity(F.col("_t"), F.col("_u")) * 100,
+            "author_score": F.col("author_score") if "author_score" in pairs.columns else T.author_similarity(F.col("_a"), F.col("_b")) * 100,
             "series_score": S.series_factor(col("item_series"), col("item_sequence", "double"), col("series_name"), col("series_sequence", "double")),
             "activity_score": S.activity_factor(F.col("activity")),
             "year_score": S.year_factor(col("item_year", "int"), col("publication_year", "int")),
@@ -102,9 +121,9 @@ def score_works(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("confidence", F.when(F.col("score") >= 75, "high").when(F.col("score") >= 60, "medium").when(F.col("score") >= 45, "low").otherwise("none"))
 
 
-def link_by_title_author(items: DataFrame, works: DataFrame, threshold: float = 70.0, k: int = 10) -> DataFrame:
+def link_by_title_author(items: DataFrame, works: DataFrame, threshold: float = 70.0) -> DataFrame:
     """item_id, book_id, score of the best work at or over the threshold; ties: the least book_id."""
-    scored = score_works(candidate_pairs(items, works, k)).select("item_id", "book_id", "score")
+    scored = score_works(candidate_pairs(items, works)).select("item_id", "book_id", "score")
     best = scored.groupBy("item_id").agg(F.max(F.struct("score", -F.col("book_id"))).alias("b"))
     return best.select("item_id", (-F.col("b.col2")).alias("book_id"), "b.score").where(F.col("score") >= threshold)
 

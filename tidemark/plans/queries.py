@@ -311,7 +311,7 @@ def f7(spark, d):
 @query("m1_work_scores")
 def m1(spark, d):
     works = view(spark, d, "fx_works")
-    return link.score_works(link.candidate_pairs(view(spark, d, "fx_items"), works)).select("item_id", "book_id", "title_score", "author_score", "score", "confidence")
+    return link.best_matches(link.score_works(link.candidate_pairs(view(spark, d, "fx_items"), works))).select("item_id", "book_id", "title_score", "author_score", "score", "confidence")
 
 
 @query("j7_title_author_links")
