@@ -401,6 +401,30 @@ def test_reshard(docs, nothing, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "out")).count() == sum(r["shard"] in touched for r in got)
 
 
+def test_rewrite_of_the_datasets_own_folder(spark, tmp_path):
+    """Shards 0 to 3 become 0 to 2: shard 1 stays, 3 and the shardless give all; equal rows keep their places."""
+    path = str(tmp_path / "set")
+    data = [(i, f"text {i:03}", f"s{i}", shard) for shard, own in ((0, range(0, 8)), (1, range(10, 20)), (2, range(20, 28)), (3, range(30, 33))) for i in own]
+    data += [(40, "same", f"tag{k}", 3 if k else None) for k in range(4)]
+    spark.createDataFrame(data, "doc_id long, text string, tag string, shard int").write.partitionBy("shard").parquet(path)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "set" / "shard=1").glob("*.parquet")}
+    docs = spark.read.parquet(path)
+    size = sum(len(t) + 16 for _, t, _, _ in data)
+    one = sum(len(t) + 16 for _, t, _, s in data if s == 1)
+    rest = size - one
+    plan = reshard.reshard(docs, F.col("shard"), 3, capacity=[rest // 2, one, rest - rest // 2])
+    want = collections.defaultdict(list)
+    for r in plan.collect():
+        want[r["shard"]].append((r["slot"], r["doc_id"]))
+    assert reshard.rewrite(docs, plan, path) == [0, 2, 3]
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "set" / "shard=1").glob("*.parquet")} == files
+    got = spark.read.schema("doc_id long, text string, tag string, slot long, shard int").parquet(path).collect()
+    assert sorted((r["doc_id"], r["text"], r["tag"]) for r in got) == sorted(d[:3] for d in data)
+    for j in (0, 2):
+        assert sorted((r["slot"], r["doc_id"]) for r in got if r["shard"] == j) == sorted(want[j])
+    assert {r["shard"] for r in got} == {0, 1, 2}
+
+
 # URL lists
 
 

@@ -120,12 +120,31 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, block_rows: int = 5
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
     """Writes the files of the shards that give or take documents below path, partitioned by shard, and
-    returns their numbers; the other shards' files stay as they are. plan: from reshard."""
+    returns their numbers; the other shards' files stay as they are. A shard that only gives is left
+    with an empty file. path may be the folder that docs is read from. plan: from reshard; old_shard: as
+    given there, or docs' own column shard if there is one; it tells apart rows that are equal in doc_id
+    and text."""
     moved = plan.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
-    touched = sorted({x for r in moved.select("old_shard", "shard").distinct().collect() for x in r if x is not None})  # shard numbers
-    where = plan.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    docs.drop("shard", "slot").join(where, F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))).drop("_id", "_crc").repartition("shard", F.pmod("slot", F.lit(16))).write.partitionBy("shard").mode("overwrite").parquet(path)
+    ends = {x for r in moved.select("old_shard", "shard").distinct().collect() for x in r}  # shard numbers
+    touched = sorted(ends - {None})
+    if old_shard is None and "shard" in docs.columns:
+        old_shard = F.col("shard").cast("int")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = {"_id": F.col("doc_id"), "_size": (F.octet_length(text) + ROW_BYTES).cast("long"), "_crc": F.crc32(text.cast("binary")), "_old": F.lit(None).cast("int") if old_shard is None else old_shard.cast("int")}
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    copy = lambda *by: F.row_number().over(Window.partitionBy("_id", "_size", "_crc", "_old").orderBy(*by))
+    rows = docs.withColumns(keys).select(*columns, *keys).withColumn("_copy", copy(F.xxhash64(*columns)))
+    old = F.lit(None).cast("int") if old_shard is None else F.col("old_shard")
+    places = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), old.alias("_old"), "shard", "slot").withColumn("_copy", copy("shard", "slot"))
+    places = places.where(F.col("shard").isin(touched)).select(*[F.col(c).alias(f"{c}_p") for c in (*keys, "_copy")], "shard", "slot")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_p")) for c in (*keys, "_copy")]
+    written = rows.join(places, same).select(*columns, "slot", "shard")
+    written.repartition("shard", F.pmod("slot", F.lit(16))).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    # Dynamic overwriting leaves a shard alone that gets no row.
+    taking = {r["shard"] for r in plan.where(F.col("shard").isin(touched)).select("shard").distinct().collect()}
+    for shard in ends - taking:
+        folder = "__HIVE_DEFAULT_PARTITION__" if shard is None else shard
+        docs.sparkSession.createDataFrame([], written.drop("shard").schema).write.mode("overwrite").parquet(f"{path.rstrip('/')}/shard={folder}")
     return touched
