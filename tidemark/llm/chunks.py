@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import store
 
 CHUNK = "chunk string, n_bytes long, ids array<long>, sizes binary, texts binary"
 _FIELDS = pa.schema([("chunk", pa.string()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary())])
@@ -55,7 +55,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if ids:
             yield full()
 
-    return store(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pack, CHUNK), packed=True)
+    return store(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pack, CHUNK), packed=True, texts=True)
 
 
 def unpack(ids, sizes: bytes, texts: bytes) -> tuple[list[int | None], list[bytes]]:

@@ -5,15 +5,21 @@ tokens at its ones and ignores the others, so that a substituted token at a zero
 all places of the benchmark items are joined with those of the documents; around every hit, item and
 document are laid over each other at that shift, and the overlap counts if some run of `overlap` tokens
 (of the whole item, if it is shorter) agrees in at least `percent` of its places. The three MASKS find
-every run of 13 tokens with up to two substitutions.
+every run of 13 tokens with up to two substitutions, SHORT_MASKS every shorter item with as many as 80 in
+a hundred allow.
 
-The documents' side of the join is reduced by a filter over the benchmark's hashes where these are no
-more than FILTER_SEEDS (8 bytes each, counted first); beyond that all hashes are joined by a shuffle,
-with the same result.
+An item of fewer than `shortest` tokens matches where it stands whole: anywhere if it has LONG_TEXT letters
+(a sentence without blanks is one token), else only as the whole document, for a word or two are in
+every text.
 
-Defined cases: null or empty text: no tokens; items of fewer than `shortest` tokens match nothing; null
-doc_id or item_id: values like any other; repeated rows and items: one result; empty tables: no rows;
-other columns are ignored by find_overlaps and kept by drop_contaminated.
+The documents' side of the join is reduced by a bit for every hash of the benchmark (16 MB, whatever its
+size), and by the hashes themselves where these are no more than FILTER_SEEDS (8 bytes each, counted
+first); the join that follows gives the same result either way.
+
+Defined cases: null or empty text: no tokens, no match; very long texts: whole, like others; null doc_id or
+item_id: values like any other; ties: of overlaps of one item that are equally good the longest; repeated
+rows and items: one result; empty tables: no rows; other columns, whatever their names, are ignored by
+find_overlaps and kept by drop_contaminated.
 """
 
 from __future__ import annotations
@@ -26,18 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import Scratch, row_hash, without
 from .shingles import hash_words, mix
 
 MASKS = ("111001011", "11011101", "1011111")
-#: For items with fewer tokens than `overlap`.
-SHORT_MASKS = ("1111", "11011")
-OVERLAP, PERCENT, SHORTEST = 13, 80, 5
+#: For items with fewer tokens than `overlap`; for those with fewer than `shortest`, by their number.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+WHOLE_MASKS = ("1", "11", "111", "1111")
+OVERLAP, PERCENT, SHORTEST, LONG_TEXT = 13, 80, 5, 20
 FILTER_SEEDS, BROADCAST_SEEDS = 4_000_000, 500_000
+#: Bits of the filter, as a power of two.
+FILTER_BITS = 27
+_ALL = (*MASKS, *SHORT_MASKS, *WHOLE_MASKS)
+#: Number of the hash of a whole document or item of fewer than `shortest` tokens.
+_WHOLE = len(_ALL)
 
 _TOKEN = re.compile(r"\w+")
-_SEEDS = pa.schema([("item_id", pa.int64()), ("item_hash", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("seeds", pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))])
-ITEMS = "item_id long, item_hash long, n int, tokens array<long>, seeds array<struct<seed:long,at:int>>"
+_SEEDS = pa.schema([("item_id", pa.int64()), ("item_hash", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("masks", pa.list_(pa.int32())), ("seeds", pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))])
+ITEMS = "item_id long, item_hash long, n int, tokens array<long>, masks array<int>, seeds array<struct<seed:long,at:int>>"
 _HITS = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("tokens", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))])
 HITS = "doc_id long, row_hash long, tokens array<long>, hits array<struct<seed:long,at:int>>"
 
@@ -59,33 +71,64 @@ def seeds(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out)
 
 
+def _whole(hashes: np.ndarray) -> np.ndarray:
+    return seeds(hashes, "1" * len(hashes), _WHOLE)
+
+
+def _masks(n: int, letters: int, overlap: int, shortest: int) -> list[int]:
+    """Numbers of the masks for an item of n tokens."""
+    if n <= len(WHOLE_MASKS):
+        return [len(MASKS) + len(SHORT_MASKS) + n - 1] if n >= shortest or letters >= LONG_TEXT else []
+    if n < shortest:
+        return []
+    return [*range(len(MASKS))] if n >= overlap else [*range(len(MASKS), len(MASKS) + len(SHORT_MASKS))]
+
+
 def _items(benchmark: DataFrame, overlap: int, shortest: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _SEEDS}
             for item, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                h = hash_words(tokens(text.as_py()))
-                if len(h) < shortest:
+                words = tokens(text.as_py())
+                if not words:
                     continue
-                masks = [(k, m) for k, m in enumerate((*MASKS, *SHORT_MASKS)) if (k < len(MASKS)) == (len(h) >= overlap)]
-                for name, value in zip(out, (item, own, len(h), h.view(np.int64), [{"seed": int(s), "at": at} for k, m in masks for at, s in enumerate(seeds(h, m, k).view(np.int64))])):
+                h = hash_words(words)
+                masks = _masks(len(h), sum(map(len, words)), overlap, shortest)
+                marks = [(s, at) for k in masks for at, s in enumerate(seeds(h, _ALL[k], k).view(np.int64))]
+                if len(h) < shortest:
+                    marks += [(s, 0) for s in _whole(h).view(np.int64)]
+                for name, value in zip(out, (item, own, len(h), h.view(np.int64), masks, [{"seed": int(s), "at": at} for s, at in marks])):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_SEEDS)
 
-    rows = benchmark.select(F.col("item_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_hash"), "text").dropDuplicates()
-    return store(rows.mapInArrow(read, ITEMS))
+    rows = benchmark.select(F.col("item_id").cast("long"), row_hash().alias("item_hash"), "text").dropDuplicates()
+    return rows.mapInArrow(read, ITEMS)
+
 
+def _bits(places: DataFrame) -> np.ndarray:
+    """A bit for the high bits of every seed; as many rows come to the driver as the filter has blocks of
+    32768 bits."""
+    high = F.shiftrightunsigned("seed", 64 - FILTER_BITS) + 1  # blocks are counted from 1
+    rows = places.groupBy(F.bitmap_bucket_number(high).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(high)).alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS, bool)
+    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+        own = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        out[(bucket - 1) * len(own) : bucket * len(own)] = own[: len(out) - (bucket - 1) * len(own)]
+    return np.packbits(out, bitorder="little")
 
-def _hits(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """Documents with a place whose hash is wanted (sorted; None: every hash is)."""
-    bits = None
-    if wanted is not None:
-        bits = np.zeros(1 << 22, bool)
-        bits[wanted >> np.uint64(42)] = True
+
+def _hits(docs: DataFrame, wanted: np.ndarray | None, bits: np.ndarray, masks: list[int], shortest: int) -> DataFrame:
+    """Documents with a place whose hash is wanted (sorted; None: whose bit is set), by these masks."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, bits = shared.value
+
+        def asked(s: np.ndarray) -> np.ndarray:
+            high = s >> np.uint64(64 - FILTER_BITS)
+            at = np.flatnonzero(bits[high >> np.uint64(3)] >> (high & np.uint64(7)).astype(np.uint8) & 1)
+            return at[wanted[np.minimum(np.searchsorted(wanted, s[at]), len(wanted) - 1)] == s[at]] if wanted is not None and len(at) else at
+
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
@@ -95,14 +138,17 @@ def _hits(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                 size = np.array([len(x) for x in own])
                 doc, start = np.repeat(np.arange(len(own)), size), np.r_[0, np.cumsum(size)]
                 found: list[tuple[np.ndarray, np.ndarray]] = []
-                for k, mask in enumerate((*MASKS, *SHORT_MASKS)):
-                    s = seeds(flat, mask, k)
-                    at = np.arange(len(s)) if bits is None else np.flatnonzero(bits[s >> np.uint64(42)])
-                    if wanted is not None and len(at):
-                        at = at[wanted[np.minimum(np.searchsorted(wanted, s[at]), len(wanted) - 1)] == s[at]]
-                    at = at[doc[at] == doc[at + len(mask) - 1]] if len(at) else at
+                for k in masks:
+                    s = seeds(flat, _ALL[k], k)
+                    at = asked(s)
+                    at = at[doc[at] == doc[at + len(_ALL[k]) - 1]] if len(at) else at
                     found.append((at, s[at]))
-                at, s = (np.concatenate(x) for x in zip(*found))
+                few = [i for i, n in enumerate(size) if 0 < n < shortest]
+                if few:
+                    s = np.concatenate([_whole(flat[start[i] : start[i + 1]]) for i in few])
+                    at = asked(s)
+                    found.append((start[np.array(few)[at]], s[at]))
+                at, s = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
                 order = np.argsort(at, kind="stable")
                 at, s = at[order], s[order].view(np.int64)
                 for i in np.unique(doc[at]) if len(at) else ():
@@ -112,24 +158,20 @@ def _hits(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                         out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=_HITS)
 
-    return store(small_batches(docs).select(F.col("doc_id").cast("long"), row_hash(), "text").mapInArrow(scan, HITS))
-
-
-def row_hash():
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash")
+    return docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), "text").mapInArrow(scan, HITS)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, percent: int = PERCENT, shortest: int = SHORTEST) -> DataFrame:
-    """One row per document and item: doc_id, row_hash, item_id, equal and tokens of the best overlap."""
-    items = _items(benchmark, overlap, shortest)
+def _overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, overlap: int, percent: int, shortest: int) -> DataFrame:
+    """doc_id, row_hash, item_id, equal and tokens of the best overlap; reads tables in scratch."""
+    items = scratch.store(_items(benchmark, overlap, shortest), texts=True)
     places = items.select("item_id", "item_hash", F.explode("seeds").alias("s")).select("item_id", "item_hash", "s.seed", F.col("s.at").alias("item_at"))
-    distinct, total = (places.agg(F.count_distinct("seed"), F.count("*")).first() if not items.isEmpty() else (0, 0))
+    distinct, total = places.agg(F.count_distinct("seed"), F.count("*")).first()
+    masks = sorted(r[0] for r in items.select(F.explode("masks")).distinct().collect())  # at most one row per mask
     wanted = None
     if distinct <= FILTER_SEEDS:  # 8 bytes each: at most 32 MB
-        wanted = np.sort(np.array([r[0] for r in places.select("seed").distinct().collect()], np.int64).view(np.uint64))
-        if not len(wanted):
-            wanted = np.array([0], np.uint64)
-    hits = _hits(docs, wanted)
+        wanted = np.sort(places.select("seed").distinct().toArrow().column(0).to_numpy().view(np.uint64))
+        wanted = wanted if len(wanted) else np.zeros(1, np.uint64)
+    hits = scratch.store(_hits(docs, wanted, _bits(places), masks, shortest), texts=True)
     spots = hits.select("doc_id", "row_hash", F.explode("hits").alias("h")).select("doc_id", "row_hash", "h.seed", F.col("h.at").alias("doc_at"))
     shifts = (
         spots.join(F.broadcast(places) if total <= BROADCAST_SEEDS else places, "seed")
@@ -170,6 +212,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP,
     return found.groupBy("doc_id", "row_hash", "item_id").agg(F.max(F.struct("equal", "tokens")).alias("_b")).select("doc_id", "row_hash", "item_id", "_b.equal", "_b.tokens")
 
 
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, percent: int = PERCENT, shortest: int = SHORTEST) -> DataFrame:
+    """One row per document and item: doc_id, row_hash, item_id, equal and tokens of the best overlap."""
+    return _overlaps(docs, benchmark, Scratch(docs.sparkSession), overlap, percent, shortest)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per contaminated document: doc_id, row_hash, n_items, item_ids, equal (of the best)."""
     return (
@@ -179,7 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, percent: int = PERCENT, shortest: int = SHORTEST) -> DataFrame:
     """docs without the contaminated ones."""
-    gone = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    return docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.store(_overlaps(docs, benchmark, scratch, overlap, percent, shortest).select("doc_id", "row_hash").distinct())
+    scratch.keep(gone)
+    return without(docs, gone)

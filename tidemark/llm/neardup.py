@@ -4,26 +4,26 @@ A document's set holds its distinct shingles of `width` words (A-Z in lower case
 sets are one node. TREES signature orders of DEPTH min-hashes each are kept sorted, every one a tree
 written out in order: neighbours in an order share the longest prefixes. Candidates come in three rounds:
 
-1. neighbours in each order; every node confirms those that most orders agree on;
-2. all other neighbours where both sides are still in different components;
-3. all pairs below one tree node where they are so even then. How deep that tree node lies adapts to the
+1. neighbours in each order; every node confirms the FIRST whose signatures agree best;
+2. all other neighbours that are still in different components;
+3. all pairs below one tree node that are so even then. How deep that tree node lies adapts to the
    region: a pair meets where its region has no more than CROSS such pairs per member, and at full depth
    in any case.
 
-Before round 2, nodes are peeled: a node whose shingles are for more than 100 - percent in a hundred its
-own, in no other node that is left, can have no link and goes, which makes more shingles someone's own.
-What is left bounds each intersection by the shared part of either side; pairs whose bound is too low
-are dropped. Both steps lose no link. Pairs whose signatures differ by much more than the threshold allows
-are dropped too (a link at the threshold is lost so with probability 2e-4). Every link is confirmed on the full sets, 100 * intersection >=
-percent * union. A pair inside one component needs no confirmation, so a group of n near copies costs a
-multiple of n. Full depth, the trees a link must be met in and the signatures' margin follow `percent`: a
-pair at the threshold is missed by all trees with probability MISS at most at full depth (5e-4 at depth 8
-for 85, 7e-5 at depth 5 for 80). Thresholds under 54 would need more trees than there are.
+Only nodes that share a tree node of depth LEAST with another one take part. Every link is confirmed on the
+full sets, 100 * intersection >= percent * union; pairs are confirmed whose signatures agree in percent
+less DEVIATIONS standard deviations, by which a link at the threshold is lost with probability 3e-7. A
+pair inside one component needs no confirmation, so a group of n near copies costs a multiple of n. Full
+depth follows `percent`: a pair at the threshold is missed by all trees with probability MISS at most at
+full depth (5e-4 at depth 8 for 85, 7e-5 at depth 5 for 80), in regions that are crowded down to there; in
+others it meets at depth 2, where all trees miss it with less than 1e-10. Thresholds under 54 would need
+more trees than there are.
 
 Defined cases: null or empty text, or no words: an empty set, linked with nothing; fewer words than
-width: the whole sequence as one shingle; null doc_id: after all others; rows with one doc_id are
-judged by their texts; repeated rows: one node, the same result; empty table: no rows; other columns
-are ignored by near_duplicates and kept by drop_near_duplicates.
+width: the whole sequence as one shingle; very long texts: whole, like others; null doc_id: after all
+others; rows with one doc_id are judged by their texts; ties: the least doc_id stays; repeated rows: one
+node, the same result; empty table: no rows; other columns, whatever their names, are ignored by
+near_duplicates and kept by drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -39,23 +39,27 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import Scratch, row_hash, without
 from .shingles import hash_words, mix, split, windows
 
 WIDTH, PERCENT, TREES, DEPTH = 5, 85, 24, 8
 #: Neighbours taken on each side of an order, partners that a node confirms first, least depth at which
-#: regions are tried, pairs per member that a region may have, times that nodes are peeled.
-REACH, FIRST, LEAST, CROSS, PEELS = 2, 2, 2, 8, 2
+#: nodes meet, pairs per member that a region may have.
+REACH, FIRST, LEAST, CROSS = 2, 2, 2, 8
 #: Members of a region that a task holds twice at most.
 BLOCK = 4096
-#: For a pair at the threshold: the probabilities that all trees miss it at full depth, and that it is met in
-#: fewer trees than asked for; standard deviations by which its signatures' agreement may fall short.
-MISS, FEW, DEVIATIONS = 5e-4, 3e-6, 3.5
-
-BASE = "doc_id long, row_hash long, key binary, n_shingles long, paths binary"
-_BASE = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("paths", pa.binary())])
-PAIRS = "a binary, b binary, na long, nb long, shared int"
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int32())])
+#: For a pair at the threshold: the probability that all trees miss it at full depth; standard deviations
+#: by which its signatures' agreement may fall short.
+MISS, DEVIATIONS = 5e-4, 5.0
+
+#: A signature: one byte of every min-hash, tree by tree, then three more of the first LEAST of each tree.
+SKETCH, MORE = TREES * DEPTH, 3 * LEAST
+BASE = "doc_id long, row_hash long, key binary, n_shingles long, sign binary"
+_BASE = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("sign", pa.binary())])
+PAIRS = "a long, b long, alike int"
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.int32())])
+LINKS = "a long, b long"
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SEEDS = (np.random.default_rng(20240101).integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 
 
@@ -65,17 +69,10 @@ def levels(percent: int) -> list[int]:
     return sorted({LEAST, (LEAST + last) // 2, last})
 
 
-def met_in(percent: int) -> int:
-    """Trees in which a node must meet another one at the least depth."""
-    p = (percent / 100) ** LEAST
-    fewer = np.cumsum([math.comb(TREES, k) * p**k * (1 - p) ** (TREES - k) for k in range(TREES)])
-    return max(1, int(np.searchsorted(fewer, FEW, side="right")))
-
-
-def margin(percent: int) -> float:
-    """How far signatures may agree less than the similarity asked for before full sets are compared."""
+def agreeing(percent: int) -> int:
+    """Least number of equal min-hashes for which full sets are compared."""
     s = percent / 100
-    return DEVIATIONS * math.sqrt(s * (1 - s) / (TREES * DEPTH))
+    return max(1, math.ceil(SKETCH * s - DEVIATIONS * math.sqrt(SKETCH * s * (1 - s))))
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -89,7 +86,7 @@ def set_key(own: np.ndarray) -> bytes:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Sixteen bits of every min-hash, (sets, TREES * DEPTH) big-endian; the sets aren't empty."""
+    """A row of SKETCH + TREES * MORE bytes per set; the sets aren't empty."""
     out = np.empty((len(sets), TREES * DEPTH), np.uint32)
     at = 0
     while at < len(sets):  # blocks that fit into a processor's cache
@@ -102,7 +99,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         for k, seed in enumerate(_SEEDS):
             out[at:to, k] = np.minimum.reduceat(x * seed, starts)
         at = to
-    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")
+    spread = (out * np.uint32(0x9E3779B1)).astype(">u4").view(np.uint8).reshape(len(sets), TREES, DEPTH, 4)
+    return np.concatenate([spread[..., 0].reshape(len(sets), -1), spread[:, :, :LEAST, 1:].reshape(len(sets), -1)], axis=1)
+
+
+def path(tree: Column, depth: Column | int = DEPTH) -> Column:
+    """The first min-hashes of a tree, as bytes that sort as the tree does."""
+    first = [x for k in range(LEAST) for x in (F.substring("sign", tree * DEPTH + (k + 1), F.lit(1)), F.substring("sign", tree * MORE + (SKETCH + 3 * k + 1), F.lit(3)))]
+    return F.concat(*first, F.substring("sign", tree * DEPTH + (LEAST + 1), F.lit(depth) - LEAST))
 
 
 def _base(docs: DataFrame, width: int) -> DataFrame:
@@ -112,65 +116,70 @@ def _base(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(begin, 2000)
                 sets = [shingles((t.as_py() or "").encode("utf-8", "surrogatepass"), width) for t in part.column(1)]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                paths: list[bytes | None] = [None] * len(sets)
+                signs: list[bytes | None] = [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full])) if full else ():
-                    paths[i] = row.tobytes()
+                    signs[i] = row.tobytes()
                 keys = [set_key(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(paths, pa.binary())], schema=_BASE)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.binary())], schema=_BASE)
 
-    return store(small_batches(docs).select(F.col("doc_id").cast("long"), "text", row_hash()).mapInArrow(sign, BASE))
+    return docs.select(F.col("doc_id").cast("long"), "text", row_hash().alias("row_hash")).mapInArrow(sign, BASE)
 
 
-def row_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash")
+def _rows(column: pa.Array, size: int) -> np.ndarray:
+    """A column of equally long blobs as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
 
 def _neighbours(forest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes close to each other in an order, with the number of such orders and the longest
-    shared prefix. The orders are sorted across the cluster; equal paths are told apart by the key, so
-    no region is too large for a task."""
+    """a, b, alike: pairs of nodes close to each other in an order whose signatures are near enough. The
+    orders are sorted across the cluster; equal paths are told apart by the node, so no region is too
+    large for a task."""
+    least = agreeing(percent)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple] = []
+        carried: pa.Table | None = None
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                tree, path, key, n = row
-                for t, p, k, m in last:
-                    if t == tree and p[:4] == path[:4] and 100 * min(m, n) >= percent * max(m, n):
-                        shared = next((d for d in range(2, DEPTH) if p[2 * d : 2 * d + 2] != path[2 * d : 2 * d + 2]), DEPTH)
-                        for column, value in zip(out, (k, key, m, n, shared) if k < key else (key, k, n, m, shared)):
-                            column.append(value)
-                last = [*last[-(REACH - 1) :], row] if REACH > 1 else [row]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PAIRS)], schema=_PAIRS)
-
-    ordered = forest.repartitionByRange("tree", "path", "key").sortWithinPartitions("tree", "path", "key")
-    return ordered.mapInArrow(near, PAIRS).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("orders"), F.max("shared").alias("shared"))
+            new = pa.Table.from_batches([batch])
+            own = new if carried is None else pa.concat_tables([carried, new])
+            begin, n = own.num_rows - batch.num_rows, own.num_rows
+            own = own.combine_chunks()
+            place, node, size = (own.column(c).to_numpy() for c in ("p", "node", "n_shingles"))
+            sketch = _rows(own.column("sketch"), SKETCH)
+            found = []
+            for reach in range(1, REACH + 1):
+                i = np.arange(max(begin, reach), n)
+                j = i - reach
+                met = (place[i] == place[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+                i, j = i[met], j[met]
+                alike = (sketch[i] == sketch[j]).sum(axis=1)
+                good = alike >= least
+                i, j = i[good], j[good]
+                found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), alike[good].astype(np.int32)))
+            carried = own.slice(max(0, n - REACH))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=_PAIRS)
+
+    ordered = forest.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+    return ordered.select("p", "node", "n_shingles", "sketch").mapInArrow(near, PAIRS).groupBy("a", "b").agg(F.first("alike").alias("alike"))
 
 
 def _first(pairs: DataFrame) -> DataFrame:
     """The pairs that are among the FIRST best of one of their nodes."""
-    ends = pairs.select("a", "b", "orders", "shared", F.explode(F.array("a", "b")).alias("node"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("orders"), F.desc("shared"), "a", "b"))
+    ends = pairs.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("alike"), "a", "b"))
     return ends.withColumn("_rank", rank).where(F.col("_rank") <= FIRST).select("a", "b").distinct()
 
 
-def _payloads(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """key, packed: one compressed text for each of nodes (key, doc_id of one holder)."""
+def _payloads(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, packed: one compressed text for each of nodes (node, doc_id, row_hash)."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())], ["doc_id", "packed"])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [set_key(_unpacked(z.as_py(), width)) for z in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], ["key", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(2)], pa.binary())], ["own_id", "own_hash", "packed"])
 
-    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, packed binary")
-    wanted = nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).distinct()
-    return packed.join(wanted, "doc_id", "left_semi").select("packed").mapInArrow(named, "key binary, packed binary").dropDuplicates(["key"])
+    packed = docs.select(F.col("doc_id").cast("long").alias("own_id"), row_hash().alias("own_hash"), "text").mapInArrow(squeeze, "own_id long, own_hash long, packed binary")
+    held = packed.join(nodes.select("node", "doc_id", "row_hash"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("row_hash")))
+    return held.groupBy("own_id", "own_hash").agg(F.first("node").alias("node"), F.first("packed").alias("packed")).select("node", "packed")
 
 
 @lru_cache(maxsize=64)
@@ -190,186 +199,162 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
                 hold.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
-    one = texts.select(F.col("key").alias("a"), F.col("packed").alias("pa"))
-    two = texts.select(F.col("key").alias("b"), F.col("packed").alias("pb"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "pa", "pb").mapInArrow(compare, "a binary, b binary")
+    one = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
+    two = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
+    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "pa", "pb").mapInArrow(compare, LINKS)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root (the smallest node reachable) for all nodes of the links: large-star and small-star
-    steps until nothing changes; each step is written, so the lineage stays short."""
-    edges = store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+def components(links: DataFrame, held: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root (the smallest node reachable) for all nodes of the links, as a table in held: large-star
+    and small-star steps until nothing changes; each step is written, so the lineage stays short. The least
+    neighbours are stored before they are joined, so that adaptive execution can split a node with many
+    links."""
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         # Large star: what is above a node hangs on the least node next to it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = scratch.store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.store(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # Small star: a node and what is below it hang on the least of these.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.store(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = store(small)
+        edges = scratch.store(small)
+        scratch.keep(edges)
         row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(row) == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            done = scratch.store(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+            scratch.keep(done)
+            held.adopt(scratch)
+            return done
         before = tuple(row)
 
 
-def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _extended(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """labels after more links: only the roots that these join are worked on again."""
-    joined = components(_labelled(_labelled(links, labels, "a", "ra"), labels, "b", "rb").select("ra", "rb"), "ra", "rb")
+    joined = components(_labelled(_labelled(links, labels, "a", "ra"), labels, "b", "rb").select("ra", "rb"), scratch, "ra", "rb")
     new = joined.select(F.col("node").alias("_n"), F.col("root").alias("_m"))
     moved = labels.join(new, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_m", "root").alias("root"))
-    return store(moved.unionByName(joined.join(labels, "node", "left_anti")))
+    return scratch.store(moved.unionByName(joined.join(labels, "node", "left_anti")))
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
     return frame.join(labels.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(key) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", key)).drop("_node", "_root")
 
 
-def _peeled(open_nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """key, most: of open_nodes (key, n_shingles) those that may have a link among themselves, with the
-    number of their shingles that another one of them has too."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, z in zip(batch.column(0), batch.column(1)):
-                own = _unpacked(z.as_py(), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(key, len(own)), pa.array(own)], ["key", "shingle"])
-
-    left = open_nodes
-    for _ in range(PEELS):
-        rows = texts.join(left.select("key"), "key", "left_semi").select("key", "packed").mapInArrow(explode, "key binary, shingle long")
-        own = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.first("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("own"))
-        counted = left.select("key", "n_shingles").join(own, "key", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-        left = store(counted.where(100 * F.col("most") >= percent * F.col("n_shingles")).select("key", "n_shingles", "most"))
-    return left
-
-
-def _may_link(percent: int) -> Column:
-    """By the most that both sides can share."""
-    most = F.least("ma", "mb")
-    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-
-
-def _alike(sign: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Share of equal min-hashes of one signature with each of the others."""
-    return (others == sign).mean(axis=1)
-
-
-_MET = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-
 def _met(percent: int):
-    """Pairs of one region (of two blocks of it) in different components that may be similar enough."""
-    full = levels(percent)[-1]
+    """Pairs of one block of a region's members with one of visitors, in different components, that may be
+    similar enough. Visitors are the members outside the region's largest component; they sit in their own
+    blocks as well."""
+    least = agreeing(percent)
 
     def run(members: pa.Table) -> pa.Table:
-        order = np.argsort(members.column("block").to_numpy(), kind="stable")
-        members = members.take(pa.array(order))
-        keys, block = members.column("key").to_pylist(), members.column("block").to_numpy()
-        n, most = members.column("n_shingles").to_numpy(), members.column("most").to_numpy()
-        roots = np.unique(members.column("root").to_pylist(), return_inverse=True)[1]
-        signs = np.frombuffer(b"".join(members.column("paths").to_pylist()), ">u2").reshape(len(keys), -1)
-        tree, low, high = (members.column(c)[0].as_py() for c in ("tree", "low", "high"))
+        members = members.combine_chunks()
+        node, n, root = (members.column(c).to_numpy() for c in ("node", "n_shingles", "root"))
+        visits, few = (members.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("visits", "few"))
+        sketch = _rows(members.column("sketch"), SKETCH)
         a, b = [], []
-        # Only members outside the largest component are laid against the others.
-        few = np.flatnonzero(roots != np.bincount(roots).argmax())
-        minor = np.zeros(len(keys), bool)
-        minor[few] = True
-        for i in few:
-            both = np.minimum(most, most[i])
-            other = (roots != roots[i]) & (100 * both >= percent * (n + n[i] - both)) & (~minor | (np.arange(len(keys)) > i))
-            if low != high:
-                other &= block != block[i]
+        for i in np.flatnonzero(visits):
+            # Two of the few meet where the lesser one visits.
+            other = ~visits & (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (~few | (node > node[i]))
             near = np.flatnonzero(other)
-            if len(near):
-                # A pair that an earlier tree has together down to full depth is that tree's to tell.
-                told = (signs[near, : tree * DEPTH] == signs[i, : tree * DEPTH]).reshape(len(near), tree, DEPTH)[:, :, :full].all(axis=2).any(axis=1)
-                near = near[~told]
-                for j in near[_alike(signs[i], signs[near]) >= percent / 100 - margin(percent)]:
-                    a.append(min(keys[i], keys[j]))
-                    b.append(max(keys[i], keys[j]))
-        return pa.table({"a": a, "b": b}, schema=_MET)
+            near = near[(sketch[near] == sketch[i]).sum(axis=1) >= least]
+            a.append(np.minimum(node[near], node[i]))
+            b.append(np.maximum(node[near], node[i]))
+        return pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (a, b)], schema=_LINKS)
 
     return run
 
 
-def _likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose signatures are near enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(batch.num_rows, TREES * DEPTH) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= percent / 100 - margin(percent)))
-
-    one, two = (signs.select(F.col("key").alias(s), F.col("paths").alias(f"p{s}")) for s in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary")
-
-
-def _regions(forest: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs below one tree node and in different components, each region at its own depth. Regions of
-    more than BLOCK members are laid out as pairs of blocks, so a task holds two blocks at most."""
-    left = _labelled(forest, labels, "key", "root")
+def _regions(nodes: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: pairs below one tree node and in different components, each region at its own depth. Regions of
+    more than BLOCK members are dealt over several tasks."""
+    rooted = scratch.store(_labelled(nodes.select("node", "n_shingles", "sign"), labels, "node", "root"))
+    left = rooted.select("node", "root", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     taken, depths = None, levels(percent)
     for level in depths:
-        prefix = left.withColumn("_p", F.substring("path", 1, 2 * level))
-        sizes = prefix.groupBy("tree", "_p", "root").agg(F.count("*").alias("c")).groupBy("tree", "_p").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        sizes = sizes.where("m * m > same").withColumn("_take", (F.col("m") * F.col("m") - F.col("same") <= 2 * CROSS * F.col("m")) | F.lit(level == depths[-1]))
-        marked = store(prefix.join(sizes.select("tree", "_p", "m", "_take"), ["tree", "_p"]))
-        own = marked.where("_take").select("tree", "_p", "key", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        keyed = left.select("node", "root", "tree", *(["sign"] if level == LEAST else ["path"]), _region(F.col("tree"), level, level == LEAST).alias("p"))
+        sizes = keyed.groupBy("p", "root").agg(F.count("*").alias("c")).groupBy("p").agg(
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("top")
+        ).where("m * m > same").withColumn("take", (F.col("m") * F.col("m") - F.col("same") <= 2 * CROSS * F.col("m")) | F.lit(level == depths[-1]))
+        sizes = scratch.store(sizes.select("p", "m", "top", "take"))
+        if level == LEAST:  # signatures follow only into the regions that have pairs
+            keyed = keyed.withColumn("path", path(F.col("tree"))).drop("sign")
+        marked = scratch.store(keyed.join(sizes, "p"))
+        blocks, groups = (F.ceil(x / BLOCK).cast("int").alias(c) for x, c in ((F.col("m"), "blocks"), (F.col("m") - F.col("top.c"), "groups")))
+        own = marked.where("take").select("p", "node", "root", F.col("top.root").alias("most"), blocks, groups)
         taken = own if taken is None else taken.unionByName(own)
-        left = marked.where("not _take").drop("_p", "m", "_take")
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    facing = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
-    spread = taken.withColumn("block", mine).withColumn("f", F.explode(facing)).select("tree", "_p", "f.low", "f.high", "block", "key", "root").join(signs, "key")
-    return spread.groupBy("tree", "_p", "low", "high").applyInArrow(_met(percent), "a binary, b binary").distinct()
+        left = marked.where("not take").select("node", "root", "tree", "path")
+    dealt = lambda blocks, salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    few = (F.col("root") != F.col("most")).alias("few")
+    sits = taken.select("p", "node", few, F.lit(False).alias("visits"), dealt(F.col("blocks"), 0).alias("block"), every(F.col("groups")).alias("group"))
+    calls = taken.where("root <> most").select("p", "node", few, F.lit(True).alias("visits"), every(F.col("blocks")).alias("block"), dealt(F.col("groups"), 1).alias("group"))
+    signed = sits.unionByName(calls).join(rooted.select("node", "root", "n_shingles", F.substring("sign", 1, SKETCH).alias("sketch")), "node")
+    return signed.groupBy("p", "block", "group").applyInArrow(_met(percent), LINKS).distinct()
+
+
+def _region(tree: Column, level: int, from_sign: bool) -> Column:
+    """A number for the tree node of depth `level` above a path."""
+    taken = path(tree, LEAST) if from_sign else F.substring("path", 1, 4 * LEAST + level - LEAST)
+    return F.xxhash64(tree, taken)
+
+
+def _near(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, row_hash, n_shingles, component_id; reads tables in scratch."""
+    base = scratch.store(_base(docs, width), texts=True)
+    holder = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("holder")
+    nodes = base.where("n_shingles > 0").groupBy("key").agg(holder, F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
+    nodes = scratch.store(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "holder.doc_id", "holder.row_hash", "n_shingles", "sign"))
+    # Most nodes share no tree node of the least depth with another one; they are done.
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    places = nodes.select("node", "sign", tree).select("node", "tree", _region(F.col("tree"), LEAST, True).alias("p"))
+    shared = places.groupBy("p").agg(F.count("*").alias("c")).where("c > 1").select("p")
+    met = scratch.store(places.join(shared, "p", "left_semi"))
+    alive = scratch.store(nodes.join(met.select("node").distinct(), "node", "left_semi").drop("key"))
+    forest = met.join(alive, "node").select("tree", "p", path(F.col("tree")).alias("path"), "node", "n_shingles", F.substring("sign", 1, SKETCH).alias("sketch"))
+    pairs = scratch.store(_neighbours(forest, percent))
+    scratch.drop(met)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = scratch.store(_payloads(docs, alive.join(ends, "node", "left_semi")), packed=True, texts=True)
+    first = scratch.store(_first(pairs))
+    links = scratch.store(_confirmed(first, texts, percent, width))
+    labels = components(links, scratch)
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    rest = scratch.store(_labelled(_labelled(rest, labels, "a", "ra"), labels, "b", "rb").where("ra <> rb").select("a", "b"))
+    found = scratch.store(_confirmed(rest, texts, percent, width))
+    if not found.isEmpty():
+        labels = _extended(labels, found, scratch)
+    third = scratch.store(_regions(alive, labels, percent, scratch).join(first.unionByName(rest), ["a", "b"], "left_anti"))
+    if not third.isEmpty():
+        scratch.keep(base, nodes, alive, labels, third)
+        ends = third.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = scratch.store(_payloads(docs, alive.join(ends, "node", "left_semi")), packed=True, texts=True)
+        found = scratch.store(_confirmed(third, texts, percent, width))
+        if not found.isEmpty():
+            labels = _extended(labels, found, scratch)
+    scratch.keep(base, nodes, labels)
+    rooted = scratch.store(labels.join(nodes.select("node", "key", "doc_id"), "node"))
+    least = scratch.store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    linked = rooted.join(least, "root").select("key", "component_id")
+    alone = nodes.join(labels, "node", "left_anti").select("key", F.col("doc_id").alias("component_id"))
+    of_key = scratch.store(linked.unionByName(alone))
+    scratch.keep(base, of_key)
+    whole = base.where("n_shingles > 0").select("doc_id", "row_hash", "n_shingles", "key").join(of_key, "key").drop("key")
+    return whole.unionByName(base.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, row_hash, n_shingles, component_id, kept."""
-    base = _base(docs, width)
-    nodes = base.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths"))
-    trees = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("paths", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)))).alias("tree", "path")
-    nodes = store(nodes)
-    planted = nodes.select(trees, "key", "n_shingles", "doc_id")
-    # Most nodes share no tree node of the least depth with another one; they are done.
-    root = F.substring("path", 1, 2 * LEAST).alias("_r")
-    shared = planted.select("tree", root).groupBy("tree", "_r").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    met = store(planted.withColumn("_r", root).join(shared, ["tree", "_r"], "left_semi").drop("_r"))
-    # A link is met in most trees; what is met in few has none.
-    often = met.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") >= met_in(percent)).select("key")
-    forest = store(met.join(often, "key", "left_semi"))
-    pairs = store(_neighbours(forest.select("tree", "path", "key", "n_shingles"), percent))
-    texts = store(_payloads(docs, forest.select("doc_id"), width), packed=True)
-    first = _first(pairs)
-    links = store(_confirmed(first, texts, percent, width))
-    labels = components(links)
-    rooted = _labelled(forest.withColumn("_r", root), labels, "key", "root")
-    mixed = rooted.groupBy("tree", "_r").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "_r")
-    open_nodes = rooted.join(mixed, ["tree", "_r"], "left_semi").select("key", "n_shingles").distinct()
-    peeled = _peeled(open_nodes, texts, percent, width)
-    most = lambda s: peeled.select(F.col("key").alias(s), F.col("most").alias(f"m{s}"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(most("a"), "a").join(most("b"), "b").where(_may_link(percent))
-    rest = _labelled(_labelled(rest, labels, "a", "ra"), labels, "b", "rb").where("ra <> rb").select("a", "b")
-    thinned = store(forest.select("tree", "path", "key").join(peeled.select("key"), "key"))
-    signs = store(nodes.select("key", "paths").join(peeled, "key"))
-    second = store(_likely(rest, signs, percent))
-    found = store(_confirmed(second, texts, percent, width))
-    if not found.isEmpty():
-        labels = _extended(labels, found)
-    third = _regions(thinned, labels, signs, percent).join(first.unionByName(second), ["a", "b"], "left_anti")
-    found = store(_confirmed(third, texts, percent, width))
-    if not found.isEmpty():
-        labels = _extended(labels, found)
-    marked = store(_labelled(base.select("doc_id", "row_hash", "key", "n_shingles"), labels, "key", "root"))
-    least = marked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = marked.where("root is not null").join(least, "root").unionByName(marked.where("root is null").withColumn("component_id", F.col("doc_id")))
-    return joined.select("doc_id", "row_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _near(docs, width, percent, Scratch(docs.sparkSession)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs with the document of least doc_id of each component. Rows that repeat one document
     (same doc_id and text) stay together."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    return docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    near = _near(docs, width, percent, scratch)
+    gone = scratch.store(near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row_hash").distinct())
+    scratch.keep(gone)
+    return without(docs, gone)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import store
 from .tokens import encoder
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids binary"
@@ -29,7 +29,7 @@ PIECES = "doc_id long, row_key long, piece int, start long, length long, ids bin
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
     """Every document's pieces; ids: their token ids, four bytes each, low bytes first."""
-    columns = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, stop = encoder(tokenizer), np.uint32(end).tobytes()
@@ -199,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, n_
     n_groups: sizes that the configurations know; small: lengths under this share of the capacity are
     left for the best-fit pass. Ranks within a length come from counts by (length, block), so that no
     task orders all pieces of one length."""
-    cut = store(pieces(docs, tokenizer, end, capacity))
+    cut = store(pieces(docs, tokenizer, end, capacity), texts=True)
     counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     spark = cut.sparkSession
     runs = plan(counted, capacity, max(1, int(small * capacity)), n_groups) if counted else []
