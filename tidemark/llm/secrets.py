@@ -6,9 +6,11 @@ whole corpus: a value copied by many owners is an example, one that few own look
 span gets the same label, as a column, but stays a span either way.
 
 Spans are (kind, start, end) in code points, end exclusive; within one kind they don't overlap.
-Defined cases: null or empty text: no spans; a null owner or repository counts as one of its own;
-repeated rows: each gets the same result and counts once per owner and repository; empty table:
-no rows; other columns are ignored by scan_secrets and kept by mask_secrets.
+Defined cases: null or empty text: no spans; very long texts and texts with very many spans: whole, in
+time in proportion to them; a null owner or repository counts as one of its own; ties: two spans with one
+start are ordered as the kinds are listed; repeated rows: each gets the same result and counts once per
+owner and repository; empty table: no rows; other columns, whatever their names, are ignored by
+scan_secrets and kept by mask_secrets.
 """
 
 from __future__ import annotations
@@ -16,22 +18,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, let, row_hash, running
+
 # The base kinds in their order, pattern, group that holds the value, least length of it.
+# Where the value ends a match, the least length is in the pattern.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: Candidates of kind `owned`: pattern, group of the value, least length.
 EXTRA = (
     ("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 16),
-    ("mixed", r"[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*", 0, 24),
+    ("mixed", r"[A-Za-z0-9+/_-]{24,}", 0, 24),
 )
 ORDER = ("assign", "access", "hex", "owned")
 #: A value held by more distinct owners, or repositories, than these is an example.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 
-SPAN = "array<struct<start:bigint,ord:int,end:bigint,value:string,kind:string>>"
+#: begin and stop are the places in bytes of UTF-8.
+SPAN = "array<struct<start:bigint,ord:int,end:bigint,value:string,kind:string,begin:bigint,stop:bigint>>"
+
+
+def _none() -> Column:
+    return F.array().cast(SPAN)
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
@@ -39,39 +49,32 @@ def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
     between the matches give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pieces = F.split(text, pattern, -1)
-
-    def place(pairs: Column) -> Column:
-        first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(SPAN).alias("out"))
-        step = lambda acc, m: F.struct(
-            (acc["at"] + F.char_length(m["piece"]) + F.char_length(m["match"])).cast("bigint").alias("at"),
-            F.when(
-                F.char_length(m["value"]) >= least,
-                F.concat(
-                    F.coalesce(acc["out"], F.array().cast(SPAN)),
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.char_length(m["piece"])).cast("bigint").alias("start"),
-                            F.lit(order).alias("ord"),
-                            (acc["at"] + F.char_length(m["piece"]) + F.char_length(m["match"])).cast("bigint").alias("end"),
-                            m["value"].alias("value"),
-                            F.lit(kind).alias("kind"),
-                        )
-                    ).cast(SPAN),
-                ),
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    parts = F.arrays_zip(pieces.alias("piece"), found.alias("match"), values.alias("value"))
+
+    def place(own: Column) -> Column:
+        ends = lambda length: running(F.transform(own, lambda m: (length(m["piece"]) + length(m["match"])).cast("bigint")), lambda at, n: at + n)
+
+        def span(at: Column):
+            return lambda m, i: F.struct(
+                (F.get(at["chars"], i) - F.char_length(m["match"])).cast("bigint").alias("start"),
+                F.lit(order).alias("ord"),
+                F.get(at["chars"], i).alias("end"),
+                m["value"].alias("value"),
+                F.lit(kind).alias("kind"),
+                (F.get(at["bytes"], i) - F.octet_length(m["match"])).cast("bigint").alias("begin"),
+                F.get(at["bytes"], i).alias("stop"),
             )
-            .otherwise(acc["out"])
-            .alias("out"),
-        )
-        return F.coalesce(F.aggregate(pairs, first, step, lambda acc: acc["out"]), F.array().cast(SPAN))
 
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("match"), values.alias("value"))
-    return F.when(F.regexp_like(text, F.lit(_probe(pattern, least))), place(pairs)).otherwise(F.array().cast(SPAN))
+        both = F.struct(ends(F.char_length).alias("chars"), ends(F.octet_length).alias("bytes"))
+        return F.filter(let(both, lambda at: F.transform(own, span(at))), lambda s: F.char_length(s["value"]) >= least)
+
+    return F.when(F.regexp_like(text, F.lit(_probe(pattern, least))), let(parts, place)).otherwise(_none()).cast(SPAN)
 
 
 def _probe(pattern: str, least: int) -> str:
     """A pattern that every text with such a span has: the last run with its least length."""
-    return pattern.replace("+/_.=-]+)", f"+/_.=-]{{{least},}})").replace("[0-9a-f]+", f"[0-9a-f]{{{least},}}").replace("AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16}")
+    return pattern.replace("=-]+)", f"=-]{{{least},}})")
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -79,10 +82,10 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*[_spans(text, kind, i, p, g, n) for i, (kind, p, g, n) in enumerate(BASE)])
     extra = F.concat(*[_spans(text, kind, len(BASE) + i, p, g, n) for i, (kind, p, g, n) in enumerate(EXTRA)])
-    mixed = F.filter(extra, lambda s: (s["kind"] != "mixed") | (s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]")))
+    mixed = F.filter(extra, lambda s: (s["kind"] != "mixed") | (s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]")))
     return docs.select(
         F.col("doc_id"),
-        F.xxhash64(text).alias("key"),
+        row_hash().alias("key"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"),
         base.alias("base"),
@@ -91,43 +94,44 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
 
 
 def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """-> value_hash, n_owners, n_repositories, live. Pairs are counted once before the values meet,
-    so a value in a third of all documents arrives as few rows."""
+    """-> value_hash, n_owners, n_repositories, live. Triples of value, owner and repository are counted
+    once before the values meet, so a value in a third of all documents arrives as few rows."""
     seen = found.select("_owner", "_repo", F.explode(F.concat("base", "extra")).alias("s")).select(F.sha2(F.col("s.value"), 256).alias("value_hash"), "_owner", "_repo")
-    owners = seen.groupBy("value_hash", "_owner").agg(F.count_distinct("_repo").alias("n"))
     return (
-        owners.groupBy("value_hash")
-        .agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+        seen.groupBy("value_hash")
+        .agg(F.count_distinct("_owner").alias("n_owners"), F.count_distinct("_repo").alias("n_repositories"))
         .withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     )
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """One row per document: doc_id, key, base, spans (base and added ones by start, then kind), n_live,
-    n_examples (of all spans and candidates, by ownership)."""
-    from .common import store
-
-    found = store(candidates(docs, owner, repository))
-    owned = ownership(found, max_owners, max_repositories)
+def _scanned(docs: DataFrame, scratch: Scratch, owner: str, repository: str, max_owners: int, max_repositories: int) -> DataFrame:
+    """See scan_secrets; reads tables in scratch."""
+    found = scratch.store(candidates(docs, owner, repository))
+    # Stored, so that adaptive execution can split a value that a third of all documents hold.
+    live = scratch.store(ownership(found, max_owners, max_repositories).where("live").select("value_hash"))
     each = (
         found.where(F.size("base") + F.size("extra") > 0)
         .select("doc_id", "key", "base", "extra")
         .dropDuplicates(["doc_id", "key"])
         .select("doc_id", "key", F.explode(F.concat("base", "extra")).alias("s"))
         .withColumn("value_hash", F.sha2(F.col("s.value"), 256))
-        .join(owned, "value_hash")
+        .join(live, "value_hash", "left_semi")
     )
-    added = F.array_compact(F.collect_list(F.when((F.col("s.ord") >= len(BASE)) & F.col("live"), F.col("s"))))
-    labels = each.groupBy("doc_id", "key").agg(
-        added.alias("added"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_examples")
-    )
-    merged = F.sort_array(
-        F.concat("base", F.transform(F.coalesce("added", F.array().cast(SPAN)), lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("ord"), s["end"].alias("end"), s["value"].alias("value"), F.lit("owned").alias("kind"))))
-    )
-    none, some = found.where(F.size("base") + F.size("extra") == 0), found.where(F.size("base") + F.size("extra") > 0)
-    some = some.alias("f").join(labels.alias("l"), (F.col("f.doc_id").eqNullSafe(F.col("l.doc_id"))) & (F.col("f.key") == F.col("l.key")), "left").select("f.*", "added", "n_live", "n_examples")
-    none = none.select("*", F.array().cast(SPAN).alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_examples"))
-    return some.unionByName(none).select("doc_id", "key", F.sort_array("base").alias("base"), F.array_distinct(merged).alias("spans"), "n_live", "n_examples")
+    owned = lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("ord"), s["end"].alias("end"), s["value"].alias("value"), F.lit("owned").alias("kind"), s["begin"].alias("begin"), s["stop"].alias("stop"))
+    added = F.array_compact(F.collect_list(F.when(F.col("s.ord") >= len(BASE), owned(F.col("s")))))
+    labels = scratch.store(each.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(added.alias("added"), F.count("*").alias("n_live")))
+    n = F.size("base") + F.size("extra")
+    some = found.where(n > 0).join(labels, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    none = found.where(n == 0).withColumns({"added": _none(), "n_live": F.lit(0).cast("long")})
+    spans = F.array_distinct(F.sort_array(F.concat("base", F.coalesce("added", _none()))))
+    n_live = F.coalesce("n_live", F.lit(0))
+    return some.select(*none.columns).unionByName(none).select("doc_id", "key", F.sort_array("base").alias("base"), spans.alias("spans"), n_live.alias("n_live"), (n - n_live).cast("long").alias("n_examples"))
+
+
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per document: doc_id, key, base, spans (base and added ones by start, then kind), n_live,
+    n_examples (of all spans and candidates, by ownership)."""
+    return _scanned(docs, Scratch(docs.sparkSession), owner, repository, max_owners, max_repositories)
 
 
 def listed(spans: Column) -> Column:
@@ -135,22 +139,29 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def mask_secrets(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
+def mask_secrets(docs: DataFrame, mask: str = "[secret]", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """docs with every span replaced by mask in text (overlapping spans: one mask) and n_chars, where
     there is one, recounted for these texts. All rows stay."""
-    scanned = scan_secrets(docs, **options)
-    hits = scanned.where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    first = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.when(fresh, out).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    masked = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
-    joined = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_key")), "left")
-    new = {"text": F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)}
-    out = joined.select(*[new.get(c, F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col("_spans").isNotNull().alias("_hit"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hit"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_hit")
+    scratch = Scratch(docs.sparkSession)
+    scanned = _scanned(docs, scratch, owner, repository, max_owners, max_repositories)
+    places = F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["stop"].alias("stop")))
+    hits = scratch.store(scanned.where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), places.alias("spans")))
+    scratch.keep(hits)
+    raw = F.col("row.text").cast("binary")
+
+    def masked(spans: Column) -> Column:
+        def cut(before: Column) -> Column:
+            """The text from the end of the spans before to each span, and a mask if it overlaps none of them."""
+            piece = lambda s, i: let(F.coalesce(F.get(before, i - 1), F.lit(0)), lambda at: F.when(s["begin"] >= at, F.concat(F.substring(raw, (at + 1).cast("int"), (s["begin"] - at).cast("int")).cast("string"), F.lit(mask))).otherwise(""))
+            rest = F.substring(raw, (F.get(before, F.size(before) - 1) + 1).cast("int"), F.octet_length("row.text")).cast("string")
+            return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+        return let(running(F.transform(spans, lambda s: s["stop"]), F.greatest), cut)
+
+    rows = docs.select(F.struct("*").alias("row"), row_hash().alias("own_key"))
+    joined = rows.join(hits, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("of_key")), "left")
+    joined = joined.withColumn("new", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(masked(F.col("spans"))))
+    kind = {f.name: f.dataType for f in docs.schema}
+    count = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new").cast(kind["n_chars"])) if "n_chars" in kind else None
+    new = {"text": F.col("new"), "n_chars": count}
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
