@@ -9,6 +9,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrow
+
 # Fixed values.
 ARTICLES = "a|an|the|la|le|les|el|los|las|der|die|das|de|het|il|lo|gli|le"
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
@@ -107,48 +109,65 @@ def standard_text(c: Column) -> Column:
     return squeeze(strip_accents(trim(F.lower(F.coalesce(c, F.lit(""))))))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_isbn(c: Column) -> Column:
-    out = F.upper(F.regexp_replace(c.cast("string"), rf"[-]|{_SPACE}", ""))
-    return F.when(F.char_length(out).isin(10, 13), out)
+    return _let(F.upper(F.regexp_replace(c.cast("string"), rf"[-]|{_SPACE}", "")), lambda out: F.when(F.char_length(out).isin(10, 13), out))
 
 
-def _digit(c: Column, at: int) -> Column:
-    d = F.substring(c, at, 1)
-    return F.when(d == "X", 10).otherwise(F.coalesce(d.try_cast("int"), F.lit(0)))
+def _isbn_digits(c: Column) -> Column:
+    """The digits as numbers; X is ten."""
+    return F.transform(F.split(c, ""), lambda d: F.when(d == "X", 10).otherwise(F.coalesce(d.try_cast("int"), F.lit(0))))
 
 
-def _sum13(c: Column) -> Column:
-    return sum((_digit(c, i + 1) * (1 if i % 2 == 0 else 3) for i in range(12)), F.lit(0))
+def _weighted(digits: Column, weights: list[int]) -> Column:
+    return F.aggregate(F.zip_with(digits, F.array(*map(F.lit, weights)), lambda d, w: F.coalesce(d * w, F.lit(0))), F.lit(0), lambda a, b: a + b)
+
+
+def _to_10(c: Column, digits: Column) -> Column:
+    last = (10 - _weighted(F.slice(digits, 1, 12), [1, 3] * 6) % 10) % 10
+    check = (11 - _weighted(F.slice(digits, 4, 9), [*range(10, 1, -1)]) % 11) % 11
+    ok = c.rlike(r"^978\d{10}$") & (last == F.get(digits, F.lit(12)))
+    return F.when(ok, F.concat(F.substring(c, 4, 9), F.when(check == 10, "X").otherwise(check.cast("string"))))
+
+
+def _to_13(c: Column, digits: Column) -> Column:
+    # 38: what the digits 978 add to the sum.
+    last = (10 - (38 + _weighted(F.slice(digits, 1, 9), [3, 1, 3, 1, 3, 1, 3, 1, 3])) % 10) % 10
+    ok = c.rlike(r"^\d{9}[\dX]$") & (_weighted(F.slice(digits, 1, 10), [*range(10, 0, -1)]) % 11 == 0)
+    return F.when(ok, F.concat(F.lit("978"), F.substring(c, 1, 9), last.cast("string")))
 
 
 def isbn13_to_10(c: Column) -> Column:
     """For a 978 number with a right check digit, else null."""
-    ok = c.rlike(r"^978\d{10}$") & ((10 - _sum13(c) % 10) % 10 == _digit(c, 13))
-    check = (11 - sum((_digit(c, i + 4) * (10 - i) for i in range(9)), F.lit(0)) % 11) % 11
-    return F.when(ok, F.concat(F.substring(c, 4, 9), F.when(check == 10, "X").otherwise(check.cast("string"))))
+    return _let(c, lambda x: _let(_isbn_digits(x), lambda d: _to_10(x, d)))
 
 
 def isbn10_to_13(c: Column) -> Column:
-    total = sum((_digit(c, i + 1) * (10 - i) for i in range(10)), F.lit(0))
-    core = F.concat(F.lit("978"), F.substring(c, 1, 9))
-    return F.when(c.rlike(r"^\d{9}[\dX]$") & (total % 11 == 0), F.concat(core, ((10 - _sum13(core) % 10) % 10).cast("string")))
+    """For a number with a right check digit, else null."""
+    return _let(c, lambda x: _let(_isbn_digits(x), lambda d: _to_13(x, d)))
 
 
 def isbn_variants(c: Column) -> Column:
     """The cleaned number and its other form, without nulls or repeats."""
-    clean = clean_isbn(c)
-    other = F.when(F.char_length(clean) == 10, isbn10_to_13(clean)).otherwise(isbn13_to_10(clean))
-    return F.array_distinct(F.array_compact(F.array(clean, other)))
+
+    def forms(clean: Column, digits: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.array(clean, F.when(F.char_length(clean) == 10, _to_13(clean, digits)).otherwise(_to_10(clean, digits)))))
+
+    variants = _let(clean_isbn(c), lambda clean: _let(_isbn_digits(clean), lambda d: forms(clean, d)))
+    return F.when(c.isNotNull(), variants).otherwise(F.array().cast("array<string>"))
 
 
 def clean_asin(c: Column) -> Column:
-    out = F.upper(F.regexp_replace(c, _SPACE, ""))
-    return F.when((F.char_length(out) == 10) & out.rlike("^[A-Z]"), out)
+    return _let(F.upper(F.regexp_replace(c, _SPACE, "")), lambda out: F.when((F.char_length(out) == 10) & out.rlike("^[A-Z]"), out))
 
 
-def _bound(a: Column, b: Column, body) -> Column:
-    """body(a, b) with both sides computed once, however often body uses them."""
-    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: body(s["a"], s["b"])), F.lit(0))
+def asins(c: Column) -> Column:
+    """The cleaned ASIN in an array, which is empty if there is none."""
+    return F.array_compact(F.array(clean_asin(c)))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -157,46 +176,12 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def jaro(a: Column, b: Column) -> Column:
-    """Jaro similarity with half transpositions counted as halves. A fold over the letters of a: each
-    takes the first free equal letter of b inside the window, which is then blotted out."""
-    return _bound(a, b, _jaro)
-
-
-def _jaro(a: Column, b: Column) -> Column:
-    la, lb = F.char_length(a), F.char_length(b)
-    reach = F.floor(F.greatest(la, lb) / 2).cast("int") - 1
-    zero = F.struct(b.alias("rest"), F.lit("").alias("took"))
-
-    def take(state: Column, i: Column) -> Column:
-        letter = F.substring(a, i, F.lit(1))
-        begin = F.greatest(F.lit(1), i - reach)
-        at = F.instr(F.substring(state["rest"], begin, F.least(i + reach, lb) - begin + 1), letter)
-        hit = at > 0
-        free = F.concat(F.substring(state["rest"], F.lit(1), begin + at - 2), F.lit("\0"), F.substring(state["rest"], begin + at, lb))
-        return F.struct(F.when(hit, free).otherwise(state["rest"]).alias("rest"), F.when(hit, F.concat(state["took"], letter)).otherwise(state["took"]).alias("took"))
-
-    def score(state: Column) -> Column:
-        return F.get(F.transform(F.array(state), _scored), F.lit(0))
-
-    def _scored(state: Column) -> Column:
-        m = F.char_length(state["took"])
-        mine = F.filter(F.sequence(F.lit(1), lb), lambda j: F.substring(state["rest"], j, F.lit(1)) == "\0")
-        moved = F.size(F.filter(F.transform(mine, lambda j, k: F.substring(b, j, F.lit(1)) != F.substring(state["took"], k + 1, F.lit(1))), lambda x: x))
-        return F.when(m == 0, 0.0).otherwise((m / la + m / lb + (m - moved / 2) / m) / 3)
-
-    folded = F.aggregate(F.sequence(F.lit(1), la), zero, take, score)
-    return F.when((la == 0) & (lb == 0), 1.0).when((la == 0) | (lb == 0), 0.0).when(a == b, 1.0).when(reach < 0, 0.0).otherwise(folded)
+    """Jaro similarity with half transpositions counted as halves."""
+    return arrow.jaro(a, b)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return _bound(F.lower(a), F.lower(b), _winkler)
-
-
-def _winkler(a: Column, b: Column) -> Column:
-    same = [F.substring(a, 1, n) == F.substring(b, 1, n) for n in range(1, 5)]
-    room = F.least(F.lit(4), F.char_length(a), F.char_length(b))
-    prefix = F.when(same[3] & (room >= 4), 4).when(same[2] & (room >= 3), 3).when(same[1] & (room >= 2), 2).when(same[0] & (room >= 1), 1).otherwise(0)
-    return F.get(F.transform(F.array(jaro(a, b)), lambda j: F.when(j < 0.7, j).otherwise(j + prefix * 0.1 * (1 - j))), F.lit(0))
+    return arrow.jaro_winkler(F.lower(a), F.lower(b))
 
 
 def tokens(c: Column) -> Column:
@@ -209,10 +194,15 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 0.0).otherwise(both / either)
 
 
+def _mixed(x: Column, y: Column, levenshtein: float, winkler: float) -> Column:
+    """For trimmed lower-case texts."""
+    empty = (F.char_length(x) == 0, F.char_length(y) == 0)
+    mixed = levenshtein_similarity(x, y) * levenshtein + arrow.jaro_winkler(x, y) * winkler
+    return F.when(x == y, 1.0).when(empty[0] | empty[1], 0.0).otherwise(mixed)
+
+
 def blended(a: Column, b: Column, levenshtein: float = 0.4, winkler: float = 0.6) -> Column:
-    empty = (F.char_length(a) == 0, F.char_length(b) == 0)
-    mixed = _bound(F.lower(trim(a)), F.lower(trim(b)), lambda x, y: F.when(x == y, 1.0).otherwise(levenshtein_similarity(x, y) * levenshtein + jaro_winkler(x, y) * winkler))
-    return F.when(empty[0] & empty[1], 1.0).when(empty[0] | empty[1], 0.0).otherwise(mixed)
+    return F.when((F.char_length(a) == 0) != (F.char_length(b) == 0), 0.0).otherwise(_mixed(F.lower(trim(a)), F.lower(trim(b)), levenshtein, winkler))
 
 
 def _backwards(c: Column) -> Column:
@@ -220,12 +210,10 @@ def _backwards(c: Column) -> Column:
 
 
 def author_similarity(a: Column, b: Column) -> Column:
-    def best(x: Column, y: Column) -> Column:
-        two = (F.size(F.split(x, " ")) >= 2) & (F.size(F.split(y, " ")) >= 2)
-        turned = F.when(two, F.greatest(blended(_backwards(x), y, 0.3, 0.7), blended(x, _backwards(y), 0.3, 0.7))).otherwise(0.0)
-        return F.greatest(blended(x, y, 0.3, 0.7), turned)
-
-    return _unless_missing(a, b, _bound(standard_text(a), standard_text(b), best))
+    x, y = standard_text(a), standard_text(b)
+    two = (F.size(F.split(x, " ")) >= 2) & (F.size(F.split(y, " ")) >= 2)
+    turned = F.when(two, F.greatest(_mixed(_backwards(x), y, 0.3, 0.7), _mixed(x, _backwards(y), 0.3, 0.7))).otherwise(0.0)
+    return _unless_missing(a, b, F.greatest(_mixed(x, y, 0.3, 0.7), turned))
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -234,11 +222,11 @@ def title_similarity(a: Column, b: Column) -> Column:
         out = F.regexp_replace(F.regexp_replace(out, java(r"\s*\([^)]*\)"), ""), "[:\\-–—]", " ")
         return squeeze(F.regexp_replace(out, r"[^A-Za-z0-9_\s']", ""))
 
-    return _unless_missing(a, b, _bound(light(a), light(b), lambda x, y: blended(x, y, 0.6, 0.4)))
+    return _unless_missing(a, b, _mixed(light(a), light(b), 0.6, 0.4))
 
 
 def series_similarity(a: Column, b: Column) -> Column:
-    return _unless_missing(a, b, _bound(standard_text(a), standard_text(b), lambda x, y: blended(x, y, 0.5, 0.5)))
+    return _unless_missing(a, b, _mixed(standard_text(a), standard_text(b), 0.5, 0.5))
 
 
 def general_similarity(a: Column, b: Column) -> Column:

@@ -14,7 +14,7 @@ def identifiers(editions: DataFrame) -> DataFrame:
     isbns = F.array_union(T.isbn_variants(F.col("isbn_10")), T.isbn_variants(F.col("isbn_13")))
     tagged = F.array_union(
         F.transform(isbns, lambda k: F.struct(F.lit("isbn").alias("kind"), k.alias("key"))),
-        F.array_compact(F.array(F.when(T.clean_asin(F.col("asin")).isNotNull(), F.struct(F.lit("asin").alias("kind"), T.clean_asin(F.col("asin")).alias("key"))))),
+        F.transform(T.asins(F.col("asin")), lambda k: F.struct(F.lit("asin").alias("kind"), k.alias("key"))),
     )
     return editions.select("edition_id", "book_id", F.coalesce(S.has(F.col("audio_seconds")) | S.has(F.col("pages")), F.lit(False)).alias("has_length"), F.explode(tagged).alias("k")).select(
         "edition_id", "book_id", "has_length", "k.kind", "k.key"
@@ -32,8 +32,8 @@ def identifier_index(editions: DataFrame, prefer_length: bool = True) -> DataFra
 def item_keys(items: DataFrame) -> DataFrame:
     """item_id, kind, key, prio: asin first, then the ISBN forms in order."""
     isbns = F.transform(T.isbn_variants(F.col("isbn_raw")), lambda k, i: F.struct(F.lit("isbn").alias("kind"), k.alias("key"), (i + 1).alias("prio")))
-    asins = F.when(T.clean_asin(F.col("asin_raw")).isNotNull(), F.array(F.struct(F.lit("asin").alias("kind"), T.clean_asin(F.col("asin_raw")).alias("key"), F.lit(0).alias("prio"))))
-    keys = F.concat(F.coalesce(asins, F.array().cast("array<struct<kind:string,key:string,prio:int>>")), isbns)
+    asins = F.transform(T.asins(F.col("asin_raw")), lambda k: F.struct(F.lit("asin").alias("kind"), k.alias("key"), F.lit(0).alias("prio")))
+    keys = F.concat(asins, isbns)
     return items.select("item_id", F.explode(keys).alias("k")).select("item_id", "k.kind", "k.key", "k.prio")
 
 

@@ -100,7 +100,7 @@ def detect_change(df: DataFrame, threshold: float = Thresholds.change) -> DataFr
 def analyze_regression(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Adds drop, regression, blocked, reread, warned, reason."""
     old, new = percent(F.col("previous")), percent(F.col("progress"))
-    drop = F.greatest(F.lit(0.0), old - new)
+    drop = F.greatest(F.lit(0.0), round6(old - new))
     both = old.isNotNull() & new.isNotNull()
     block, again = both & (drop >= t.block), both & (old >= t.reread_from) & (new <= t.reread_to)
     warn = both & ~block & (again | (drop >= t.warn))

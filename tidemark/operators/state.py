@@ -52,7 +52,7 @@ def state_keys(items: DataFrame) -> DataFrame:
     from ..functions import text as T
 
     key = lambda c, kind: F.struct(c.alias("identifier"), F.lit(kind).alias("identifier_type"))
-    own = F.array_compact(F.array(F.when(T.clean_asin(F.col("asin_raw")).isNotNull(), key(T.clean_asin(F.col("asin_raw")), "asin"))))
+    own = F.transform(T.asins(F.col("asin_raw")), lambda k: key(k, "asin"))
     isbns = F.transform(T.isbn_variants(F.col("isbn_raw")), lambda k: key(k, "isbn"))
     keys = F.concat(own, isbns, F.array(key(P.title_author_key(F.col("title"), F.col("author")), "title_author")))
     return items.select("user_id", "item_id", F.posexplode(keys).alias("prio", "k")).select("user_id", "item_id", "k.identifier", "k.identifier_type", "prio")

@@ -329,7 +329,7 @@ DONE = f"(CASE WHEN is_finished IS NOT NULL THEN is_finished WHEN total > 0 AND
 VALID, DONE, LEFT = (x.replace(PCT, f"(CASE WHEN progress IS NOT NULL THEN {PCT} END)") for x in (VALID, DONE, LEFT))
 PCT = f"(CASE WHEN progress IS NOT NULL THEN {PCT} END)"
 OLD = f"(CASE WHEN previous IS NOT NULL THEN {O.percent('previous')} END)"
-DROP = f"greatest(0.0, {OLD} - {PCT})"
+DROP = f"greatest(0.0, {O.r6(f'{OLD} - {PCT}')})"
 BOTH = "(progress IS NOT NULL AND previous IS NOT NULL)"
 
 
