@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -110,6 +111,75 @@ def test_owner_specific_values_are_added(spark):
     assert got[1]["s"] == f"owned:4:{4 + len(value)}" and got[1]["n_live"] == 1 and got[2]["s"] == ""
 
 
+def brute_spans(data):
+    """All spans by the statement: base kinds, and candidates held by at most two sources and twenty documents."""
+    extra = [("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 16), ("mixed", r"[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*", 0, 24)]
+    kinds = [("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+    found, owners, repos = [], collections.defaultdict(set), collections.defaultdict(set)
+    for i, text, source in data:
+        own = []
+        for k, (kind, p, g, n) in enumerate(kinds + extra):
+            for m in re.finditer(p, text or "", re.ASCII):
+                if len(m[g]) >= n and (kind != "mixed" or (re.search("[A-Z]", m[g]) and re.search("[a-z]", m[g]))):
+                    own.append((m.start(), min(k, 3), m.end(), m[g]))
+                    owners[m[g]].add(source or "")
+                    repos[m[g]].add(i)
+        found.append((i, own))
+    live = {v for v in owners if len(owners[v]) <= 2 and len(repos[v]) <= 20}
+    name = ["assign", "access", "hex", "owned"]
+    return {i: ",".join(f"{name[k]}:{a}:{b}" for a, k, b in sorted({(a, k, b) for a, k, b, v in own if k < 3 or v in live})) for i, own in found}
+
+
+def test_added_spans_against_brute_force(spark):
+    rng = random.Random(4)
+    letters = "abcdefXYZ0123456789+/_-"
+    values = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 40))) for _ in range(30)]
+    data = []
+    for i in range(120):
+        bits = [rng.choice(["é", "x", "key", rng.choice(values), "Bearer " + rng.choice(values), "token: " + rng.choice(values), "AKIA" + rng.choice(values).upper(), "0f" * rng.randint(9, 15)]) for _ in range(rng.randint(0, 12))]
+        data.append((i, rng.choice(["", " ", ", "]).join(bits) if i % 3 else " ".join(bits), f"s{rng.randrange(6)}"))
+    data += [(200 + i, values[0] + " " + values[1], "one") for i in range(25)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).select("doc_id", secrets.listed(F.col("spans")).alias("spans")).collect()}
+    want = brute_spans(data)
+    assert got == want and any("owned" in x for x in want.values()) and "owned" not in want[200]
+
+
+def test_a_repository_of_two_owners_counts_once(spark):
+    value = "Zx9mixedCASE0123456789abcdefXYZ"
+    df = spark.createDataFrame([(i, value, f"o{i % 2}", i // 2) for i in range(40)], "doc_id long, text string, source string, repo long")
+    found = secrets.candidates(df, repository="repo")
+    assert [tuple(r)[1:] for r in secrets.ownership(found).collect()] == [(2, 20, True)]
+
+
+def test_secrets_of_very_long_texts(spark):
+    """A text of a million letters without a digit, and one with a hundred thousand spans."""
+    many = 'token="abcdef" é ' * 100_000
+    df = spark.createDataFrame([(1, "ACGTacgt" * 125_000, "a"), (2, many, "b"), (3, "A1c" * 300_000, "c")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    spans = F.col("spans")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).select("doc_id", F.size(spans).alias("n"), F.get(spans, F.size(spans) - 1)["end"].alias("last")).collect()}
+    assert (got[1]["n"], got[2]["n"], got[3]["n"]) == (0, 100_000, 1)
+    assert got[2]["last"] == len(many) - 4 and got[3]["last"] == 900_000
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
+    assert masked[2] == '[secret]" é ' * 100_000 and masked[3] == "[secret]" and len(masked[1]) == 1_000_000
+    assert time.perf_counter() - began < 120
+
+
+CLASHING = ("_h", "_id", "_hash", "_key", "_spans", "row", "own_id", "own_hash", "own_key", "key", "row_hash", "of", "of_key", "spans", "new", "node", "a.b")
+
+
+def test_stages_keep_columns_whatever_their_names(spark, docs, benchmark):
+    """A column of any name that a stage uses inside comes through with its values."""
+    own = docs.select("doc_id", "text", "source", "n_chars").withColumns({c: F.lit("mine") for c in CLASHING})
+    stages = [quality.quality_filter, neardup.drop_near_duplicates, lambda d: decontaminate.drop_contaminated(d, benchmark[1]), secrets.mask_secrets]
+    for stage in stages:
+        out = stage(own)
+        assert out.columns == own.columns
+        for r in out.collect():
+            assert all(r[c] == "mine" for c in CLASHING)
+
+
 # Near duplicates
 
 
@@ -198,6 +268,57 @@ def test_decontamination(spark, docs, nothing, benchmark):
     assert decontaminate.find_overlaps(nothing, table).count() == 0 and decontaminate.find_overlaps(df, table.limit(0)).count() == 0
 
 
+def test_short_items_match_whole(spark):
+    """Exhaustively: what of five tokens stays under one substitution, and items of fewer than five."""
+    words = "p1 p2 p3 p4 p5".split()
+    sentence = "x" * 24
+    table = spark.createDataFrame([(0, " ".join(words)), (1, "yes"), (2, "red green blue"), (3, sentence)], "item_id long, text string")
+    cases = [(k, "before " + " ".join([*words[:k], "other", *words[k + 1 :]]) + " after", 0) for k in range(5)]
+    cases += [(10, "yes", 1), (11, "yes and more", None), (12, "Red, green: blue!", 2), (13, "a red green blue thing", None), (14, f"in it {sentence}.", 3), (15, f"in it {sentence}y.", None), (16, None, None), (17, "", None)]
+    df = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(df, table).collect()}
+    assert got == {(d, item) for d, _, item in cases if item is not None}
+
+
+def brute_overlaps(docs, items, overlap=13, percent=80):
+    """Every item laid over every document at every shift."""
+    out = set()
+    for d, text in docs:
+        x = decontaminate.tokens(text)
+        for i, item in items:
+            y = decontaminate.tokens(item)
+            run = min(overlap, len(y))
+            for shift in range(-len(y) + run, len(x) - run + 1) if len(y) >= 5 else ():
+                same = [0 <= k + shift < len(x) and x[k + shift] == w for k, w in enumerate(y)]
+                inside = [0 <= k + shift < len(x) for k in range(len(y))]
+                if any(all(inside[k : k + run]) and 100 * sum(same[k : k + run]) >= percent * run for k in range(len(y) - run + 1)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Few words, so that items and documents overlap in part, with substitutions, by chance and by plan."""
+    rng = random.Random(31)
+    draw = lambda n: [rng.choice("abcdefghijklmnop") for _ in range(n)]
+    items = [(i, " ".join(draw(rng.randint(5, 30)))) for i in range(30)]
+    docs = []
+    for i in range(60):
+        w = draw(rng.randint(3, 30))
+        for _, item in rng.sample(items, 2):
+            part = item.split()
+            a = rng.randint(0, len(part) - 1)
+            part = part[a:] if rng.random() < 0.3 else part
+            for _ in range(rng.randint(0, 3)):
+                part[rng.randrange(len(part))] = "z"
+            w += part + draw(3)
+        docs.append((i, " ".join(w)))
+    docs.append((99, " ".join(draw(20_000))))
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_overlaps(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 40
+
+
 def test_decontamination_without_the_filter(spark, benchmark, monkeypatch):
     items, table = benchmark
     df = spark.createDataFrame([(1, "a b " + items[0][1]), (2, "nothing of it in here at all"), (3, items[1][1])], "doc_id long, text string")
@@ -220,7 +341,7 @@ def test_masks_find_two_substitutions_in_thirteen():
 # Language model
 
 
-def test_katz(docs, nothing, monkeypatch):
+def test_katz(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(chunks.chunked, "__defaults__", (3000,))  # many chunks
     data = [(i, (t or "").encode().lower().split() + [b" end"]) for i, t in rows(docs)]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
@@ -256,8 +377,16 @@ def test_katz(docs, nothing, monkeypatch):
         base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         score = sum(math.log10(p2(h, x)) for h, x in zip([b" start"] + w[:-1], w))
         want[i, held(i), len(w), sum(uni[x] > 0 for x in w), n, round(base, 4), round(score, 4)] += 1
-    got = collections.Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 4), round(r[6], 4)) for r in katz.score_texts(docs).collect())
-    assert got == want
+    for hot in (katz.HOT, 20):  # with most contexts in one part each, and with many spread
+        got = collections.Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 4), round(r[6], 4)) for r in katz.score_texts(docs, hot).collect())
+        assert got == want
+    model = katz.train(docs, 20)
+    assert {(r["count"]) for r in model.unigrams.collect()} == set(uni.values()) and model.bigrams.count() == len(bi) and model.contexts.count() == len(ctx)
+    others = [(1, "the of and never seen before"), (2, None), (3, " ".join(["heed", "eron"] * 40))]
+    scores = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in katz.evaluate(spark.createDataFrame(others, "doc_id long, text string"), model).collect()}
+    for i, t in others:
+        w = (t or "").encode().split() + [b" end"]
+        assert scores[i][0] == len(w) and abs(scores[i][1] - sum(math.log10(p2(h, x)) for h, x in zip([b" start"] + w[:-1], w))) < 1e-6
     assert katz.score_texts(nothing).count() == 0
 
 
@@ -290,6 +419,39 @@ def test_substrings(docs, nothing, monkeypatch):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("window, bits", [(13, 10), (30, 64), (30, 10), (5, 64)])
+def test_levels_and_clashes(spark, window, bits, monkeypatch):
+    """Four levels and one, and hashes so short that most windows of the early levels clash."""
+    assert substrings.lengths(50) == [7, 13, 25, 50] and substrings.lengths(13) == [7, 13]
+    monkeypatch.setattr(chunks.chunked, "__defaults__", (2000,))
+    rng = random.Random(window)
+    passages = [[f"p{rng.randrange(50)}" for _ in range(n)] for n in (5, 12, 14, 20, 29, 31, 45, 70)]
+    data = []
+    for i in range(60):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(0, 40))]
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            at = rng.randint(0, len(w))
+            w[at:at] = p
+        data.append((i, " ".join(w)))
+    first = {}
+    for i, t in data:
+        w = t.split()
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), i)
+    want = {}
+    for i, t in data:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for j in range(window)}
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    got = {r["doc_id"]: r["kept"] for r in substrings.kept_texts(spark.createDataFrame(data, "doc_id long, text string").repartition(3), window, bits).collect()}
+    assert got == want and any(want[i] != t for i, t in data)
+
+
+def test_levels_end_when_nothing_survives(spark):
+    df = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(40))) for i in range(5)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substrings.kept_texts(df).collect()} == {0}
+
+
 def test_kept_texts(spark):
     passage = " ".join(f"p{k}" for k in range(15))
     df = spark.createDataFrame([(1, f"né one\n{passage} é"), (2, f"two {passage}  tail"), (3, None)], "doc_id long, text string")

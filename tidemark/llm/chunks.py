@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import Scratch
 
 CHUNK = "chunk string, n_bytes long, ids array<long>, sizes binary, texts binary"
 _FIELDS = pa.schema([("chunk", pa.string()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary())])
@@ -27,8 +27,8 @@ _FIELDS = pa.schema([("chunk", pa.string()), ("n_bytes", pa.int64()), ("ids", pa
 CHUNK_BYTES, PART_BYTES = 8 << 20, 24 << 20
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs (doc_id, text) as a stored table of chunks; null text: empty. Within a chunk documents are
+def chunked(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """docs (doc_id, text) as a table of chunks in scratch; null text: empty. Within a chunk documents are
     ordered by doc_id, null last."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +55,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if ids:
             yield full()
 
-    return store(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pack, CHUNK), packed=True, texts=True)
+    return scratch.store(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pack, CHUNK), packed=True, texts=True)
 
 
 def unpack(ids, sizes: bytes, texts: bytes) -> tuple[list[int | None], list[bytes]]:
