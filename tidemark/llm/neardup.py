@@ -46,8 +46,9 @@ WIDTH, PERCENT, TREES, DEPTH = 5, 85, 24, 8
 #: Neighbours taken on each side of an order, partners that a node confirms first, least depth at which
 #: nodes meet, pairs per member that a region may have.
 REACH, FIRST, LEAST, CROSS = 2, 2, 2, 8
-#: Members of a region that a task holds twice at most.
-BLOCK = 4096
+#: Members of a region that a task holds twice at most, and shingles that they have; shingles of sets that a
+#: task keeps at a time.
+BLOCK, BLOCK_SHINGLES, HELD = 4096, 8 << 20, 2 << 20
 #: For a pair at the threshold: the probability that all trees miss it at full depth; standard deviations
 #: by which its signatures' agreement may fall short.
 MISS, DEVIATIONS = 5e-4, 5.0
@@ -187,6 +188,11 @@ def _unpacked(packed: bytes, width: int) -> np.ndarray:
     return shingles(zstandard.ZstdDecompressor().decompress(packed), width)
 
 
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose full sets are as similar as asked."""
 
@@ -194,9 +200,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
         for batch in batches:
             hold = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = _unpacked(x.as_py(), width), _unpacked(y.as_py(), width)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                hold.append(100 * both >= percent * (len(s) + len(t) - both))
+                hold.append(_similar(_unpacked(x.as_py(), width), _unpacked(y.as_py(), width), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
     one = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
@@ -243,56 +247,117 @@ def _labelled(frame: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
     return frame.join(labels.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(key) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", key)).drop("_node", "_root")
 
 
-def _met(percent: int):
-    """Pairs of one block of a region's members with one of visitors, in different components, that may be
-    similar enough. Visitors are the members outside the region's largest component; they sit in their own
-    blocks as well."""
-    least = agreeing(percent)
+class _Block:
+    """Members of one block of a region and of one group of its visitors. Visitors are the members outside
+    the region's largest component; they sit in their own blocks as well."""
 
-    def run(members: pa.Table) -> pa.Table:
+    def __init__(self, members: pa.Table, percent: int):
         members = members.combine_chunks()
-        node, n, root = (members.column(c).to_numpy() for c in ("node", "n_shingles", "root"))
-        visits, few = (members.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("visits", "few"))
-        sketch = _rows(members.column("sketch"), SKETCH)
+        self.node, self.n, self.root = (members.column(c).to_numpy() for c in ("node", "n_shingles", "root"))
+        self.visits, self.few = (members.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("visits", "few"))
+        self.tree, self.percent, self.least, self.full = members.column("tree")[0].as_py(), percent, agreeing(percent), levels(percent)[-1]
+        signs = _rows(members.column("sign"), SKETCH + TREES * MORE)
+        self.sketch, self.more = signs[:, :SKETCH], signs[:, SKETCH:].reshape(-1, TREES, MORE)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A visitor and the members that it may be linked to, in other components; two visitors meet where
+        the lesser one visits."""
+        for i in np.flatnonzero(self.visits):
+            other = ~self.visits & (self.root != self.root[i]) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
+            near = np.flatnonzero(other & (~self.few | (self.node > self.node[i])))
+            same = self.sketch[near] == self.sketch[i]
+            near, same = near[good := same.sum(axis=1) >= self.least], same[good]
+            # A pair that an earlier tree has together down to full depth is that tree's to tell.
+            told = same.reshape(-1, TREES, DEPTH)[:, : self.tree, : self.full].all(axis=2) & (self.more[near, : self.tree] == self.more[i, : self.tree]).all(axis=2)
+            yield i, near[~told.any(axis=1)]
+
+
+def _candidates(percent: int):
+    """The members of a block that may be linked to another one there."""
+
+    def run(members: pa.Table) -> pa.Table:
+        block = _Block(members, percent)
+        has = np.zeros(members.num_rows, bool)
+        for i, near in block.pairs():
+            has[near] = True
+            has[i] |= len(near) > 0
+        return members.filter(pa.array(has))
+
+    return run
+
+
+def _linked(percent: int, width: int):
+    """Links between members of a block, confirmed on full sets; none between members that the links before
+    have joined already, so that a block gives fewer links than it has members."""
+
+    def run(members: pa.Table) -> pa.Table:
+        block, packed = _Block(members, percent), members.column("packed").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        above: dict[int, int] = {}
+        held = 0
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        def own(i: int) -> np.ndarray:
+            nonlocal held
+            if i not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                sets[i] = shingles(zstandard.ZstdDecompressor().decompress(packed[i]), width)
+                held += len(sets[i])
+            return sets[i]
+
         a, b = [], []
-        for i in np.flatnonzero(visits):
-            # Two of the few meet where the lesser one visits.
-            other = ~visits & (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (~few | (node > node[i]))
-            near = np.flatnonzero(other)
-            near = near[(sketch[near] == sketch[i]).sum(axis=1) >= least]
-            a.append(np.minimum(node[near], node[i]))
-            b.append(np.maximum(node[near], node[i]))
-        return pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (a, b)], schema=_LINKS)
+        for i, near in block.pairs():
+            for j in near:
+                x, y = top(int(block.root[i])), top(int(block.root[j]))
+                if x != y and _similar(own(int(i)), own(int(j)), percent):
+                    above[max(x, y)] = min(x, y)
+                    a.append(min(block.node[i], block.node[j]))
+                    b.append(max(block.node[i], block.node[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
 
     return run
 
 
-def _regions(nodes: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: pairs below one tree node and in different components, each region at its own depth. Regions of
-    more than BLOCK members are dealt over several tasks."""
+MEMBER = "p long, block int, group int, tree int, node long, n_shingles long, root long, few boolean, visits boolean, sign binary"
+
+
+def _regions(docs: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """a, b: links below one tree node between different components, each region at its own depth. Regions of
+    more than BLOCK members are dealt over several tasks; only the texts of members that may have a link
+    follow them."""
     rooted = scratch.store(_labelled(nodes.select("node", "n_shingles", "sign"), labels, "node", "root"))
-    left = rooted.select("node", "root", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    left = rooted.select("node", "n_shingles", "root", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     taken, depths = None, levels(percent)
     for level in depths:
-        keyed = left.select("node", "root", "tree", *(["sign"] if level == LEAST else ["path"]), _region(F.col("tree"), level, level == LEAST).alias("p"))
-        sizes = keyed.groupBy("p", "root").agg(F.count("*").alias("c")).groupBy("p").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("top")
+        keyed = left.select("node", "n_shingles", "root", "tree", *(["sign"] if level == LEAST else ["path"]), _region(F.col("tree"), level, level == LEAST).alias("p"))
+        sizes = keyed.groupBy("p", "root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("n")).groupBy("p").agg(
+            F.sum("c").alias("m"), F.sum("n").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root", "n")).alias("top")
         ).where("m * m > same").withColumn("take", (F.col("m") * F.col("m") - F.col("same") <= 2 * CROSS * F.col("m")) | F.lit(level == depths[-1]))
-        sizes = scratch.store(sizes.select("p", "m", "top", "take"))
+        sizes = scratch.store(sizes.select("p", "m", F.col("n").alias("all_n"), "top", "take"))
         if level == LEAST:  # signatures follow only into the regions that have pairs
             keyed = keyed.withColumn("path", path(F.col("tree"))).drop("sign")
         marked = scratch.store(keyed.join(sizes, "p"))
-        blocks, groups = (F.ceil(x / BLOCK).cast("int").alias(c) for x, c in ((F.col("m"), "blocks"), (F.col("m") - F.col("top.c"), "groups")))
-        own = marked.where("take").select("p", "node", "root", F.col("top.root").alias("most"), blocks, groups)
+        tasks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+        blocks, groups = tasks(F.col("m"), F.col("all_n")).alias("blocks"), tasks(F.col("m") - F.col("top.c"), F.col("all_n") - F.col("top.n")).alias("groups")
+        own = marked.where("take").select("p", "tree", "node", "root", F.col("top.root").alias("most"), blocks, groups)
         taken = own if taken is None else taken.unionByName(own)
-        left = marked.where("not take").select("node", "root", "tree", "path")
+        left = marked.where("not take").select("node", "n_shingles", "root", "tree", "path")
     dealt = lambda blocks, salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
     few = (F.col("root") != F.col("most")).alias("few")
-    sits = taken.select("p", "node", few, F.lit(False).alias("visits"), dealt(F.col("blocks"), 0).alias("block"), every(F.col("groups")).alias("group"))
-    calls = taken.where("root <> most").select("p", "node", few, F.lit(True).alias("visits"), every(F.col("blocks")).alias("block"), dealt(F.col("groups"), 1).alias("group"))
-    signed = sits.unionByName(calls).join(rooted.select("node", "root", "n_shingles", F.substring("sign", 1, SKETCH).alias("sketch")), "node")
-    return signed.groupBy("p", "block", "group").applyInArrow(_met(percent), LINKS).distinct()
+    sits = taken.select("p", every(F.col("groups")).alias("group"), dealt(F.col("blocks"), 0).alias("block"), "tree", "node", few, F.lit(False).alias("visits"))
+    calls = taken.where("root <> most").select("p", dealt(F.col("groups"), 1).alias("group"), every(F.col("blocks")).alias("block"), "tree", "node", few, F.lit(True).alias("visits"))
+    signed = sits.unionByName(calls).join(rooted, "node").select([x.split()[0] for x in MEMBER.split(", ")])
+    key = ("p", "block", "group")
+    members = scratch.store(signed.groupBy(*key).applyInArrow(_candidates(percent), MEMBER))
+    texts = scratch.store(_payloads(docs, nodes.join(members.select("node").distinct(), "node", "left_semi")), packed=True, texts=True)
+    return members.join(texts, "node").groupBy(*key).applyInArrow(_linked(percent, width), LINKS).distinct()
 
 
 def _region(tree: Column, level: int, from_sign: bool) -> Column:
@@ -326,14 +391,10 @@ def _near(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFr
     found = scratch.store(_confirmed(rest, texts, percent, width))
     if not found.isEmpty():
         labels = _extended(labels, found, scratch)
-    third = scratch.store(_regions(alive, labels, percent, scratch).join(first.unionByName(rest), ["a", "b"], "left_anti"))
+    scratch.keep(base, nodes, alive, labels)
+    third = scratch.store(_regions(docs, alive, labels, percent, width, scratch))
     if not third.isEmpty():
-        scratch.keep(base, nodes, alive, labels, third)
-        ends = third.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = scratch.store(_payloads(docs, alive.join(ends, "node", "left_semi")), packed=True, texts=True)
-        found = scratch.store(_confirmed(third, texts, percent, width))
-        if not found.isEmpty():
-            labels = _extended(labels, found, scratch)
+        labels = _extended(labels, third, scratch)
     scratch.keep(base, nodes, labels)
     rooted = scratch.store(labels.join(nodes.select("node", "key", "doc_id"), "node"))
     least = scratch.store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
