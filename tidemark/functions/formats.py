@@ -68,10 +68,39 @@ def hours_minutes(seconds: Column) -> Column:
     return F.concat(F.floor(s / 3600).cast("string"), F.lit("h "), F.floor(s % 3600 / 60).cast("string"), F.lit("m"))
 
 
+def _moment(c: Column) -> Column:
+    """A point in time from milliseconds, ISO or SQL text; null if it is none of these."""
+    text = F.trim(c.cast("string"))
+    dated = text.contains("T") | text.contains("-")
+    return F.when(text.rlike(r"^\d+$"), F.timestamp_millis(text.try_cast("long"))).when(dated, text.try_cast("timestamp"))
+
+
+def localize_timestamp(c: Column, zone: str = "UTC") -> Column:
+    """Local time as text; N/A where there is nothing, Invalid where it can't be read. The session's zone is
+    taken to be UTC."""
+    text = F.trim(c.cast("string"))
+    local = F.date_format(F.from_utc_timestamp(_moment(c), zone), "yyyy-MM-dd HH:mm:ss")
+    return F.when(text.isNull() | text.isin("", "0"), "N/A").otherwise(F.coalesce(local, F.lit("Invalid")))
+
+
+def localize_date(c: Column, zone: str = "UTC") -> Column:
+    """The calendar day in the zone; text without a time is that zone's day already."""
+    text = F.trim(c.cast("string"))
+    day = F.to_date(F.from_utc_timestamp(_moment(c), zone))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}( |$)"), F.substring(text, 1, 10).try_cast("date")).otherwise(day)
+
+
 def title_author_key(title: Column, author: Column) -> Column:
     flat = lambda c: F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"\s+", "_")
     return F.concat(F.lit("title_author:"), flat(title), F.lit("|"), flat(author))
 
 
+def title_author_keys(title: Column, author: Column) -> Column:
+    """Every spelling under which state may hold a title and author: today's and the two of older state."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9:]", "")
+    t, a = (F.coalesce(c, F.lit("")) for c in (title, author))
+    return F.array_distinct(F.array(title_author_key(title, author), F.concat(t, F.lit(":"), a), F.concat(bare(t), F.lit(":"), bare(a))))
+
+
 def state_title(title: Column) -> Column:
     return F.lower(F.trim(title))

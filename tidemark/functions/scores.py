@@ -87,9 +87,13 @@ def data_factor(score: Column) -> Column:
     return F.when(score.isNull(), 50.0).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0), score) / 2000 * 100))
 
 
+def narrator_similarity(edition: Column, source: Column) -> Column:
+    return T.general_similarity(T.standard_author(source), T.standard_author(edition)) * 100
+
+
 def narrator_factor(edition: Column, source: Column, source_format: Column) -> Column:
     none = lambda c: c.isNull() | (c == "")
-    alike = T.general_similarity(T.standard_author(source), T.standard_author(edition)) * 100
+    alike = narrator_similarity(edition, source)
     return (
         F.when(F.coalesce(source_format, F.lit("")) != "audiobook", 60.0).when(none(source) & none(edition), 50.0).when(none(source), 40.0).when(none(edition), 30.0).otherwise(alike)
     )

@@ -196,9 +196,12 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def _mixed(x: Column, y: Column, levenshtein: float, winkler: float) -> Column:
     """For trimmed lower-case texts."""
-    empty = (F.char_length(x) == 0, F.char_length(y) == 0)
-    mixed = levenshtein_similarity(x, y) * levenshtein + arrow.jaro_winkler(x, y) * winkler
-    return F.when(x == y, 1.0).when(empty[0] | empty[1], 0.0).otherwise(mixed)
+
+    def mix(s: Column) -> Column:
+        either = (F.char_length(s["x"]) == 0) | (F.char_length(s["y"]) == 0)
+        return F.when(s["x"] == s["y"], 1.0).when(either, 0.0).otherwise(levenshtein_similarity(s["x"], s["y"]) * levenshtein + s["j"] * winkler)
+
+    return _let(F.struct(x.alias("x"), y.alias("y"), arrow.jaro_winkler(x, y).alias("j")), mix)
 
 
 def blended(a: Column, b: Column, levenshtein: float = 0.4, winkler: float = 0.6) -> Column:

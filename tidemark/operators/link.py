@@ -69,7 +69,7 @@ def block_keys(title: Column, author: Column) -> Column:
     return F.array(F.concat_ws("|", F.array_join(words, " "), F.array_join(F.array_sort(F.transform(F.split(T.standard_author(author), " "), lambda w: F.substring(w, 1, 1))), "")))
 
 
-def _dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int = 500) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int = 500) -> DataFrame:
     """left and right joined on keys; the right rows of a crowded key are dealt over several tasks."""
     counts = right.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_salts"))
     mine = F.pmod(F.xxhash64(*right.columns), F.col("_salts")).cast("int")
@@ -79,20 +79,27 @@ def _dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int = 500)
 
 
 def candidate_pairs(items: DataFrame, works: DataFrame) -> DataFrame:
-    """item_id, item_title, item_author, the work's columns, title_score and author_score: an item meets
-    every work of its block. Titles and authors are compared once for all items and works of one form."""
+    """item_id, item_title, item_author, the work's columns, title_score and author_score, and the item's
+    series and year where it has such columns (item_series, item_sequence, item_year): an item meets every
+    work of its block. Titles and authors are compared once for all items and works of one form."""
     form = lambda title, author, t, a: (T.standard_title(F.col(title)).alias(t), F.coalesce(T.standard_author(F.col(author)), F.lit("")).alias(a))
     w = works.select("*", *form("title", "author", "_u", "_b"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
-    i = items.select("item_id", F.col("title").alias("item_title"), F.col("author").alias("item_author"), *form("title", "author", "_t", "_a"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
-    forms = _dealt(i.select("block", "_t", "_a").distinct(), w.select("block", "_u", "_b").distinct(), ["block"])
+    more = [c for c in ("item_series", "item_sequence", "item_year") if c in items.columns]
+    i = items.select("item_id", *more, F.col("title").alias("item_title"), F.col("author").alias("item_author"), *form("title", "author", "_t", "_a"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
+    forms = dealt(i.select("block", "_t", "_a").distinct(), w.select("block", "_u", "_b").distinct(), ["block"])
     compared = forms.withColumns({"title_score": T.title_similarity(F.col("_t"), F.col("_u")) * 100, "author_score": T.author_similarity(F.col("_a"), F.col("_b")) * 100})
     met = i.join(compared, ["block", "_t", "_a"]).drop("_t", "_a")
-    return _dealt(met, w, ["block", "_u", "_b"]).drop("block", "_u", "_b")
+    return dealt(met, w, ["block", "_u", "_b"]).drop("block", "_u", "_b")
+
+
+def _steady(score: str) -> Column:
+    """A score to a millionth, so that equal scores are ties however they were added up."""
+    return F.floor(F.col(score) * 1e6 + 0.5)
 
 
 def best_matches(scored: DataFrame, k: int = 10) -> DataFrame:
     """The k best works of each item, by score; ties: the least book_id."""
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "book_id"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(_steady("score")), "book_id"))
     return scored.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
@@ -124,19 +131,8 @@ def score_works(pairs: DataFrame) -> DataFrame:
 def link_by_title_author(items: DataFrame, works: DataFrame, threshold: float = 70.0) -> DataFrame:
     """item_id, book_id, score of the best work at or over the threshold; ties: the least book_id."""
     scored = score_works(candidate_pairs(items, works)).select("item_id", "book_id", "score")
-    best = scored.groupBy("item_id").agg(F.max(F.struct("score", -F.col("book_id"))).alias("b"))
-    return best.select("item_id", (-F.col("b.col2")).alias("book_id"), "b.score").where(F.col("score") >= threshold)
-
-
-def find_matches(items: DataFrame, editions: DataFrame, works: DataFrame, owned_books: DataFrame) -> DataFrame:
-    """item_id, match_type, book_id, edition_id, tier: identifiers first; titles and authors are compared
-    only for the items that these leave."""
-    by_id = link_by_identifier(items, identifier_index(editions))
-    left = items.join(by_id.select("item_id"), "item_id", "left_anti")
-    first = editions.groupBy("book_id").agg(F.min("edition_id").alias("edition_id"))
-    by_title = link_by_title_author(left, works).join(first, "book_id", "left").select("item_id", F.lit("title_author").alias("match_type"), "edition_id", "book_id")
-    every = by_id.unionByName(by_title)
-    return library_tiers(every, editions.join(owned_books.select("book_id").distinct(), "book_id", "left_semi"), owned_books)
+    best = scored.groupBy("item_id").agg(F.min_by(F.struct("book_id", "score"), F.struct(-_steady("score"), "book_id")).alias("b"))
+    return best.select("item_id", "b.book_id", "b.score").where(F.col("score") >= threshold)
 
 
 def resolve_remembered(items: DataFrame, remembered: DataFrame, owned_editions: DataFrame, score: float = 85.0) -> DataFrame:
@@ -148,7 +144,7 @@ def resolve_remembered(items: DataFrame, remembered: DataFrame, owned_editions:
 
 def author_search(state: DataFrame, name: str) -> DataFrame:
     """Rows whose author contains name in either case, by title."""
-    return state.where(F.col("author").ilike(f"%{name}%")).orderBy("title")
+    return state.where(F.lower("author").contains(name.lower())).orderBy("title")
 
 
 def search_works(items: DataFrame, works: DataFrame, k: int = 5, with_author: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as P
 from ..functions import scores as S
+from ..functions import text as T
 
 
 def score_editions(editions: DataFrame, ctx: S.EditionContext, profile: S.Profile, two_stage: bool = False) -> DataFrame:
@@ -78,23 +79,45 @@ def remembered_or_matched(matches: DataFrame, editions: DataFrame) -> DataFrame:
     return j.select("item_id", "book_id", F.coalesce("_e", "edition_id").alias("edition_id"), (F.col("_e").isNotNull() & ~F.coalesce("_len", F.lit(False))).alias("defer"))
 
 
-def explain(scored: DataFrame) -> DataFrame:
-    """scored with a reason per factor, in words by bands."""
-    band = lambda c, *steps: _bands(F.col(c), steps)
-    return scored.withColumns(
-        {
-            "why_format": band("f_format", (100, "exact format"), (62.5, "other digital format"), (37.5, "physical format"), (20, "format unknown"), (0, "format differs")),
-            "why_popularity": band("f_popularity", (80, "very popular"), (50, "popular"), (21, "few readers"), (0, "no readers")),
-            "why_completeness": band("f_completeness", (40, "some data"), (0, "no data")),
-        }
-    )
+# Where the bands of each factor begin.
+_BANDS = {
+    "popularity": ((10000, "extremely popular"), (1000, "very popular"), (100, "popular"), (10, "some readers"), (1, "few readers")),
+    "duration": ((95, "excellent"), (85, "very good"), (70, "good"), (50, "acceptable")),
+    "completeness": ((5, "very complete"), (4, "good"), (3, "decent"), (2, "limited")),
+    "narrator": ((90, "excellent"), (70, "very good"), (50, "good"), (30, "partial")),
+}
 
 
-def _bands(c: Column, steps) -> Column:
+def _banded(c: Column, factor: str, otherwise: str) -> Column:
     out = None
-    for least, said in steps:
+    for least, said in _BANDS[factor]:
         out = F.when(c >= least, said) if out is None else out.when(c >= least, said)
-    return out
+    return out.otherwise(otherwise)
+
+
+def explain(editions: DataFrame, ctx: S.EditionContext) -> DataFrame:
+    """editions with a reason in words for format, popularity, duration, completeness and narrator."""
+    fmt, source = F.lower(F.coalesce(ctx.format_mapper() if ctx.format_mapper else F.col("reading_format"), F.lit(""))), ctx.source_format
+    audio, ebook = S.contains_any(fmt, "audiobook", "listened"), S.contains_any(fmt, "ebook", "digital")
+    why_format = (
+        F.when(fmt == "", "unknown")
+        .when(((source == "audiobook") & audio) | ((source == "ebook") & ebook), "the same")
+        .when(((source == "audiobook") & ebook) | ((source == "ebook") & audio), "the other digital one")
+        .when(S.contains_any(fmt, "physical", "paperback", "hardcover"), "physical")
+        .otherwise("another")
+    )
+    users = F.coalesce("users_count", F.lit(0))
+    length = T.duration_similarity(ctx.source_duration, F.col("audio_seconds"))
+    missing = lambda c: c.isNull() | (c == "")
+    heard = F.coalesce(source, F.lit("")) != "audiobook"
+    why_duration = F.when(heard, "not relevant").when(~S.has(ctx.source_duration), "no length of the item").when(~S.has(F.col("audio_seconds")), "no length of the edition").otherwise(_banded(length, "duration", "poor"))
+    given = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names]).isNotNull()
+    filled = (given("asin"), given("isbn_10", "isbn_13"), S.has(F.col("pages")), S.has(F.col("audio_seconds")), given("reading_format", "physical_format"), S.has(F.col("users_count")))
+    complete = sum((x.cast("int") for x in filled), F.lit(0))
+    voice = S.narrator_similarity(ctx.edition_narrator, ctx.source_narrator)
+    none = missing(ctx.source_narrator), missing(ctx.edition_narrator)
+    why_narrator = F.when(heard, "not relevant").when(none[0] & none[1], "none known").when(none[0], "none of the item").when(none[1], "none of the edition").otherwise(_banded(voice, "narrator", "poor"))
+    return editions.withColumns({"why_format": why_format, "why_popularity": _banded(users, "popularity", "no readers"), "why_duration": why_duration, "why_completeness": _banded(complete, "completeness", "minimal"), "why_narrator": why_narrator})
 
 
 def preferred_editions(scored: DataFrame, editions: DataFrame) -> DataFrame:

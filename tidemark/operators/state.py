@@ -131,10 +131,12 @@ def count_runs(counters: DataFrame, runs: DataFrame) -> DataFrame:
     return counters.join(new, "user_id", "full_outer").select("user_id", (F.coalesce("runs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("runs"))
 
 
-def fingerprint(books: DataFrame, key: str = "user_id", member: str = "book_id") -> DataFrame:
-    """key, n, digest: changes when a member is added or removed; partial sums, no list of all members."""
-    own = books.select(key, member).distinct()
-    return own.groupBy(key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(member)).alias("digest"))
+def fingerprint(books: DataFrame, key: str = "user_id", member: str = "book_id", config: str = "") -> DataFrame:
+    """key, n, digest, context_hash: they change when a member is added or removed, context_hash with the
+    configuration too. Partial sums and a fixed hash; no list of all members."""
+    number = F.conv(F.substring(F.md5(F.col(member).cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    own = books.select(key, member).distinct().groupBy(key).agg(F.count("*").alias("n"), F.bit_xor(number).alias("digest"))
+    return own.withColumn("context_hash", F.md5(F.concat_ws("|", F.lit(config), F.col("n").cast("string"), F.col("digest").cast("string")).cast("binary")))
 
 
 def decision_policy(actions: DataFrame, now: Column, ttl_days: int = 7, remembered: tuple[str, ...] = ("not_found", "match_rejected", "already_in_library"), force: bool = False) -> DataFrame:

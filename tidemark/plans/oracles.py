@@ -43,6 +43,60 @@ def jaro(a: str, b: str) -> str:
     return f"(case when {a} = {b} then 1.0 when length({a}) = 0 or length({b}) = 0 then 0.0 when {w} < 0 then 0.0 else {value} end)"
 
 
+def winkler(a: str, b: str, j: str) -> str:
+    """From the Jaro similarity j."""
+    n = "case " + " ".join(f"when substr({a}, 1, {k}) = substr({b}, 1, {k}) and least(length({a}), length({b})) >= {k} then {k}" for k in (4, 3, 2, 1)) + " else 0 end"
+    return f"(case when {j} < 0.7 then {j} else {j} + 0.1 * ({n}) * (1 - {j}) end)"
+
+
+def token_jaccard(a: str, b: str) -> str:
+    tokens = "list_distinct(list_filter(string_split_regex(regexp_replace({0}, '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+'), lambda t: length(t) > 2))"
+    x, y = tokens.format(a), tokens.format(b)
+    return f"(CASE WHEN len(list_distinct({x} || {y})) = 0 THEN 0.0 ELSE len(list_intersect({x}, {y})) / len(list_distinct({x} || {y}))::double END)"
+
+
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _light(x: str) -> str:
+    """A title without article, brackets and marks."""
+    out = f"regexp_replace(regexp_replace(trim(lower({x})), '{T.TITLE_STEPS[0]}', ''), '\\s*\\([^)]*\\)', '', 'g')"
+    out = f"regexp_replace({out}, '[:\\-–—]', ' ', 'g')"
+    return _squeezed(f"regexp_replace({out}, '[^A-Za-z0-9_\\s'']', '', 'g')")
+
+
+def _plain(x: str) -> str:
+    return _squeezed(f"strip_accents(trim(lower({x})))")
+
+
+def _mixed(a: str, b: str, j: str, edits: float, letters: float) -> str:
+    return f"(CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {edits} * {levenshtein(a, b)} + {letters} * {winkler(a, b, j)} END)"
+
+
+def _compared(source: str, a: str, b: str, name: str, form, value: str, jaros: str) -> str:
+    """CTEs ending in name (a, b, s): the similarity s of every distinct pair of columns a and b of source."""
+    return (
+        f"{name}_f AS (SELECT DISTINCT {a}, {b}, {form(a)} AS fa, {form(b)} AS fb FROM {source}), "
+        f"{name}_r AS (SELECT *, array_to_string(list_reverse(string_split(fa, ' ')), ' ') AS ra, array_to_string(list_reverse(string_split(fb, ' ')), ' ') AS rb FROM {name}_f), "
+        f"{name}_j AS (SELECT *, {jaros} FROM {name}_r), "
+        f"{name} AS (SELECT {a}, {b}, CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE {value} END AS s FROM {name}_j)"
+    )
+
+
+def title_scores(source: str, a: str, b: str, name: str) -> str:
+    return _compared(source, a, b, name, _light, _mixed("fa", "fb", "j", 0.6, 0.4), f"{jaro('fa', 'fb')} AS j")
+
+
+def series_scores(source: str, a: str, b: str, name: str) -> str:
+    return _compared(source, a, b, name, _plain, _mixed("fa", "fb", "j", 0.5, 0.5), f"{jaro('fa', 'fb')} AS j")
+
+
+def author_scores(source: str, a: str, b: str, name: str) -> str:
+    turned = f"CASE WHEN len(string_split(fa, ' ')) >= 2 AND len(string_split(fb, ' ')) >= 2 THEN greatest({_mixed('ra', 'fb', 'j2', 0.3, 0.7)}, {_mixed('fa', 'rb', 'j3', 0.3, 0.7)}) ELSE 0.0 END"
+    return _compared(source, a, b, name, _plain, f"greatest({_mixed('fa', 'fb', 'j', 0.3, 0.7)}, {turned})", f"{jaro('fa', 'fb')} AS j, {jaro('ra', 'fb')} AS j2, {jaro('fa', 'rb')} AS j3")
+
+
 def percent(x: str) -> str:
     return f"least(100.0, greatest(0.0, {x}))"
 

@@ -109,12 +109,6 @@ def j6w(spark, d):
     return link.waterfall(j1(spark, d), none)
 
 
-@query("j6_find_matches")
-def find(spark, d):
-    books = view(spark, d, "fx_user_books").where("status_id = 3").select("book_id").distinct()
-    return link.find_matches(view(spark, d, "fx_items"), view(spark, d, "fx_editions"), view(spark, d, "fx_works"), books)
-
-
 @query(
     "n5_isbn_variants",
     "SELECT edition_id, CASE WHEN isbn_10 IS NOT NULL THEN isbn_10 || ',978' || core || c13::VARCHAR ELSE isbn_13 || ',' || core || CASE WHEN c10 = 10 THEN 'X' ELSE c10::VARCHAR END END AS variants FROM fx_editions",
@@ -196,13 +190,6 @@ def c9(spark, d):
     return _pairs(spark, d).select("item_id", "book_id", r6(T.general_similarity(F.col("a"), F.col("b"))).alias("sim"))
 
 
-@query("c6_c8_typed_similarities")
-def c6(spark, d):
-    i = view(spark, d, "fx_items").select("item_id", "title", "author")
-    w = view(spark, d, "fx_works").select(F.col("book_id").alias("item_id"), F.col("title").alias("t"), F.col("author").alias("a"), F.col("series_name").alias("s"))
-    return i.join(w, "item_id").select("item_id", T.title_similarity(F.col("title"), F.col("t")).alias("title_sim"), T.author_similarity(F.col("author"), F.col("a")).alias("author_sim"), T.series_similarity(F.col("s"), F.col("title")).alias("series_sim"))
-
-
 # Scores and selection
 
 CONTEXT = "e AS (SELECT x.*, CASE WHEN book_id % 2 = 0 THEN 'audiobook' ELSE 'ebook' END AS source_format, 3600 + (book_id * 41) % 36000 AS source_duration FROM fx_editions x)"
@@ -308,17 +295,6 @@ def f7(spark, d):
     return e.groupBy("book_id").agg(F.bool_or(fits).alias("fits"))
 
 
-@query("m1_work_scores")
-def m1(spark, d):
-    works = view(spark, d, "fx_works")
-    return link.best_matches(link.score_works(link.candidate_pairs(view(spark, d, "fx_items"), works))).select("item_id", "book_id", "title_score", "author_score", "score", "confidence")
-
-
-@query("j7_title_author_links")
-def j7(spark, d):
-    return link.link_by_title_author(view(spark, d, "fx_items"), view(spark, d, "fx_works"))
-
-
 # Progress
 
 PCT = O.percent("progress")
@@ -415,7 +391,14 @@ def p21(spark, d):
     return rows.select("pos", P.progress_ratio(F.lit("audiobook"), F.col("progress_ratio"), F.lit(None).cast("double")).alias("ratio"))
 
 
-@query("w3_latest_record")
+@query(
+    "w3_latest_record",
+    """SELECT user_id, item_id, r.pos AS pos, r.progress_ratio AS progress_ratio, r.fin AS is_finished FROM (
+      SELECT user_id, item_id, list_reduce(list({'pos': pos, 'at': last_update, 'progress_ratio': progress_ratio, 'fin': coalesce(is_finished, false)} ORDER BY pos),
+        lambda h, x: CASE WHEN (x.fin AND NOT h.fin) OR coalesce(x.at, TIMESTAMP '1970-01-01') >= coalesce(h.at, TIMESTAMP '1970-01-01') THEN x ELSE h END) AS r
+      FROM fx_progress WHERE episode_id IS NULL GROUP BY user_id, item_id)""",
+    "fx_progress",
+)
 def w3(spark, d):
     return progress.latest_records(view(spark, d, "fx_progress")).select("user_id", "item_id", "pos", "progress_ratio", "is_finished")
 
@@ -432,12 +415,6 @@ def n9(spark, d):
     return e.select("edition_id", P.clock(F.col("audio_seconds")).alias("clock"), short.alias("short"), P.parse_duration(short).alias("parsed"))
 
 
-@query("n8_local_dates", "SELECT pos, strftime(last_update + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM fx_progress", "fx_progress")
-def n8(spark, d):
-    """Calendar days in Tokyo."""
-    return view(spark, d, "fx_progress").select("pos", F.date_format(F.from_utc_timestamp(F.col("last_update").cast("timestamp"), "Asia/Tokyo"), "yyyy-MM-dd").alias("day"))
-
-
 # State
 
 
@@ -518,11 +495,6 @@ def w13(spark, d):
     return state.priorities(items).select("user_id", "item_id", "class", "rank")
 
 
-@query("a6_library_fingerprint")
-def a6(spark, d):
-    return state.fingerprint(view(spark, d, "fx_user_books"))
-
-
 # Decisions, reports and sessions
 
 
@@ -560,9 +532,9 @@ def k13(spark, d):
     return decide.planned_writes(_decided(spark, d).withColumn("user_id", F.col("pos"))).select(F.col("user_id").alias("pos"), "action", F.col("position_to").alias("place"))
 
 
-@query("a2_run_counters", "SELECT user_id, count(*) AS processed, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("synced", "completed", "auto_added", "skipped", "delayed", "error")) + " FROM s GROUP BY user_id", "fx_history", more=DECIDED)
+@query("a2_run_counters", "SELECT user_id, count(*) AS processed, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("synced", "completed", "auto_added", "skipped", "delayed", "error")) + ", coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (status = 'error')), ','), '') AS errors FROM s GROUP BY user_id", "fx_history", more=DECIDED)
 def a2(spark, d):
-    return report.run_counters(_decided(spark, d))
+    return report.run_counters(_decided(spark, d)).withColumn("errors", F.array_join("errors", ","))
 
 
 @query("a9_run_summary", "SELECT user_id, count(*) FILTER (status IN ('synced', 'completed', 'auto_added')) AS successful, count(*) FILTER (status = 'error') AS failures FROM s GROUP BY user_id", "fx_history", more=DECIDED)

@@ -21,10 +21,11 @@ def library_statistics(items: DataFrame, minimum: float = 5.0) -> DataFrame:
 
 
 def run_counters(actions: DataFrame) -> DataFrame:
-    """One row per user with a column per status, and the distinct errors."""
+    """One row per user with a column per status, and the distinct reasons of errors in order."""
     s = F.col("status")
     names = ("synced", "completed", "auto_added", "skipped", "delayed", "error")
-    return actions.groupBy("user_id").agg(F.count("*").alias("processed"), *[F.count_if(s == n).alias(n) for n in names])
+    errors = F.array_sort(F.collect_set(F.when(s == "error", F.col("reason")))).alias("errors")
+    return actions.groupBy("user_id").agg(F.count("*").alias("processed"), *[F.count_if(s == n).alias(n) for n in names], errors)
 
 
 def breakdown(actions: DataFrame) -> DataFrame:
@@ -52,6 +53,8 @@ def progress_changes(actions: DataFrame, now) -> DataFrame:
 
 def scoring_failures(errors: DataFrame) -> DataFrame:
     """n, n_messages and the first two messages in order."""
-    m = errors.agg(F.count("*").alias("n"), F.count_distinct("message").alias("n_messages"))
-    two = errors.select("message").distinct().orderBy("message").limit(2).agg(F.sort_array(F.collect_list("message")).alias("examples"))
-    return m.join(two)
+    each = errors.groupBy("message").agg(F.count("*").alias("n"))
+    least = F.min("message")
+    first = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("message").alias("n_messages"), least.alias("_a"))
+    second = each.join(F.broadcast(first.select("_a")), F.col("message") > F.col("_a")).agg(least.alias("_b"))
+    return first.withColumn("_k", F.lit(0)).join(F.broadcast(second.withColumn("_k", F.lit(0))), "_k").select("n", "n_messages", F.array_compact(F.array("_a", "_b")).alias("examples"))
