@@ -222,8 +222,10 @@ def test_components_of_a_chain(spark):
     assert len(got) == n and all(int(v) == int(k) // 50 * 50 for k, v in got.items())
 
 
-def test_dense_group_of_unlinked_copies(spark):
-    """Many variants of one text that mostly are no links: nothing is lost, whatever is pruned."""
+@pytest.mark.parametrize("block", [4096, 16])
+def test_dense_group_of_unlinked_copies(spark, block, monkeypatch):
+    """Many variants of one text that mostly are no links: nothing is lost, in one task or in many."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(100)]
     data = []

@@ -21,6 +21,7 @@ result; empty table: no rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,17 +55,26 @@ def lengths(window: int) -> list[int]:
     return out
 
 
+def _groups(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, first ones first, and where in it a new key begins."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.empty(0, bool)
+    if more is not None and len(keys):
+        differ = more[order][1:] != more[order][:-1]
+        if (differ & ~new[1:]).any():  # keys clash
+            order = np.lexsort((more, keys))
+            new[1:] = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
+    return order, new
+
+
 class Question:
     """The distinct keys of a chunk, in the order of their first occurrence, each with the document of
     that occurrence; the occurrences are at `doc`, ordered as the documents are (by doc_id). more: a second
     hash that equal keys must agree in as well."""
 
     def __init__(self, keys: np.ndarray, doc: np.ndarray, sent: np.ndarray, parts: int, more: np.ndarray | None = None):
-        order = np.argsort(keys, kind="stable") if more is None else np.lexsort((np.arange(len(keys)), more, keys))
-        ordered = keys[order]
-        new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.empty(0, bool)
-        if more is not None and len(keys):
-            new[1:] |= more[order][1:] != more[order][:-1]
+        order, new = _groups(keys, more)
         heads = order[new]
         by_place = np.argsort(heads)
         rank = np.empty(len(heads), np.int64)
@@ -146,9 +156,17 @@ class Texts:
         self.alive[self.at[shared[question.mine][self.of]]] = True
 
     def replay(self, replies: dict[int, dict[int, bytes]], levels: int) -> None:
-        for level in range(levels):
+        """Goes on from the last level whose question left its state."""
+        begin = max((k for k in range(levels + 1) if -1 in replies.get(k, {})), default=0)
+        if begin:
+            self.alive = np.unpackbits(np.frombuffer(replies[begin][-1], np.uint8), count=len(self.flat)).astype(bool)
+        for level in range(begin, levels):
             self.tell(self.ask(level), replies[level])
 
+    def state(self, chunk: str, parts: int) -> dict:
+        """What is alive, as a row that comes back with the replies; it goes to one of many negative parts."""
+        return {"part": -1 - zlib.crc32(chunk.encode()) % parts, "chunk": chunk, "keys": np.packbits(self.alive).tobytes()}
+
 
 def _by_level(replies: pa.Table, chunk: str, levels: int) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {k: {} for k in range(levels)}
@@ -162,22 +180,21 @@ def _answer(level: int, last: bool):
     """Per key: whether two documents hold it, on the last level whether a smaller document does."""
 
     def answer(asked: pa.Table) -> pa.Table:
+        n = asked.num_rows
+        if asked.column("part")[0].as_py() < 0:
+            return pa.table({"level": [level] * n, "chunk": asked.column("chunk"), "part": [-1] * n, "bits": asked.column("keys"), "some": [False] * n}, schema=_REPLY)
         blobs = asked.column("keys").to_pylist()
         keys = np.concatenate([C.unpack_keys(b) for b in blobs])
         doc = np.concatenate([np.repeat(np.cumsum(C.unplanes(i, np.int64)), C.unplanes(c, np.int32)) for i, c in zip(asked.column("ids").to_pylist(), asked.column("counts").to_pylist())])
         more = np.concatenate([np.frombuffer(x, np.uint64) for x in asked.column("more").to_pylist()]) if last else None
-        order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
-        ordered = keys[order]
-        new = np.r_[True, ordered[1:] != ordered[:-1]]
-        if more is not None:
-            new[1:] |= more[order][1:] != more[order][:-1]
+        order, new = _groups(keys, more)
         heads, group = np.flatnonzero(new), np.cumsum(new) - 1
         least = np.minimum.reduceat(doc[order], heads)
         yes = np.empty(len(keys), bool)
         yes[order] = least[group] < doc[order] if last else (least < np.maximum.reduceat(doc[order], heads))[group]
         ends = np.cumsum([len(b) // 7 for b in blobs])
         split_ = np.split(yes, ends[:-1])
-        n, own = asked.num_rows, asked.column("own").to_pylist()
+        own = asked.column("own").to_pylist()
         return pa.table({"level": [level] * n, "chunk": asked.column("chunk"), "part": asked.column("part"), "bits": [np.packbits(x).tobytes() for x in split_], "some": [bool(x.any()) or o for x, o in zip(split_, own)]}, schema=_REPLY)
 
     return answer
@@ -212,7 +229,7 @@ def kept_texts(docs: DataFrame, window: int = 13, bits: int = BITS) -> DataFrame
             for row in range(chunk.num_rows):
                 name, (_, t) = chunk.column("chunk")[row].as_py(), texts(chunk, row)
                 t.replay(_by_level(replies, name, level), level)
-                out += t.ask(level).blobs(name)
+                out += [*t.ask(level).blobs(name), t.state(name, parts[level])]
             return pa.Table.from_pylist(out, schema=_ASK)
 
         return ask
@@ -234,10 +251,11 @@ def kept_texts(docs: DataFrame, window: int = 13, bits: int = BITS) -> DataFrame
             name, (ids, t) = chunk.column("chunk")[row].as_py(), texts(chunk, row)
             cover = np.zeros(int(t.size.sum()) + window, np.int32)
             if survive:
+                last = len(steps) - 1
                 got = _by_level(replies, name, len(steps))
-                t.replay(got, len(steps) - 1)
-                q = t.ask(len(steps) - 1)
-                gone = t.at[q.told(got[len(steps) - 1])[q.mine] | q.behind]
+                t.replay(got, last)
+                q = t.ask(last)
+                gone = t.at[q.told(got[last])[q.mine] | q.behind]
                 np.add.at(cover, gone, 1)
                 np.add.at(cover, gone + window, -1)
             covered = np.cumsum(cover) > 0
