@@ -6,8 +6,8 @@ unigram probability, so that every context sums to one exactly. Unigrams back of
 words. Each token recurses from bigram to unigram to that class.
 
 The model is three tables in the shared folder, each laid out by parts of the key space (see chunks.py):
-unigrams (word, count), bigrams (context, word, count) and contexts (context, total, factor of the seen
-bigrams, backoff weight); words are 64-bit hashes. evaluate scores any documents by them, with joins.
+unigrams (word, id, count), bigrams (context, id, count) and contexts (context, total, factor of the seen
+bigrams, backoff weight); words and contexts are 64-bit hashes, ids number the words. evaluate scores any documents by them, with joins.
 score_texts counts and scores one corpus: what a part counts it also tells the chunks that asked, so the
 corpus needn't meet its own tables again. Contexts that occur more than `hot` times, whatever the corpus,
 are spread over all parts by their bigrams; their sums are added up in a table and joined to the chunks.
@@ -39,16 +39,16 @@ K, HOT = 5, 250_000
 END, START = hash_words([b" end", b" start"])
 
 _ASK1 = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
-_REPLY1 = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("counts", pa.binary()), ("sums", pa.list_(pa.int64())), ("word", pa.int64()), ("count", pa.int64())])
+_REPLY1 = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary()), ("sums", pa.list_(pa.int64())), ("word", pa.int64()), ("id", pa.int64()), ("count", pa.int64())])
 _ASK2 = pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("contexts", pa.binary()), ("spread", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("singles", pa.binary())])
-_REPLY2 = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("counts", pa.binary()), ("small", pa.binary()), ("seen", pa.binary()), ("asked", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())), ("context", pa.int64()), ("word", pa.int64()), ("count", pa.int64()), ("r", pa.list_(pa.int64())), ("mass", pa.float64()), ("spread", pa.bool_())])
+_REPLY2 = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("counts", pa.binary()), ("small", pa.binary()), ("seen", pa.binary()), ("asked", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())), ("context", pa.int64()), ("id", pa.int64()), ("count", pa.int64()), ("r", pa.list_(pa.int64())), ("mass", pa.float64()), ("spread", pa.bool_())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _WEIGHTS = pa.schema([("context", pa.int64()), ("total", pa.int64()), ("factor", pa.float64()), ("weight", pa.float64())])
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("context", pa.int64()), ("word", pa.int64()), ("times", pa.int64())])
 ASK1 = "part int, chunk string, keys binary, counts binary"
-REPLY1 = "chunk string, part int, counts binary, sums array<long>, word long, count long"
+REPLY1 = "chunk string, part int, counts binary, ids binary, sums array<long>, word long, id long, count long"
 ASK2 = "part int, chunk string, contexts binary, spread binary, sizes binary, keys binary, counts binary, singles binary"
-REPLY2 = "chunk string, part int, counts binary, small binary, seen binary, asked array<long>, sums array<long>, context long, word long, count long, r array<long>, mass double, spread boolean"
+REPLY2 = "chunk string, part int, counts binary, small binary, seen binary, asked array<long>, sums array<long>, context long, id long, count long, r array<long>, mass double, spread boolean"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 WEIGHTS = "context long, total long, factor double, weight double"
 TOKENS = "doc_id long, row_hash long, context long, word long, times long"
@@ -184,24 +184,26 @@ def _model(docs: DataFrame, hot: int, scratch: Scratch) -> tuple[Model, DataFram
         keys, mine = np.unique(np.concatenate(blobs), return_inverse=True)
         total = np.bincount(mine, weights=counts, minlength=len(keys)).astype(np.uint32)
         part = asked.column("part")[0].as_py()
-        replies = np.split(total[mine], np.cumsum([len(b) for b in blobs])[:-1])
+        ends = np.cumsum([len(b) for b in blobs])[:-1]
+        replies, ranks = np.split(total[mine], ends), [np.diff(x, prepend=0).astype(np.uint32) for x in np.split(mine, ends)]
         sums = [int(total.sum(dtype=np.int64)), int((total > 0).sum()), *_small(total)]
         has = total > 0
         return pa.concat_tables(
             [
-                _rows(_REPLY1, n, chunk=pa.array(names), part=pa.array([part] * n, pa.int32()), counts=pa.array(map(C.planes, replies), pa.binary())),
+                _rows(_REPLY1, n, chunk=pa.array(names), part=pa.array([part] * n, pa.int32()), counts=pa.array(map(C.planes, replies), pa.binary()), ids=pa.array(map(C.planes, ranks), pa.binary())),
                 _rows(_REPLY1, 1, part=pa.array([part], pa.int32()), sums=pa.array([sums], pa.list_(pa.int64()))),
-                _rows(_REPLY1, int(has.sum()), part=pa.array(np.full(has.sum(), part, np.int32)), word=pa.array(keys[has].view(np.int64)), count=pa.array(total[has].astype(np.int64))),
+                _rows(_REPLY1, int(has.sum()), part=pa.array(np.full(has.sum(), part, np.int32)), word=pa.array(keys[has].view(np.int64)), id=pa.array(np.flatnonzero(has) + (part << 32)), count=pa.array(total[has].astype(np.int64))),
             ]
         )
 
     words = scratch.store(chunks.mapInArrow(ask_words, ASK1).repartition(parts, "part").groupBy("part").applyInArrow(count_words, REPLY1))
     unigram = Unigram(_sums(words, K + 3))
 
-    def known(layout: Layout, replies: pa.Table) -> np.ndarray:
-        """Training counts of the chunk's keys."""
-        by = {p: c for p, c, s in zip(replies.column("part").to_pylist(), replies.column("counts").to_pylist(), replies.column("small").to_pylist()) if s is None and c is not None}
-        return np.concatenate([C.unplanes(by[p], np.uint32) for p, _, _ in _slices(layout.keys, parts)]).astype(np.int64)
+    def known(layout: Layout, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts and ids of the chunk's keys."""
+        by = {p: (c, i) for p, c, i in zip(*(replies.column(x).to_pylist() for x in ("part", "counts", "ids"))) if i is not None}
+        counts, ids = zip(*((C.unplanes(by[p][0], np.uint32), np.cumsum(C.unplanes(by[p][1], np.uint32), dtype=np.int64) + (p << 32)) for p, _, _ in _slices(layout.keys, parts)))
+        return np.concatenate(counts).astype(np.int64), np.concatenate(ids)
 
     def pairs(layout: Layout, counts: np.ndarray):
         """Bigrams of contexts that training has seen, ordered by part, context and word: (rows among
@@ -223,7 +225,7 @@ def _model(docs: DataFrame, hot: int, scratch: Scratch) -> tuple[Model, DataFram
         out: dict[str, list] = {f.name: [] for f in _ASK2}
         for row in range(chunk.num_rows):
             _, layout = _layout(chunk, row)
-            counts = known(layout, replies)
+            counts, ids = known(layout, replies)
             h, w, trained, _, rows, part, keys, totals, spread = pairs(layout, counts)
             first = heads(part, h[rows])
             sizes = np.diff(np.r_[first, len(rows)]).astype(np.uint32)
@@ -231,7 +233,7 @@ def _model(docs: DataFrame, hot: int, scratch: Scratch) -> tuple[Model, DataFram
                 a, b = np.searchsorted(part, [p, p + 1])
                 f, t = np.searchsorted(first, [a, b])
                 own = rows[a:b]
-                values = (int(p), chunk.column("chunk")[row].as_py(), keys[h[rows[first[f:t]]]].tobytes(), spread[h[rows[first[f:t]]]].tobytes(), C.planes(sizes[f:t]), keys[w[own]].tobytes(), C.planes(trained[own]), C.planes(counts[w[own]].astype(np.uint32)))
+                values = (int(p), chunk.column("chunk")[row].as_py(), keys[h[rows[first[f:t]]]].tobytes(), spread[h[rows[first[f:t]]]].tobytes(), C.planes(sizes[f:t]), C.planes(ids[w[own]]), C.planes(trained[own]), C.planes(counts[w[own]].astype(np.uint32)))
                 for name, value in zip(out, values):
                     out[name].append(value)
         return pa.table(out, schema=_ASK2)
@@ -240,7 +242,7 @@ def _model(docs: DataFrame, hot: int, scratch: Scratch) -> tuple[Model, DataFram
         take = lambda name, f: [f(x) for x in asked.column(name).to_pylist()]
         contexts = take("contexts", lambda x: np.frombuffer(x, np.uint64))
         sizes = take("sizes", lambda x: C.unplanes(x, np.uint32))
-        words_ = take("keys", lambda x: np.frombuffer(x, np.uint64))
+        words_ = take("keys", lambda x: C.unplanes(x, np.int64))
         hs, h_at = np.unique(np.concatenate(contexts), return_inverse=True)
         h, w = np.repeat(h_at, np.concatenate(sizes)), np.concatenate(words_)
         ends, word_ends = np.cumsum([len(x) for x in contexts])[:-1], np.cumsum([len(x) for x in words_])[:-1]
@@ -265,28 +267,28 @@ def _model(docs: DataFrame, hot: int, scratch: Scratch) -> tuple[Model, DataFram
             small=pa.array([C.planes(small[x].astype(np.uint32).reshape(-1)) for x in np.split(h_at, ends)], pa.binary()), seen=pa.array([seen[x].tobytes() for x in np.split(h_at, ends)], pa.binary()),
             asked=pa.array([c[f].view(np.int64) for c, f in zip(contexts, flags)], pa.list_(pa.int64())),
         )
-        counted = _rows(_REPLY2, int(has.sum()), part=part(has.sum()), context=pa.array(hs[gh[has]].view(np.int64)), word=pa.array(gw[has].view(np.int64)), count=pa.array(total[has]))
+        counted = _rows(_REPLY2, int(has.sum()), part=part(has.sum()), context=pa.array(hs[gh[has]].view(np.int64)), id=pa.array(gw[has]), count=pa.array(total[has]))
         stats = _rows(_REPLY2, int(of.sum()), part=part(of.sum()), context=pa.array(hs[of].view(np.int64)), count=pa.array(sums[of]), r=pa.array(list(small[of]), pa.list_(pa.int64())), mass=pa.array(seen[of]), spread=pa.array(spread[of]))
         return pa.concat_tables([replies, _rows(_REPLY2, 1, part=part(1), sums=pa.array([_small(total)], pa.list_(pa.int64()))), counted, stats])
 
-    mine = words.where("chunk is not null").select("chunk", "part", "counts", *[F.lit(None).cast("binary").alias(c) for c in ("small", "seen")], F.lit(None).cast(_HELD).alias("held"))
+    mine = words.where("chunk is not null").select("chunk", "part", "counts", "ids", *[F.lit(None).cast("binary").alias(c) for c in ("small", "seen")], F.lit(None).cast(_HELD).alias("held"))
     asked = chunks.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(ask_pairs, ASK2)
     told = scratch.store(asked.repartition(parts2, "part").groupBy("part").applyInArrow(count_pairs, REPLY2))
     d = discounts(_sums(told, K + 1))
     # The sums of spread contexts, one row each; stored, so that adaptive execution can split the join.
-    stats = told.where("context is not null and word is null")
+    stats = told.where("context is not null and id is null")
     whole = scratch.store(stats.where("spread").groupBy("context").agg(F.sum("count").alias("count"), F.array(*[F.sum(F.get("r", F.lit(i))) for i in range(K)]).alias("r"), F.sum("mass").alias("mass")))
     held = (
         told.where("chunk is not null").select("chunk", F.explode("asked").alias("context")).distinct().join(whole, "context")
         .groupBy("chunk").agg(F.collect_list(F.struct("context", "r", "mass")).alias("held"))
-        .select("chunk", F.lit(-1).alias("part"), *[F.lit(None).cast("binary").alias(c) for c in ("counts", "small", "seen")], "held")
+        .select("chunk", F.lit(-1).alias("part"), *[F.lit(None).cast("binary").alias(c) for c in ("counts", "ids", "small", "seen")], "held")
     )
 
     def finish(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in _RESULT}
         for row in range(chunk.num_rows):
             ids, layout = _layout(chunk, row)
-            counts = known(layout, replies)
+            counts, _ = known(layout, replies)
             h, w, _, mine_, rows, part, keys, totals, spread = pairs(layout, counts)
             p1 = np.log10(unigram(counts))
             first = heads(part, h[rows])
@@ -319,13 +321,13 @@ def _model(docs: DataFrame, hot: int, scratch: Scratch) -> tuple[Model, DataFram
             out["score"] += np.bincount(layout.doc, weights=value[mine_], minlength=n).tolist()
         return pa.table(out, schema=_RESULT)
 
-    both = mine.unionByName(told.where("chunk is not null").select("chunk", "part", "counts", "small", "seen", F.lit(None).cast(_HELD).alias("held"))).unionByName(held)
+    both = mine.unionByName(told.where("chunk is not null").select("chunk", "part", "counts", F.lit(None).cast("binary").alias("ids"), "small", "seen", F.lit(None).cast(_HELD).alias("held"))).unionByName(held)
     scored = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, RESULT)
     scored = scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(unigram.n).cast("long").alias("train_tokens"), "base_score", "score")
     every = stats.where("not spread").select("context", "count", "r", "mass").unionByName(whole)
     model = Model(
-        words.where("word is not null").select("word", "count", "part"),
-        told.where("word is not null").select("context", "word", "count", "part"),
+        words.where("word is not null").select("word", "id", "count", "part"),
+        told.where("id is not null").select("context", "id", "count", "part"),
         every.mapInArrow(_weights(d), WEIGHTS),
         unigram,
         d,
@@ -369,7 +371,8 @@ def evaluate(docs: DataFrame, model: Model) -> DataFrame:
     p = F.when(F.col("count") > 0, seen).when(F.col("total") > 0, F.col("weight") * single).otherwise(single)
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), "text").dropDuplicates(["doc_id", "row_hash"])
     asked = rows.mapInArrow(read, TOKENS)
-    met = asked.join(model.bigrams.drop("part"), ["context", "word"], "left").join(model.contexts, "context", "left").join(model.unigrams.select("word", F.col("count").alias("single")), "word", "left")
+    words = model.unigrams.select("word", "id", F.col("count").alias("single"))
+    met = asked.join(words, "word", "left").join(model.bigrams.drop("part"), ["context", "id"], "left").join(model.contexts, "context", "left")
     return met.groupBy("doc_id", "row_hash").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log10(p)).alias("score"))
 
 
