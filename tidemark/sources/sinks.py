@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    """The merged state as one new table version; readers of the old path keep theirs."""
-    state.write.mode("overwrite").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")) or []
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in done)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version."""
+    return spark.read.parquet(f"{path.rstrip('/')}/version={_versions(spark, path)[-1]}")
+
+
+def write_state(state: DataFrame, path: str) -> int:
+    """state as a new version beside the ones before, from which it may be derived; readers see it when it is
+    complete. Returns its number."""
+    version = (_versions(state.sparkSession, path) or [0])[-1] + 1
+    state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
+    return version
 
 
 def write_actions(actions: DataFrame, path: str) -> None:
@@ -21,9 +37,20 @@ def export_json(state: DataFrame, path: str) -> DataFrame:
     return state.agg(F.count("*").alias("n")).withColumn("exported_at", F.current_timestamp())
 
 
+# What to look at, by category of failure.
+SUGGESTIONS = {
+    "not_found": "add the item's ISBN or ASIN to its metadata",
+    "no_edition": "add an edition of that format to the catalogue",
+    "match_rejected": "check title and author of the item",
+}
+
+
 def failure_report(failed: DataFrame, path: str) -> DataFrame:
-    """Entries by category below path; returns the counts per category."""
-    failed.write.mode("overwrite").partitionBy("category").json(path)
+    """Entries by category below path, with their identifiers and a suggestion; returns the counts per
+    category."""
+    hint = F.create_map(*[F.lit(x) for kv in SUGGESTIONS.items() for x in kv])
+    told = failed.withColumn("suggestion", F.coalesce(F.element_at(hint, F.col("category")), F.lit("see the log of the run")))
+    told.write.mode("overwrite").partitionBy("category").json(path)
     return failed.groupBy("category").agg(F.count("*").alias("n"))
 
 

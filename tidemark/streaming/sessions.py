@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -107,34 +107,69 @@ def stream_sessions(events: DataFrame, gap: str = "15 minutes", lateness: str =
     )
 
 
+def active_sessions(state: DataFrame) -> DataFrame:
+    """user_id, item_id, pending, last_change of the sessions that are open."""
+    return state.where("active").select("user_id", "item_id", "pending", "last_change")
+
+
+def has_active(state: DataFrame) -> DataFrame:
+    """user_id, has_active, for every user with state."""
+    return state.groupBy("user_id").agg(F.bool_or("active").alias("has_active"))
+
+
 FLUSHED = "user_id long, item_id long, progress double, n_updates long, why string"
 
 
 def delayed_updates(events: DataFrame, o: SessionOptions = SessionOptions()) -> DataFrame:
     """Stateful stream (user_id, item_id, ts, progress): emits a row when an update must go out at once
-    (significant or complete) and when a session has been silent for the timeout, in event time."""
-    state = "stored double, pending double, n long"
+    (complete, max_delay since the last one that went out, or significant) and when a session has been silent
+    for the timeout, in event time. What went out last stays in the state and is what later updates are
+    compared with, as delay_decision does in batch."""
+    state = "stored double, pending double, n long, sent long"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        stored, pending, n = held.get if held.exists else (None, None, 0)
+        stored, pending, n, sent = held.get if held.exists else (None, None, 0, None)
         out: list[tuple] = []
         if held.hasTimedOut:
             if n:
                 out.append((*key, pending, n, "expired"))
-            held.remove()
+                stored, sent = pending, held.getCurrentWatermarkMs()
+            held.update((stored, None, 0, sent))
         else:
-            newest = None
+            newest = 0
             for row in sorted((r for f in frames for r in f[["ts", "progress"]].itertuples(index=False)), key=lambda r: r.ts):
-                newest = row.ts if newest is None else max(newest, row.ts)
-                old = pending if n and pending else stored or 0.0
+                at = int(row.ts.timestamp() * 1000)
+                newest = max(newest, at)
+                old = pending or stored or 0.0
                 pending, n = row.progress, n + 1
-                jump = stored is None or abs(row.progress - old) >= o.significant or any(old < m <= row.progress for m in MILESTONES)
-                if jump:
-                    out.append((*key, pending, n, "complete" if row.progress >= 100 else "significant"))
-                    stored, n = pending, 0
-            held.update((float(stored or 0.0), float(pending or 0.0), n))
-            due = int(newest.timestamp() * 1000) + o.timeout * 1000
-            held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
+                if o.immediate_completion and pending >= 100:
+                    why = "complete"
+                elif sent is not None and at - sent >= o.max_delay * 1000:
+                    why = "max_delay"
+                elif stored is None or abs(pending - old) >= o.significant or any(old < m <= pending for m in MILESTONES):
+                    why = "significant"
+                else:
+                    why = None
+                if why:
+                    out.append((*key, pending, n, why))
+                    stored, pending, n, sent = pending, None, 0, at
+            held.update((stored, pending, n, sent))
+            if n:
+                held.setTimeoutTimestamp(max(newest + o.timeout * 1000, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "item_id", "progress", "n_updates", "why"])
 
     return events.withWatermark("ts", "1 hour").groupBy("user_id", "item_id").applyInPandasWithState(step, FLUSHED, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def deliver_expired(deliver: Callable[[DataFrame], DataFrame], counts: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands the expired sessions of a batch to deliver, which returns them with `sent`, and
+    appends how many were found, processed and failed, per user, below counts. A batch that is run again
+    replaces its own counts."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        sent = deliver(rows.where("why = 'expired'"))
+        done = F.coalesce(F.col("sent"), F.lit(False))
+        found = sent.groupBy("user_id").agg(F.count("*").alias("found"), F.count_if(done).alias("processed"), F.count_if(~done).alias("errors"))
+        found.write.mode("overwrite").parquet(f"{counts.rstrip('/')}/batch={number}")
+
+    return batch
