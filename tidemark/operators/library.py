@@ -89,6 +89,12 @@ def search_tokens(items: DataFrame, works: DataFrame, k: int = 10, with_author:
     return i.join(met.withColumn("rank", rank).where(F.col("rank") <= k), ["want", "who"]).select("item_id", "book_id", "rank")
 
 
+def candidates_with_editions(hits: DataFrame, editions: DataFrame) -> DataFrame:
+    """One row for each edition of each hit (item_id, book_id); a hit without editions stays, not enhanced."""
+    e = editions.select("book_id", "edition_id")
+    return hits.join(e, "book_id", "left").select("item_id", "book_id", "edition_id", F.col("edition_id").isNotNull().alias("enhanced"))
+
+
 # Remembered state
 
 
@@ -149,6 +155,11 @@ def key_patterns(items: DataFrame, known: DataFrame, most: int = 5) -> DataFrame
     return j.select("user_id", "item_id", F.array_distinct(F.concat(own, F.coalesce("_more", F.array().cast("array<string>")))).alias("patterns"))
 
 
+def newest_state(known: DataFrame, most: int) -> DataFrame:
+    """The rows of state that were updated last, newest first, as many as a list shows."""
+    return known.orderBy(F.desc_nulls_last("updated_at"), *state.KEY).limit(most)
+
+
 def reuse_skips(items: DataFrame, skips: DataFrame, now: Column) -> DataFrame:
     """Rows of the actions table for items whose negative decision still holds: skipped, with its reason."""
     return state.fresh_decisions(items, skips, now).select("user_id", "identifier", "title", F.lit("skipped").alias("status"), "reason", F.lit(True).alias("remembered"))

@@ -54,6 +54,12 @@ def to_position(progress: Column, total: Column, unit: Column) -> Column:
     return F.when(ok, F.least(total.cast("double"), F.greatest(least, half_up(progress / 100 * total).cast("double")))).otherwise(least)
 
 
+def normalize_flags(df: DataFrame) -> DataFrame:
+    """df with is_finished true only for true or 1, and progress 0 where there is none."""
+    said = F.lower(F.trim(F.col("is_finished").cast("string")))
+    return df.withColumns({"is_finished": F.coalesce(said.isin("true", "1"), F.lit(False)), "progress": F.coalesce("progress", F.lit(0.0))})
+
+
 def validate_progress(df: DataFrame) -> DataFrame:
     """Adds progress_valid: for finished items the given value, else 100; audiobooks by their position;
     else the given value."""

@@ -17,12 +17,17 @@ def score_editions(editions: DataFrame, ctx: S.EditionContext, profile: S.Profil
     return staged.withColumn("edition_score", S.edition_score({k: F.col(f"f_{k}") for k in factors}, profile, F.col("users_count")))
 
 
+def usable_editions(editions: DataFrame, require_length: bool = False) -> DataFrame:
+    """Editions that have an id and a work and, where the profile asks for it, a length."""
+    length = S.has(F.col("audio_seconds")) | S.has(F.col("pages"))
+    return editions.where(F.col("edition_id").isNotNull() & F.col("book_id").isNotNull() & (length | F.lit(not require_length)))
+
+
 def best_editions(scored: DataFrame, group: str, profile: S.Profile, current: str | None = None) -> DataFrame:
     """One row per group: the best edition, two alternatives, and improvement over the edition whose id
     is in column `current`. Order: score (to 0.01), data score, users, id. A profile with a least
     improvement gives no row where the gain is smaller."""
-    if profile.require_length:
-        scored = scored.where(S.has(F.col("audio_seconds")) | S.has(F.col("pages")))
+    scored = usable_editions(scored, profile.require_length)
     order = [F.desc(F.floor(F.col("edition_score") * 100 + 0.5)), F.desc(F.coalesce("score", F.lit(0))), F.desc(F.coalesce("users_count", F.lit(0))), "edition_id"]
     rank = scored.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     first = lambda k, c: F.max(F.when(F.col("_r") == k, F.col(c)))

@@ -8,10 +8,12 @@ from ..fixtures import view
 from ..functions import formats as P
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import library, link, select, state
-from ..sources import readers
+from ..operators import library, link, progress, select, state
+from ..sources import readers, schemas
+from ..streaming import sessions
 from . import oracles as O
-from .queries import INDEX, NOW, query, r6
+from . import decide, report
+from .queries import CONTEXT, DONE, DROP, F2, INDEX, NOW, OLD, PCT, TWO_SQL, VALID, _scored, _session_state, query, r6
 
 # Works and items with series and years, compared by title and author
 
@@ -264,8 +266,6 @@ def k6(spark, d):
     more="st AS (SELECT src, user_id, count(*) AS total, count(*) FILTER (p > 0) AS with_progress, count(*) FILTER (p > 0 AND p < 100) AS in_progress, count(*) FILTER (p >= 100) AS completed, count(*) FILTER (p <= 0) AS never_started FROM (SELECT 0 AS src, user_id, progress_percent AS p FROM fx_known WHERE item_id % 2 = 0 UNION ALL SELECT 1, user_id, progress_percent FROM fx_current WHERE item_id % 3 = 0) GROUP BY src, user_id)",
 )
 def k9(spark, d):
-    from . import report
-
     count = lambda frame: report.library_statistics(frame.withColumn("is_finished", F.col("progress_percent") >= 100)).drop("passing")
     old, new = count(view(spark, d, "fx_known").where("item_id % 2 = 0")), count(view(spark, d, "fx_current").where("item_id % 3 = 0"))
     return library.load_statistics(library.store_statistics(old, new), view(spark, d, "fx_user_books"))
@@ -377,8 +377,6 @@ def p1(spark, d):
     meta = F.struct(c("item_id").cast("string").alias("id"), F.struct(F.lit("bad").alias("isbn"), c("isbn_raw").alias("isbn10"), c("asin_raw").alias("amazonASIN"), series.alias("seriesName"), number.alias("volume"), c("duration_s").alias("length")).alias("metadata"), F.struct(F.when(c("item_id") % 2 == 0, c("item_id") % 7).alias("current_time")).alias("media"))
     deep = F.struct(c("item_id").cast("string").alias("id"), F.struct(c("duration_s").alias("length"), F.when(c("item_id") % 2 == 0, c("item_id") % 7).alias("current_time"), F.struct(c("isbn_raw").alias("isbn"), c("asin_raw").alias("asin"), series.alias("series"), number.alias("bookNumber")).alias("metadata")).alias("media"))
     text = F.when(c("item_id") % 3 == 0, F.to_json(top)).when(c("item_id") % 3 == 1, F.to_json(meta)).otherwise(F.to_json(deep))
-    from ..sources import schemas
-
     parsed = i.select(F.from_json(text, schemas.LIBRARY_ITEM).alias("x")).select("x.*")
     return readers.flatten_items(parsed).select(F.col("item_id").cast("long").alias("item_id"), "isbn_raw", "asin_raw", "series_name", "series_sequence", "duration_s", "position")
 
@@ -463,3 +461,163 @@ def n8(spark, d):
     t, k = F.col("last_update").cast("timestamp"), F.col("pos") % 4
     given = F.when(k == 0, F.unix_millis(t).cast("string")).when(k == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
     return view(spark, d, "fx_progress").select("pos", F.date_format(P.localize_date(given, "Asia/Tokyo"), "yyyy-MM-dd").alias("day"))
+
+
+@query("n4_plain_texts", "SELECT item_id, trim(regexp_replace(strip_accents(trim(lower(title || '  É' || author))), '\\s+', ' ', 'g')) AS plain FROM fx_items", "fx_editions", "fx_items")
+def n4(spark, d):
+    return view(spark, d, "fx_items").select("item_id", T.standard_text(F.concat("title", F.lit("  É"), "author")).alias("plain"))
+
+
+@query("f6_usable_editions", "SELECT edition_id, coalesce(audio_seconds > 0 OR pages > 0, false) AS with_length FROM (SELECT CASE WHEN supp % 11 <> 0 THEN edition_id END AS edition_id, audio_seconds, pages FROM fx_editions) WHERE edition_id IS NOT NULL", "fx_editions")
+def f6(spark, d):
+    e = view(spark, d, "fx_editions").withColumn("edition_id", F.when(F.col("supp") % 11 != 0, F.col("edition_id")))
+    every, some = (select.usable_editions(e, x).select("edition_id") for x in (False, True))
+    return every.join(some.withColumn("with_length", F.lit(True)), "edition_id", "left").select("edition_id", F.coalesce("with_length", F.lit(False)).alias("with_length"))
+
+
+_TWO = "two AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY floor(es * 100 + 0.5) DESC, score DESC, users_count DESC, edition_id) AS rn FROM (SELECT *, {0} AS es FROM e))"
+_PICKED = "SELECT book_id, max(CASE WHEN rn = 1 THEN edition_id END) AS edition_id, {0} AS edition_score, max(CASE WHEN rn = 2 THEN edition_id END) AS second_id, max(CASE WHEN rn = 3 THEN edition_id END) AS third_id FROM two GROUP BY book_id".format(O.r6("max(CASE WHEN rn = 1 THEN es END)"))
+
+
+@query("w7_two_stage_edition", _PICKED, "fx_editions", more=f"{CONTEXT}, {_TWO.format(TWO_SQL)}")
+def w7(spark, d):
+    return select.best_editions(_scored(spark, d, S.TWO_STAGE, True), "book_id", S.TWO_STAGE).withColumn("edition_score", r6(F.col("edition_score")))
+
+
+_MAPPED = "CASE reading_format WHEN 'Listened' THEN 'audiobook' WHEN 'Read' THEN 'ebook' WHEN 'Both' THEN 'audiobook' END"
+
+
+@query("x1_mapped_formats", f"SELECT edition_id, {O.format_factor('mapped', 'source_format', 'physical|paperback|hardcover')} AS f_format FROM (SELECT *, {_MAPPED} AS mapped FROM e)", "fx_editions", more=CONTEXT)
+def x1(spark, d):
+    """Formats as a caller names them: printed books are taken for e-books."""
+    f = F.col("reading_format")
+    mapper = lambda: F.when(f == "Listened", "audiobook").when(f == "Read", "ebook").when(f == "Both", "audiobook")
+    return _scored(spark, d, S.TWO_STAGE, True, mapper).select("edition_id", "f_format")
+
+
+@query("u2_distinct_editions", "SELECT edition_id, CASE WHEN edition_id % 2 = 0 THEN 'first' ELSE 'second' END AS first_wins, CASE WHEN edition_id % 3 <> 0 THEN 'second' ELSE 'first' END AS last_wins FROM fx_editions WHERE edition_id % 2 = 0 OR edition_id % 3 <> 0", "fx_editions")
+def u2(spark, d):
+    e = view(spark, d, "fx_editions").select("edition_id")
+    a, b = e.where("edition_id % 2 = 0").withColumn("src", F.lit("first")), e.where("edition_id % 3 <> 0").withColumn("src", F.lit("second"))
+    one, two = (select.distinct_editions(a, b, keep).select("edition_id", F.col("src").alias(f"{keep}_wins")) for keep in ("first", "last"))
+    return one.join(two, "edition_id")
+
+
+@query("w15_newest_state", "SELECT user_id, item_id FROM fx_known ORDER BY updated_at DESC, user_id, identifier, title LIMIT 100", "fx_known")
+def w15(spark, d):
+    """The hundred rows that a list shows."""
+    return library.newest_state(view(spark, d, "fx_known"), 100).select("user_id", "item_id")
+
+
+@query("g10_normalized_flags", "SELECT pos, pos % 5 IN (0, 1) AS is_finished, floor(coalesce(progress, 0) * 1e6 + 0.5) / 1e6 AS progress FROM fx_history", "fx_history")
+def g10(spark, d):
+    said = F.when(F.col("pos") % 5 == 0, "true").when(F.col("pos") % 5 == 1, "1").when(F.col("pos") % 5 == 2, "2").when(F.col("pos") % 5 == 3, "false")
+    return progress.normalize_flags(view(spark, d, "fx_history").withColumn("is_finished", said)).select("pos", "is_finished", r6(F.col("progress")).alias("progress"))
+
+
+@query("a8_scoring_failures", "SELECT count(*) AS n, count(DISTINCT m) AS n_messages, min(m) || ',' || (SELECT min(m) FROM a8 WHERE m > (SELECT min(m) FROM a8)) AS examples FROM a8", "fx_history", more="a8 AS (SELECT 'no total for item ' || item_id::varchar AS m FROM fx_history WHERE total IS NULL)")
+def a8(spark, d):
+    errors = view(spark, d, "fx_history").where("total is null").select(F.concat(F.lit("no total for item "), F.col("item_id").cast("string")).alias("message"))
+    return report.scoring_failures(errors).withColumn("examples", F.array_join("examples", ","))
+
+
+@query("t8_active_sessions", "SELECT user_id, count(*) FILTER (item_id % 2 = 0) AS open_sessions, bool_or(item_id % 2 = 0) AS has_active FROM fx_known GROUP BY user_id", "fx_known")
+def t8(spark, d):
+    held = _session_state(spark, d)
+    n = sessions.active_sessions(held).groupBy("user_id").agg(F.count("*").alias("n"))
+    return sessions.has_active(held).join(n, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("open_sessions"), "has_active")
+
+
+@query(
+    "p22_state_keys",
+    f"""SELECT item_id, identifier, identifier_type FROM (
+      SELECT item_id, upper(asin_raw) AS identifier, 'asin' AS identifier_type FROM fx_items WHERE asin_raw IS NOT NULL
+      UNION ALL SELECT item_id, replace(isbn_raw, '-', ''), 'isbn' FROM fx_items WHERE isbn_raw IS NOT NULL
+      UNION ALL SELECT i.item_id, e.core || CASE WHEN e.c10 = 10 THEN 'X' ELSE e.c10::VARCHAR END, 'isbn' FROM fx_items i JOIN fx_editions e ON replace(i.isbn_raw, '-', '') = '978' || e.core || e.c13::VARCHAR
+      UNION ALL SELECT item_id, 'title_author:' || {_FLAT.format('title')} || '|' || {_FLAT.format('author')}, 'title_author' FROM fx_items)""",
+    "fx_editions", "fx_items",
+)
+def p22(spark, d):
+    return state.state_keys(_owners(view(spark, d, "fx_items"))).select("item_id", "identifier", "identifier_type")
+
+
+@query(
+    "p3_p10_item_texts",
+    """SELECT item_id, CASE WHEN item_id % 3 = 1 THEN title || ': ' || author ELSE title END AS title, CASE item_id % 3 WHEN 0 THEN author WHEN 1 THEN author || ', [Unknown Author]' ELSE author END AS author,
+      CASE item_id % 3 WHEN 1 THEN title || ', ' || author WHEN 2 THEN title END AS narrator, CASE WHEN item_id % 3 <> 1 THEN 1950 + item_id % 60 END::int AS publication_year, CASE WHEN item_id % 3 <> 2 THEN 10 + item_id % 9 END::int AS pages,
+      CASE item_id % 3 WHEN 0 THEN 'ebook' WHEN 1 THEN 'audiobook' ELSE 'ebook' END AS fmt, item_id % 2 = 0 AS item_finished FROM fx_items""",
+    "fx_editions", "fx_items",
+)
+def p3(spark, d):
+    c = F.col
+    k, year, pages, done = c("item_id") % 3, (1950 + c("item_id") % 60).cast("string"), 10 + c("item_id") % 9, c("item_id") % 2 == 0
+    ident = c("item_id").cast("string").alias("id")
+    top = F.struct(ident, c("title"), c("author"), F.concat(year, F.lit(" CE")).alias("publishedYear"), pages.alias("pages"), F.lit("ebook").alias("mediaType"), done.alias("isFinished"))
+    people = F.array(F.struct(c("author").alias("name"), F.lit(None).cast("string").alias("id")), F.struct(F.lit(None).cast("string").alias("name"), F.lit("7").alias("id")))
+    meta = F.struct(ident, F.struct(c("title").alias("name"), c("author").alias("subtitle"), people.alias("authors"), F.array("title", "author").alias("narrators"), F.lit("99").alias("publishedYear"), done.alias("finished")).alias("metadata"), F.struct(pages.alias("pages"), F.array(F.struct(F.lit("a.mp3").alias("path"))).alias("audioFiles")).alias("media"))
+    deep = F.struct(ident, F.struct(F.struct(c("title"), c("author").alias("authorName"), c("title").alias("narratorName"), year.alias("publishedDate"), done.alias("finished")).alias("metadata"), F.struct(F.lit("b").alias("path")).alias("ebookFile")).alias("media"))
+    text = F.when(k == 0, F.to_json(top)).when(k == 1, F.to_json(meta)).otherwise(F.to_json(deep))
+    parsed = view(spark, d, "fx_items").select(F.from_json(text, schemas.LIBRARY_ITEM).alias("x")).select("x.*")
+    return readers.flatten_items(parsed).select(c("item_id").cast("long").alias("item_id"), "title", "author", "narrator", "publication_year", "pages", "fmt", "item_finished")
+
+
+@query(
+    "p12_contributors",
+    "SELECT edition_id, book_id, CASE WHEN edition_id % 2 = 0 THEN author ELSE title END AS author, CASE WHEN edition_id % 2 = 1 THEN series_name ELSE title END AS narrator FROM (SELECT e.edition_id, e.book_id, w.title, w.author, w.series_name FROM fx_editions e JOIN fx_works w USING (book_id))",
+    "fx_editions", "fx_works",
+)
+def p12(spark, d):
+    """Even editions name their author and leave the narrator to the work, odd ones the other way round."""
+    c = F.col
+    who = lambda name, role: F.struct(F.struct(name.alias("name")).alias("person"), F.lit(role).alias("contribution"))
+    own = F.when(c("edition_id") % 2 == 0, F.array(who(c("author"), "Author"))).otherwise(F.array(who(c("series_name"), "Narrator")))
+    e = view(spark, d, "fx_editions").select("book_id", "edition_id").join(view(spark, d, "fx_works"), "book_id")
+    books = e.groupBy("book_id").agg(F.first("title").alias("title"), F.collect_list(F.struct(c("edition_id").alias("id"), own.alias("contributions"))).alias("editions"))
+    payload = F.to_json(F.struct(c("book_id").alias("id"), F.lit(1).alias("user_id"), F.struct(c("book_id").alias("id"), c("title"), F.array(who(c("title"), "Voice")).alias("contributions"), "editions").alias("book")))
+    _, editions = readers.flatten_user_books(books.select(F.from_json(payload, schemas.USER_BOOK).alias("x")).select("x.*"))
+    author = F.when(c("edition_id") % 2 == 0, c("author")).otherwise(F.coalesce("_work", "author"))
+    work = view(spark, d, "fx_works").select("book_id", F.col("title").alias("_work"))
+    return editions.join(work, "book_id").select("edition_id", "book_id", author.alias("author"), "narrator")
+
+
+DECISIONS = f"""gi AS (
+  SELECT c.user_id, c.item_id, c.progress_percent AS progress, NULL::boolean AS is_finished, CASE c.item_id % 3 WHEN 0 THEN 'audiobook' WHEN 1 THEN 'ebook' ELSE 'physical' END AS fmt, 100 + c.item_id % 900 AS total, NULL::bigint AS position,
+    k.progress_percent AS previous, c.item_id % 7 = 0 AND c.item_id % 3 <> 0 AS skip_, abs(c.progress_percent - k.progress_percent) < 0.01 AND k.edition_id IS NOT NULL AS unchanged,
+    EXISTS (SELECT 1 FROM lib l WHERE l.user_id = c.user_id AND l.book_id = c.item_id) AS owned,
+    EXISTS (SELECT 1 FROM fx_editions e WHERE e.edition_id = c.edition_id AND (e.audio_seconds > 0 OR e.pages > 0)) AS capable,
+    k.user_id IS NULL OR abs(c.progress_percent - k.progress_percent) >= 0.01 OR k.status_id = 1 OR c.edition_id IS DISTINCT FROM k.edition_id AS needs_sync, c.status_id
+  FROM fx_current c LEFT JOIN fx_known k ON k.user_id = c.user_id AND k.identifier = c.identifier)"""
+
+
+@query(
+    "g13_state_decisions",
+    f"""SELECT user_id, item_id, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS reason FROM (SELECT *, CASE
+      WHEN coalesce({PCT} <= 5, false) THEN 'skipped:below_threshold' WHEN skip_ THEN 'skipped:match_rejected' WHEN coalesce(unchanged, false) THEN 'skipped:unchanged' WHEN {VALID} IS NULL THEN 'skipped:invalid_progress'
+      WHEN NOT owned AND NOT capable THEN 'skipped:no_length' WHEN NOT owned THEN 'auto_added:added' WHEN NOT needs_sync THEN 'skipped:up_to_date'
+      WHEN previous IS NOT NULL AND progress IS NOT NULL AND {DROP} >= 50 THEN 'skipped:regression' WHEN {DONE} AND status_id = 3 THEN 'completed:remembered' WHEN {DONE} THEN 'completed:finished' ELSE 'synced:progress' END AS v FROM gi)""",
+    "fx_known", "fx_current", "fx_editions", "fx_user_books", more=f"{LIBRARY}, {DECISIONS}",
+)
+def g13s(spark, d):
+    """The decision table over what the checks against state, library and catalogue say."""
+    c = F.col
+    current, known, editions = view(spark, d, "fx_current"), view(spark, d, "fx_known"), view(spark, d, "fx_editions")
+    key = ["user_id", "identifier", "identifier_type", "title"]
+    listened = current.select(*key, "item_id", c("updated_at").alias("last_listened_at"), "progress_percent", F.lit("a").alias("context_hash"))
+    skips = listened.where("item_id % 7 = 0").select(*key, "last_listened_at", "progress_percent", F.when(c("item_id") % 3 == 0, "b").otherwise("a").alias("context_hash"), F.lit("match_rejected").alias("reason"), (F.expr(NOW) + F.expr("interval 1 day")).alias("expires_at"))
+    remembered = state.fresh_decisions(listened, skips, F.expr(NOW)).select("user_id", "identifier", c("reason").alias("remembered_skip"))
+    keys = current.select("user_id", "item_id", "identifier", "identifier_type", F.lit(0).alias("prio"))
+    checked = state.early_check(keys, known.drop("item_id"), current.select("user_id", "item_id", c("progress_percent").alias("progress_now"))).select("user_id", "item_id", (c("verdict") == "skip").alias("unchanged"))
+    synced = state.needs_sync(current, known, ["user_id", "identifier"]).select("user_id", "item_id", "needs_sync")
+    owned = library.already_owned(current.select("user_id", "item_id", c("item_id").alias("book_id")), _library(spark, d)).select("user_id", "item_id", F.when(c("owned"), "library").otherwise("search").alias("match_tier"))
+    able = select.capable_editions(editions).select("edition_id", F.lit(True).alias("capable"))
+    prior = library.prior_progress(current, known, ("progress_percent",)).select("user_id", "item_id", c("last_progress_percent").alias("previous"))
+    items = current.join(remembered, ["user_id", "identifier"], "left").join(able, "edition_id", "left")
+    for more in (checked, synced, owned, prior):
+        items = items.join(more, ["user_id", "item_id"], "left")
+    fmt = F.when(c("item_id") % 3 == 0, "audiobook").when(c("item_id") % 3 == 1, "ebook").otherwise("physical")
+    return decide.decide(
+        items.select(
+            "user_id", "item_id", c("progress_percent").alias("progress"), F.lit(None).cast("boolean").alias("is_finished"), fmt.alias("fmt"), (100 + c("item_id") % 900).alias("total"), F.lit(None).cast("long").alias("position"),
+            "previous", "remembered_skip", F.coalesce("unchanged", F.lit(False)).alias("unchanged"), "match_tier", F.coalesce("capable", F.lit(False)).alias("capable"), "needs_sync", F.lit(False).alias("first_run"), "status_id",
+        )
+    ).select("user_id", "item_id", "status", "reason")

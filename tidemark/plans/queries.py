@@ -11,7 +11,7 @@ from ..fixtures import view, with_views
 from ..functions import formats as P
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import link, progress, select, state
+from ..operators import library, link, progress, select, state
 from ..streaming import sessions
 from . import decide, report
 from . import oracles as O
@@ -641,8 +641,7 @@ def s7(spark, d):
 @query("s10_candidates_with_editions", "SELECT b.item_id, b.book_id, e.edition_id, e.edition_id IS NOT NULL AS enhanced FROM both_ b LEFT JOIN fx_editions e ON e.book_id = b.book_id AND e.pages IS NOT NULL WHERE b.rank = 1", "fx_editions", "fx_items", "fx_works", more=SEARCH)
 def s10(spark, d):
     hits = link.search_works(view(spark, d, "fx_items"), view(spark, d, "fx_works")).where("rank = 1 and strategy = 'title_author'")
-    e = view(spark, d, "fx_editions").where("pages is not null").select("book_id", "edition_id")
-    return hits.join(e, "book_id", "left").select("item_id", "book_id", "edition_id", F.col("edition_id").isNotNull().alias("enhanced"))
+    return library.candidates_with_editions(hits, view(spark, d, "fx_editions").where("pages is not null"))
 
 
 @query("j21_hits_to_matches", "SELECT b.item_id, b.book_id, CASE WHEN o.book_id IS NOT NULL AND f.e IS NOT NULL THEN f.e ELSE b.book_id END AS edition_id, CASE WHEN o.book_id IS NOT NULL AND f.e IS NOT NULL THEN 'title_author_different_edition' ELSE 'title_author_auto_add' END AS match_type FROM both_ b LEFT JOIN (SELECT DISTINCT book_id FROM fx_user_books WHERE status_id = 3) o ON o.book_id = b.book_id LEFT JOIN (SELECT book_id, min(edition_id) AS e FROM fx_editions GROUP BY book_id) f ON f.book_id = b.book_id WHERE rank = 1", "fx_editions", "fx_items", "fx_works", "fx_user_books", more=SEARCH)
