@@ -6,8 +6,10 @@ An entry (pattern, listed, since) turns a host, and all hosts below it, on or of
 blocked if any suffix of its host is on the list at its fetch time (start inclusive, end exclusive).
 
 Defined cases: no host in the URL, null URL or null fetch time: never blocked; null pattern or date:
-the entry is ignored; repeated captures: each gets its own result; repeated entries count once; empty
-list: nothing is blocked; other columns of the captures are kept.
+the entry is ignored; very long URLs: whole, like others; ties: of two active patterns the longer one is the
+rule; repeated captures: each gets its own result; repeated entries count once; empty list or no captures:
+nothing is blocked; other columns of the captures are kept, but for host, blocked and rule, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or trailing dot; '' where there is none."""
@@ -42,16 +46,22 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, url: str = "url", a
     host = host_of(F.col(url))
     asked = captures.select(host.alias("_host"), F.col(at).alias("_at")).where("_host <> '' and _at is not null").distinct()
     labels = F.split("_host", r"\.")
-    asked = asked.select("_host", "_at", F.date_trunc(grain, "_at").alias("_month"), F.posexplode(F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))).alias("_pos", "pattern"))
+    suffixes = F.posexplode(F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))).alias("_pos", "pattern")
+    # Suffixes that no entry names, such as the top domains, go before captures meet; the patterns are stored,
+    # so that Spark knows their size.
+    named = store(cut.select("pattern").distinct())
+    suffixed = asked.select("_host").distinct().select("_host", suffixes).join(named, "pattern", "left_semi")
     hits = (
-        asked.join(cut, ["pattern", "_month"])
+        asked.withColumn("_month", F.date_trunc(grain, "_at"))
+        .join(suffixed, "_host")
+        .join(cut, ["pattern", "_month"])
         .where((F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
         .groupBy("_host", "_at")
         .agg(F.min_by("pattern", "_pos").alias("_rule"))
         .select("_host", F.col("_at").alias("_hit_at"), "_rule")
     )
-    mine = [c for c in captures.columns if c not in ("host", "blocked", "rule")]
-    keyed = captures.select(*mine, host.alias("host"))
-    return keyed.join(hits, (F.col("host") == F.col("_host")) & (F.col(at) == F.col("_hit_at")), "left").select(
-        *mine, "host", F.col("_rule").isNotNull().alias("blocked"), F.col("_rule").alias("rule")
-    )
+    rows = captures.select(F.struct("*").alias("row"), host.alias("host"), F.col(at).alias("own_at"))
+    met = rows.where("host <> ''").join(hits, (F.col("host") == F.col("_host")) & (F.col("own_at") == F.col("_hit_at")), "left").select("row", "host", "_rule")
+    met = met.unionByName(rows.where("host = ''").select("row", "host", F.lit(None).cast("string").alias("_rule")))
+    mine = [F.col(f"row.`{c}`").alias(c) for c in captures.columns if c not in ("host", "blocked", "rule")]
+    return met.select(*mine, "host", F.col("_rule").isNotNull().alias("blocked"), F.col("_rule").alias("rule"))
