@@ -41,6 +41,13 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_with_very_long_turns(spark):
+    long = "\\### </turn> é " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long[::-1] + long)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_chat(df)).first()
+    assert [t["text"] for t in back["turns"]] == [long, long[::-1] + long] and back["loss_text"] == long[::-1] + long
+
+
 # Quality
 
 
@@ -606,4 +613,6 @@ def test_temporal_lists(spark):
     assert len(got) == 2 * len(cases)
     for r in got:
         assert (r["rule"], r["blocked"]) == (cases[r["id"]][2], cases[r["id"]][2] is not None), r
+    far = spark.createDataFrame([(1, "http://bad.com/" + "p" * 100_000), (2, "http://" + "a." * 200 + "bad.com/")], "id long, url string").withColumn("fetched_at", F.lit(t("01-20")).cast("timestamp"))
+    assert urls.temporal_filter(far.withColumns({"row": F.lit(1), "own_at": F.lit(2), "_host": F.lit(3)}), e).where("blocked and row = 1").count() == 1
     assert not any(r["blocked"] for r in urls.temporal_filter(c, e.limit(0)).collect()) and urls.temporal_filter(c.limit(0), e).count() == 0

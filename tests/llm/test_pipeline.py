@@ -43,6 +43,26 @@ def test_stages(spark, docs, tmp_path):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """A text of a million letters, columns of a stage's own names, and a table without rows."""
+    spark.createDataFrame([(0, "nothing of it stands in these texts at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-5])), (3, " ".join(words[:40])), (4, None), (5, "")]
+    full = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    own = full.withColumns({c: F.lit("mine") for c in ("key", "row_hash", "_h", "spans", "row", "node")})
+    for docs, want in ((own, {1, 3}), (own.limit(0), set())):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, str(tmp_path))
+            path = str(tmp_path / f"{name}{len(want)}")
+            out.write.parquet(path)
+            at = spark.read.schema(out.schema).parquet(path)
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns and at.where("key <> 'mine' or node <> 'mine'").count() == 0
+        assert {r["doc_id"] for r in at.select("doc_id").distinct().collect()} == want
+
+
 def test_near_dedup_links_at_eighty_in_a_hundred(spark, tmp_path):
     """Against brute force; most pairs lie between 0.80 and 0.85, where op5's threshold takes none."""
     rng, data = random.Random(8), []

@@ -4,8 +4,9 @@ Turns of a conversation (rows ordered by turn, then role, then text; nulls first
 segments with a loss flag each. The machine reads one role after the other; `valid` says whether it
 ends in an accepting state. Invalid conversations are formatted as well, so that no row is lost.
 
-Defined cases: null role or text: empty string; null conv_id: one conversation of its own; repeated
-rows: repeated turns; empty table: no rows; other columns are ignored. DataFrame functions only.
+Defined cases: null role or text: empty string; very long texts: whole, like others; null conv_id: one
+conversation of its own; ties: turns of one number are ordered by role, then text; repeated rows: repeated
+turns; empty table: no rows; other columns, whatever their names, are ignored. DataFrame functions only.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ rounded up within groups of equal cardinality, configurations of these few sizes
 go to the fullest sequence that still takes them. Documents are then substituted by rank within their
 length: the k-th document of a length takes the k-th place planned for it.
 
-Defined cases: null or empty text: the end token alone; a document over the capacity is cut into
-pieces of that length, the first one shorter; repeated rows: each is packed; null doc_id: a value like
-any other; empty table: no rows; other columns are ignored.
+Defined cases: null or empty text: the end token alone; very long texts: a document over the capacity is
+cut into pieces of that length, the first one shorter; ties: documents of one length take its places by
+doc_id and a checksum of their ids; repeated rows: each is packed; null doc_id: a value like any other;
+empty table: no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

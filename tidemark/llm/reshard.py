@@ -5,8 +5,10 @@ that flow; only files of shards that give or take are rewritten.
 The flow network has a node per shard, never per document. Documents of a shard are laid out along
 blocks (hashes of doc_id); a document goes where the middle of its bytes falls in its shard's transfers.
 
-Defined cases: null text: no bytes, size 16; repeated rows: places of equal rows are interchangeable;
-null doc_id: a value like any other; empty table: no rows; other columns are kept by rewrite only.
+Defined cases: null text: no bytes, size 16; very long texts: placed like others, by the middle of their
+bytes; ties: rows of one doc_id are ordered by size and text; repeated rows: places of equal rows are
+interchangeable; null doc_id: a value like any other; empty table: no rows; other columns are ignored by
+reshard and kept by rewrite, but for shard and slot, which rewrite sets anew.
 """
 
 from __future__ import annotations
@@ -120,12 +122,12 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, block_rows: int = 5
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | None = None, file_rows: int = 1_000_000) -> list[int]:
     """Writes the files of the shards that give or take documents below path, partitioned by shard, and
     returns their numbers; the other shards' files stay as they are. A shard that only gives is left
     with an empty file. path may be the folder that docs is read from. plan: from reshard; old_shard: as
     given there, or docs' own column shard if there is one; it tells apart rows that are equal in doc_id
-    and text."""
+    and text. A task writes about file_rows rows of a shard."""
     moved = plan.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
     ends = {x for r in moved.select("old_shard", "shard").distinct().collect() for x in r}  # shard numbers
     touched = sorted(ends - {None})
@@ -141,7 +143,7 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | Non
     places = places.where(F.col("shard").isin(touched)).select(*[F.col(c).alias(f"{c}_p") for c in (*keys, "_copy")], "shard", "slot")
     same = [F.col(c).eqNullSafe(F.col(f"{c}_p")) for c in (*keys, "_copy")]
     written = rows.join(places, same).select(*columns, "slot", "shard")
-    written.repartition("shard", F.pmod("slot", F.lit(16))).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    written.repartition("shard", F.floor(F.col("slot") / file_rows)).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     # Dynamic overwriting leaves a shard alone that gets no row.
     taking = {r["shard"] for r in plan.where(F.col("shard").isin(touched)).select("shard").distinct().collect()}
     for shard in ends - taking:

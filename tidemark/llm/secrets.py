@@ -123,7 +123,8 @@ def _scanned(docs: DataFrame, scratch: Scratch, owner: str, repository: str, max
     n = F.size("base") + F.size("extra")
     some = found.where(n > 0).join(labels, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     none = found.where(n == 0).withColumns({"added": _none(), "n_live": F.lit(0).cast("long")})
-    spans = F.array_distinct(F.sort_array(F.concat("base", F.coalesce("added", _none()))))
+    # Equal ones stand together once sorted; array_distinct would compare structs pair by pair.
+    spans = let(F.sort_array(F.concat("base", F.coalesce("added", _none()))), lambda own: F.filter(own, lambda x, i: (i == 0) | (x != F.get(own, i - 1))))
     n_live = F.coalesce("n_live", F.lit(0))
     return some.select(*none.columns).unionByName(none).select("doc_id", "key", F.sort_array("base").alias("base"), spans.alias("spans"), n_live.alias("n_live"), (n - n_live).cast("long").alias("n_examples"))
 
@@ -147,16 +148,18 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", owner: str = "source",
     places = F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["stop"].alias("stop")))
     hits = scratch.store(scanned.where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), places.alias("spans")))
     scratch.keep(hits)
-    raw = F.col("row.text").cast("binary")
 
     def masked(spans: Column) -> Column:
-        def cut(before: Column) -> Column:
+        def cut(text: Column) -> Column:
             """The text from the end of the spans before to each span, and a mask if it overlaps none of them."""
-            piece = lambda s, i: let(F.coalesce(F.get(before, i - 1), F.lit(0)), lambda at: F.when(s["begin"] >= at, F.concat(F.substring(raw, (at + 1).cast("int"), (s["begin"] - at).cast("int")).cast("string"), F.lit(mask))).otherwise(""))
-            rest = F.substring(raw, (F.get(before, F.size(before) - 1) + 1).cast("int"), F.octet_length("row.text")).cast("string")
-            return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
-
-        return let(running(F.transform(spans, lambda s: s["stop"]), F.greatest), cut)
+            raw, ends = text["raw"], text["ends"]
+            upto = lambda i: F.coalesce(F.get(ends, i), F.lit(0))
+            part = lambda at, n: F.substring(raw, (at + 1).cast("int"), n.cast("int")).cast("string")
+            piece = lambda s, i: let(upto(i - 1), lambda at: F.when(s["begin"] >= at, F.concat(part(at, s["begin"] - at), F.lit(mask))).otherwise(""))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), part(upto(F.size(ends) - 1), F.octet_length(raw)))
+
+        ends = running(F.transform(spans, lambda s: s["stop"]), F.greatest)
+        return let(F.struct(ends.alias("ends"), F.col("row.text").cast("binary").alias("raw")), cut)
 
     rows = docs.select(F.struct("*").alias("row"), row_hash().alias("own_key"))
     joined = rows.join(hits, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("of_key")), "left")

@@ -6,7 +6,7 @@ An entry (pattern, listed, since) turns a host, and all hosts below it, on or of
 blocked if any suffix of its host is on the list at its fetch time (start inclusive, end exclusive).
 
 Defined cases: no host in the URL, null URL or null fetch time: never blocked; null pattern or date:
-the entry is ignored; very long URLs: whole, like others; ties: of two active patterns the longer one is the
+the entry is ignored; very long URLs: whole, like others, but a host of more than 253 characters is none; ties: of two active patterns the longer one is the
 rule; repeated captures: each gets its own result; repeated entries count once; empty list or no captures:
 nothing is blocked; other columns of the captures are kept, but for host, blocked and rule, which are
 replaced.
@@ -20,10 +20,16 @@ from pyspark.sql import functions as F
 from .common import store
 
 
+#: Characters of a host name, as the DNS allows.
+LONGEST_HOST = 253
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port or trailing dot; '' where there is none."""
+    """Lower-case host without user, port or trailing dot; '' where there is none, or one that is longer than
+    host names may be."""
     authority = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"\.?(:[0-9]*)?$", ""))
+    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"\.?(:[0-9]*)?$", ""))
+    return F.when(F.char_length(host) <= LONGEST_HOST, host).otherwise("")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
