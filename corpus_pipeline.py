@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and all but the last return docs with the columns of
 `documents`. Tests hold the stages against brute-force versions, for SQL can't express them.
+
+Defined cases, as each operator's module states them for itself: null and empty texts fail the quality
+rules; very long texts go through whole; of near copies that tie the one of least doc_id stays; repeated
+rows stay or go together; an empty table gives an empty one; further columns, whatever their names, stay
+as they are up to packing, which ignores them.
 """
 
 from __future__ import annotations
