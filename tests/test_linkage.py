@@ -11,6 +11,7 @@ from tidemark.functions import formats as P
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
 from tidemark.operators import link, progress, select, state
+from tidemark.plans import library_queries  # noqa: F401
 from tidemark.plans.queries import ORACLES, QUERIES
 from tidemark.sources import readers, sinks
 from tidemark.streaming import sessions
