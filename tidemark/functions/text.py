@@ -16,34 +16,28 @@ ARTICLES = "a|an|the|la|le|les|el|los|las|der|die|das|de|het|il|lo|gli|le"
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
 COUNT_TO_TEN = "one|two|three|four|five|six|seven|eight|nine|ten"
-PRODUCTION = r"unabridged|abridged|complete|full|extended|directors?\s*cut|special\s*edition|remastered|enhanced|dramatized?|multi-?voice|full\s*cast"
-ORDINALS = r"first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|1st|2nd|3rd|4th|5th|6th|7th|8th|9th|10th|\d+(?:st|nd|rd|th)?"
-EDITION_WORDS = r"edition|ed\.?|revised|rev\.?|updated|unabridged|abridged|complete|expanded"
-ROLES = "translator|editor|narrator|contributor|adapted by|foreword by|introduction by|translated by|afterword by|preface by|illustrator|co-author|with|and|et al|illustrated by|compiled by|selected by|retold by"
-HONORIFICS = r"jr\.?|sr\.?|iii?|iv|v|vi|vii|viii|ix|x|ph\.?d\.?|m\.?d\.?|esq\.?|b\.?a\.?|m\.?a\.?|m\.?s\.?|d\.?d\.?s\.?|r\.?n\.?|prof\.?|dr\.?"
-SERIES_WORDS = "series|saga|cycle|trilogy|quartet|chronicles|collection|anthology"
-
-#: Ordered replacements by the empty string, on trimmed lower-case text; $ is the end of the text.
+
+# Ordered replacements by the empty string, on trimmed lower-case text; $ is the end of the text.
 TITLE_STEPS = (
     rf"^({ARTICLES})\s+",
     r"\s*[:\-–—]\s*a\s+novel\s*$",
-    rf"\s*\(?\s*({PRODUCTION})\s*\)?$",
-    rf"\s*\(?({ORDINALS})\s*({EDITION_WORDS})\)?.*$",
+    rf"\s*\(?\s*(unabridged|abridged|complete|full|extended|directors?\s*cut|special\s*edition|remastered|enhanced|dramatized?|multi-?voice|full\s*cast)\s*\)?$",
+    rf"\s*\(?(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|1st|2nd|3rd|4th|5th|6th|7th|8th|9th|10th|\d+(?:st|nd|rd|th)?)\s*(edition|ed\.?|revised|rev\.?|updated|unabridged|abridged|complete|expanded)\)?.*$",
     r"\s*\([^)]*\)",
     rf"\s*\(?(volume|vol\.?|part|pt\.?|book|bk\.?)\s*(\d+|[ivx]+|{COUNT_TO_TEN})\b.*$",
 )
 AUTHOR_STEPS = (
-    rf"\s*[-–—]\s*({ROLES})\b.*$",
-    rf"\s+({HONORIFICS})\s*$",
+    rf"\s*[-–—]\s*(translator|editor|narrator|contributor|adapted by|foreword by|introduction by|translated by|afterword by|preface by|illustrator|co-author|with|and|et al|illustrated by|compiled by|selected by|retold by)\b.*$",
+    rf"\s+(jr\.?|sr\.?|iii?|iv|v|vi|vii|viii|ix|x|ph\.?d\.?|m\.?d\.?|esq\.?|b\.?a\.?|m\.?a\.?|m\.?s\.?|d\.?d\.?s\.?|r\.?n\.?|prof\.?|dr\.?)\s*$",
     r"^(by|written by|authored by|from|from the)\s+",
     r"\s*\(\s*\d{4}\s*[-–—]?\s*\d{0,4}\s*\)",
 )
 SERIES_STEPS = (
     rf"^({ARTICLES})\s+",
-    rf"\s*({SERIES_WORDS})\s*$",
+    rf"\s*(series|saga|cycle|trilogy|quartet|chronicles|collection|anthology)\s*$",
     rf"\s*(book|vol\.?|volume|part|pt\.?)\s*(\d+|[ivx]+|{COUNT_TO_TEN}).*$",
 )
-#: Digits for a whole word.
+# Digits for a whole word.
 DIGITS = {w: str(n) for words in (NUMBERS, ROMAN) for n, w in enumerate(words, 1)}
 
 _SPACE = r"[\s   -     　﻿]"
