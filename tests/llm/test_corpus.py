@@ -475,7 +475,6 @@ def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path())
-    tk.encode_special_tokens = True
     want = collections.Counter()
     for i, t in rows(docs):
         ids = tk.encode(t or "", add_special_tokens=False).ids + [2]
@@ -526,6 +525,23 @@ def test_ids_of_added_tokens():
     assert np.frombuffer(encode(f"a {mark} b"), np.uint32).tolist() == [64, 220, 50256, 275]
 
 
+def test_ids_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import LONG_RUN, encoder
+
+    tk, encode = Tokenizer.from_file(tokenizer_path()), encoder(tokenizer_path())
+    mark = "<|endoftext|>"
+    runs = ["\xa0\u3000" * LONG_RUN, " " * (LONG_RUN - 1), " " * LONG_RUN, "\n" * LONG_RUN, "\n \t" * LONG_RUN]
+    texts = [f"a b c {' ' * 1_000_000}x", "\n" * 1_000_000 + "y"]
+    texts += [x for run in runs for x in (run, f"a b{run}c", f"a {mark}{run}{mark}", f"{run}x's{run}", f"a{run}{mark} b{run}\x1cc")]
+    for text in texts:
+        assert np.frombuffer(encode(text), np.uint32).tolist() == tk.encode(text, add_special_tokens=False).ids, (text[:9], len(text))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:3])], "doc_id long, text string")
+    got = {r[0]: r[1] for r in packing.pack(docs, tokenizer_path()).groupBy("doc_id").agg(F.sum("length")).collect()}
+    assert got == {i: len(tk.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts[:3])}
+
+
 def prose_of(i):
     return " ".join(f"word{i * k % 97}" for k in range(3 * i))
 

@@ -44,14 +44,14 @@ def test_stages(spark, docs, tmp_path):
 
 
 def test_stages_on_odd_tables(spark, tmp_path):
-    """A text of a million letters, columns of a stage's own names, and a table without rows."""
+    """Texts of a million letters, blanks and line ends, columns of a stage's own names, and a table without rows."""
     spark.createDataFrame([(0, "nothing of it stands in these texts at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rng = random.Random(2)
     words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
-    rows = [(1, " ".join(words)), (2, " ".join(words[:-5])), (3, " ".join(words[:40])), (4, None), (5, "")]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-5])), (3, " ".join(words[:40])), (4, None), (5, ""), (6, " ".join(words[50:90]) + " " * 1_000_000 + " ".join(words[90:130]) + "\n" * 1_000_000 + "end")]
     full = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     own = full.withColumns({c: F.lit("mine") for c in ("key", "row_hash", "_h", "spans", "row", "node")})
-    for docs, want in ((own, {1, 3}), (own.limit(0), set())):
+    for docs, want in ((own, {1, 3, 6}), (own.limit(0), set())):
         at = docs
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, at, str(tmp_path))
