@@ -7,19 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, neardup, packing, quality, reshard, secrets, substrings, urls
+from . import align, chat, decontaminate, katz, neardup, packing, quality, reshard, secrets, substrings, urls
 
-TOKENIZER_FILE = "byte_bpe_50k.json"
+TOKENIZER_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER_FILE)
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +170,10 @@ hits AS (
 SELECT p.page_id, host, fetched_at, rule IS NOT NULL AS blocked, coalesce(rule, '') AS rule FROM p LEFT JOIN hits ON hits.page_id = p.page_id"""
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECE_FILE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -182,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_substrings": op9_substrings,
         "op10_url_list": op10_url_list,
+        "op13_alignment": op13_alignment,
     }
 
 
