@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontaminate, katz, neardup, packing, quality, reshard, secrets, substrings, urls
+from . import align, chat, decontaminate, katz, neardup, packing, quality, ranked, reshard, secrets, substrings, urls
+from .common import Scratch
 
 TOKENIZER_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -170,6 +171,33 @@ hits AS (
 SELECT p.page_id, host, fetched_at, rule IS NOT NULL AS blocked, coalesce(rule, '') AS rule FROM p LEFT JOIN hits ON hits.page_id = p.page_id"""
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.index(_read(spark, sf_dir, "documents"), Scratch(spark))
+    return ranked.search(index, _read(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM lowered),
+s AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+items AS (
+  SELECT row_number() OVER () AS i, item_id,
+    list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+  FROM benchmark),
+asked AS (SELECT i, item_id, unnest(terms) AS term FROM items),
+posts AS (
+  SELECT r, doc_id, len_, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS len_, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posts, s GROUP BY term),
+impacts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len_ * n) // l))) AS impact
+  FROM posts JOIN w USING (term), s),
+scores AS (SELECT i, item_id, r, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 50"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECE_FILE))
 
@@ -186,9 +214,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_substrings": op9_substrings,
         "op10_url_list": op10_url_list,
+        "op11_ranked_search": op11_ranked_search,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op7_quality": OP7_SQL, "op10_url_list": OP10_SQL}
+    return {"op2_chat": OP2_SQL, "op7_quality": OP7_SQL, "op10_url_list": OP10_SQL, "op11_ranked_search": OP11_SQL}
