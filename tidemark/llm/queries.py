@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontaminate, katz, neardup, packing, quality, ranked, reshard, secrets, substrings, urls
+from . import align, chat, decontaminate, katz, neardup, packing, quality, ranked, reshard, secrets, substrings, templates, urls
 from .common import Scratch
 
 TOKENIZER_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -198,6 +198,24 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_i
 SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 50"""
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(_read(spark, sf_dir, "pages"))
+
+
+#: For the layout of the given pages: an article of headings and paragraphs, with the four references they use.
+OP12_SQL = r"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT r, regexp_split_to_array(body, '</?(?:p|h1)>') AS parts FROM a)),
+c AS (
+  SELECT r, i, trim(regexp_replace(replace(replace(replace(replace(
+    regexp_replace(replace(part, '<br>', ' '), '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS line
+  FROM b),
+t AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM c WHERE line <> '' GROUP BY r),
+h AS (SELECT regexp_extract(coalesce(url, ''), '://([^/?#:]*)', 1) AS host, count(*) AS n FROM a GROUP BY 1)
+SELECT a.page_id, a.url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars, h.n >= 3 AS templated
+FROM a LEFT JOIN t USING (r) JOIN h ON h.host = regexp_extract(coalesce(url, ''), '://([^/?#:]*)', 1)"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECE_FILE))
 
@@ -215,9 +233,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substrings": op9_substrings,
         "op10_url_list": op10_url_list,
         "op11_ranked_search": op11_ranked_search,
+        "op12_extraction": op12_extraction,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op7_quality": OP7_SQL, "op10_url_list": OP10_SQL, "op11_ranked_search": OP11_SQL}
+    return {"op2_chat": OP2_SQL, "op7_quality": OP7_SQL, "op10_url_list": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_extraction": OP12_SQL}
