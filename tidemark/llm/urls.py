@@ -6,7 +6,7 @@ An entry (pattern, listed, since) turns a host, and all hosts below it, on or of
 blocked if any suffix of its host is on the list at its fetch time (start inclusive, end exclusive).
 
 Defined cases: no host in the URL, null URL or null fetch time: never blocked; null pattern or date:
-the entry is ignored; very long URLs: whole, like others, but a host of more than 253 characters is none; ties: of two active patterns the longer one is the
+the entry is ignored; very long URLs: whole, like others, however long their host; ties: of two active patterns the longer one is the
 rule; repeated captures: each gets its own result; repeated entries count once; empty list or no captures:
 nothing is blocked; other columns of the captures are kept, but for host, blocked and rule, which are
 replaced.
@@ -20,16 +20,10 @@ from pyspark.sql import functions as F
 from .common import store
 
 
-#: Characters of a host name, as the DNS allows.
-LONGEST_HOST = 253
-
-
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port or trailing dot; '' where there is none, or one that is longer than
-    host names may be."""
+    """Lower-case host without user, port or trailing dot; '' where there is none."""
     authority = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"\.?(:[0-9]*)?$", ""))
-    return F.when(F.char_length(host) <= LONGEST_HOST, host).otherwise("")
+    return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"\.?(:[0-9]*)?$", ""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -51,21 +45,25 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, url: str = "url", a
     cut = spells.select("pattern", "valid_from", "valid_to", F.explode(months).alias("_month"))
     host = host_of(F.col(url))
     asked = captures.select(host.alias("_host"), F.col(at).alias("_at")).where("_host <> '' and _at is not null").distinct()
+    # A host's suffixes are looked up by the numbers of labels that patterns have: as many as the list's longest
+    # pattern has at most, none of them longer than that pattern.
+    named = store(cut.select("pattern").distinct().withColumn("_n", F.size(F.split("pattern", r"\."))))
+    lengths = [r["_n"] for r in named.select("_n").distinct().orderBy("_n").collect()]
     labels = F.split("_host", r"\.")
-    suffixes = F.posexplode(F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))).alias("_pos", "pattern")
-    # Suffixes that no entry names, such as the top domains, go before captures meet; the patterns are stored,
-    # so that Spark knows their size.
-    named = store(cut.select("pattern").distinct())
-    suffixed = asked.select("_host").distinct().select("_host", suffixes).join(named, "pattern", "left_semi")
+    suffixes = F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.size(labels)), lambda n: F.struct(n.alias("_n"), F.array_join(F.slice(labels, -n, n), ".").alias("pattern"))))
+    # Suffixes that no entry names go before captures meet; the patterns are stored, so that Spark knows their size.
+    suffixed = asked.select("_host").distinct().select("_host", suffixes.alias("x")).select("_host", "x.*").join(named, ["pattern", "_n"], "left_semi")
     hits = (
         asked.withColumn("_month", F.date_trunc(grain, "_at"))
         .join(suffixed, "_host")
         .join(cut, ["pattern", "_month"])
         .where((F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
         .groupBy("_host", "_at")
-        .agg(F.min_by("pattern", "_pos").alias("_rule"))
+        .agg(F.max_by("pattern", "_n").alias("_rule"))
         .select("_host", F.col("_at").alias("_hit_at"), "_rule")
     )
+    # Stored, so that the join below may split a crowded (host, time) or broadcast: an aggregate can do neither.
+    hits = store(hits)
     rows = captures.select(F.struct("*").alias("row"), host.alias("host"), F.col(at).alias("own_at"))
     met = rows.where("host <> ''").join(hits, (F.col("host") == F.col("_host")) & (F.col("own_at") == F.col("_hit_at")), "left").select("row", "host", "_rule")
     met = met.unionByName(rows.where("host = ''").select("row", "host", F.lit(None).cast("string").alias("_rule")))
