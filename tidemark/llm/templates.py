@@ -2,8 +2,8 @@
 make up its template; what is left between them are slots, and the article is what its main slots hold.
 
 1. Tokens of a page are start and end tags (told apart by their element's path), words (by the path of their
-   element) and whole texts of blocks of FIXED_WORDS words or more, a role of their own. A token's occurrence vector says how often each page of the host holds it; two 31-bit sums of
-   hashes of (page, count) stand for it. Tokens of a host with one vector are a class.
+   element) and whole texts of blocks of FIXED_WORDS words or more, a role of their own. A token's occurrence vector says how often each page of the host holds it; the number
+   of pages and the sum (XOR) of 64-bit hashes of (page, count) stand for it. Tokens of a host with one vector are a class.
 2. A class counts if at least SUPPORT pages and SHARE of the host's pages hold it and it has two tokens or more.
    It is valid if its tokens come in one order, and it nests with the others, on all but TOLERANCE of its pages.
 3. Valid classes, nested, are the template. A slot is what follows one of its tokens inside the innermost open
@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -52,17 +52,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tag_token(path: int, end: bool) -> int:
+    """32 bits of the element's path, then 31 that are 1 for end tags, 0 for start tags, more for words."""
+    return path >> 31 << 31 | end
+
+
 def word_token(path: int, word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), path) >> 1
+    return path >> 31 << 31 | 2 + xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), path) % 0x7FFFFFFD
 
 
 def text_token(path: int, words: list[str]) -> int:
     return word_token(path, "\n" + " ".join(words))
 
 
-def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """The page's tokens, how often each occurs, how many tokens came first, and a word's path (a tag's: -1).
-    known remembers the tokens of words by path."""
+def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], list[int], list[int]]:
+    """The page's tokens, how often each occurs and how many tokens came first. known remembers the tokens of
+    words by path."""
     tags: dict[int, list[int]] = {}
     words_of: dict[int, tuple[Counter, list[int]]] = {}
     texts: dict[int, list[int]] = {}
@@ -70,7 +75,7 @@ def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], li
     for e, words, x in page.items:
         path = page.elements[e][2]
         if words is None:
-            t = path | 1 if x else path & ~1
+            t = tag_token(path, x)
             if t in tags:
                 tags[t][0] += 1
             else:
@@ -79,16 +84,13 @@ def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], li
         else:
             if len(words) >= FIXED_WORDS:
                 t = text_token(path, words)
-                texts.setdefault(t, [0, at, path])[0] += 1
+                texts.setdefault(t, [0, at])[0] += 1
                 at += 1
             counts, firsts = words_of.setdefault(path, (Counter(), []))
             counts.update(words)
             firsts.extend(range(at, at + len(counts) - len(firsts)))
             at += len(words)
-    ids, times, orders, paths = list(tags), [x[0] for x in tags.values()], [x[1] for x in tags.values()], [-1] * len(tags)
-    ids += texts
-    for column, j in ((times, 0), (orders, 1), (paths, 2)):
-        column += [x[j] for x in texts.values()]
+    ids, times, orders = [*tags, *texts], [x[0] for x in (*tags.values(), *texts.values())], [x[1] for x in (*tags.values(), *texts.values())]
     for path, (counts, firsts) in words_of.items():
         mine = known.setdefault(path, {})
         for w in counts:
@@ -98,33 +100,45 @@ def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], li
             ids.append(t)
         times += counts.values()
         orders += firsts
-        paths += [path] * len(firsts)
-    return ids, times, orders, paths
+    return ids, times, orders
+
+
+def _added(parts: list[list[np.ndarray]]) -> pd.DataFrame:
+    """Rows of pages' tokens added up by (host, token)."""
+    host, key, token, times, first = (np.concatenate(x) for x in zip(*parts))
+    sign = _mixed(_mixed(key.view(np.uint64)) + times.view(np.uint64)).view(np.int64)
+    order = np.lexsort((token, host))
+    host, token, sign, first = host[order], token[order], sign[order], first[order]
+    starts = np.flatnonzero(np.r_[True, (host[1:] != host[:-1]) | (token[1:] != token[:-1])])
+    return pd.DataFrame({
+        "host": host[starts], "token": token[starts], "pages": np.diff(np.r_[starts, len(host)]),
+        "sign": np.bitwise_xor.reduceat(sign, starts), "first": np.add.reduceat(first, starts),
+    })
 
 
 def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What pages hold, added up over some pages at a time."""
+    parts: list[list[np.ndarray]] = []
+    held = 0
     for f in frames:
-        if not len(f):
-            continue
         known: dict[int, dict[str, int]] = {}
-        parts: list[list[np.ndarray]] = []
-        codes, hosts = pd.factorize(f.host)
-        for host, key, html in zip(codes, f.key, f.html):
+        for host, key, html in zip(f.host, f.key, f.html):
             columns = [np.array(x, np.int64) for x in counted(Page(html), known)]
-            parts.append([np.full(len(columns[0]), host), np.full(len(columns[0]), key), *columns])
-        host, key, token, times, first, path = (np.concatenate(x) for x in zip(*parts))
-        sign = _mixed(_mixed(key.astype(np.uint64)) + times.astype(np.uint64))
-        rows = pd.DataFrame({
-            "host": host, "token": token, "pages": 1, "times": times, "s1": (sign & np.uint64(0x7FFFFFFF)).astype(np.int64),
-            "s2": (sign >> np.uint64(33)).astype(np.int64), "first": first, "path": path,
-        })
-        out = rows.groupby(["host", "token"]).agg({"pages": "sum", "times": "sum", "s1": "sum", "s2": "sum", "first": "sum", "path": "first"}).reset_index()
-        yield out.assign(host=np.asarray(hosts)[out.host])
-
-
-_VECTORS = "host string, token long, pages long, times long, s1 long, s2 long, first long, path long"
+            if n := len(columns[0]):
+                parts.append([np.full(n, host, np.int64), np.full(n, key, np.int64), *columns])
+                held += n
+            if held >= _HELD:
+                yield _added(parts)
+                parts, held = [], 0
+    if parts:
+        yield _added(parts)
+
+
+#: Token rows that a worker adds up at once.
+_HELD = 1_000_000
+_VECTORS = "host long, token long, pages long, sign long, first long"
 #: A template is an array of such rows, as bytes.
-_COLUMNS = ["token", "class", "ordinal", "fixed", "main", "path"]
+_COLUMNS = ["token", "class", "ordinal", "fixed", "main"]
 
 
 def _bytes(rows: pd.DataFrame) -> bytes:
@@ -140,10 +154,10 @@ class Template:
 
     def __init__(self, rows: np.ndarray):
         rows = rows.tolist()
-        self.of = {t: (c, o, bool(fixed)) for t, c, o, fixed, _, _ in rows}
+        self.of = {t: (c, o, bool(fixed)) for t, c, o, fixed, _ in rows}
         self.size = Counter(c for c, _, _ in self.of.values())
-        self.main = {(c, o) for _, c, o, _, main, _ in rows if main}
-        self.paths = {path for *_, path in rows}
+        self.main = {(c, o) for _, c, o, _, main in rows if main}
+        self.paths = {t >> 31 for t in self.of if t & 0x7FFFFFFF > 1}
 
 
 @lru_cache(maxsize=256)
@@ -184,10 +198,10 @@ def walk(page: Page, template: Template) -> tuple[list[Stack], set[int], set[int
     for i, (e, words, x) in enumerate(page.items):
         path = page.elements[e][2]
         if words is None:
-            if at := template.of.get(path | 1 if x else path & ~1):
+            if at := template.of.get(tag_token(path, x)):
                 meet(at[0], at[1])
             slots.append(())
-        elif path not in template.paths:
+        elif path >> 31 not in template.paths:
             slots.append(tuple(open_))
         else:
             free = None
@@ -234,7 +248,7 @@ def main_slots(measures: dict) -> set:
 def _evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Added up by host: measures of slots by all that is open there, and (a, b) how many pages a class is on and contradicted by."""
     for f in frames:
-        held: dict[tuple[str, str], list[int]] = {}
+        held: dict[tuple[int, str], list[int]] = {}
         for host, html, blob in zip(f.host, f.html, f.template):
             page = Page(html)
             slots, seen, bad, _ = walk(page, _template(blob))
@@ -280,14 +294,14 @@ def _articles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _classes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Classes of one host's frequent tokens, each in the order of its tokens' first places."""
     rows = rows.assign(mean=rows["first"] / rows.pages).sort_values(["mean", "token"], kind="stable")
-    groups = rows.groupby(["pages", "times", "s1", "s2"], sort=True)
+    groups = rows.groupby(["pages", "sign"], sort=True)
     rows = rows.assign(**{"class": groups.ngroup(), "ordinal": groups.cumcount(), "main": 0})
-    rows["fixed"] = (rows.path >= 0) & (rows.pages >= FIXED_PAGES) & (rows.pages >= FIXED_SHARE * rows.total)
+    rows["fixed"] = (rows.token & 0x7FFFFFFF > 1) & (rows.pages >= FIXED_PAGES) & (rows.pages >= FIXED_SHARE * rows.total)
     rows = rows[groups["token"].transform("size") >= 2]
     return _one(key[0], rows)
 
 
-def _one(host: str, rows: pd.DataFrame) -> pd.DataFrame:
+def _one(host: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [host], "template": [_bytes(rows)]} if len(rows) else {"host": [], "template": []})
 
 
@@ -305,31 +319,37 @@ def _judged(key: tuple, known: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataF
     return _one(key[0], rows.assign(main=[int(x in main) for x in zip(rows["class"], rows.ordinal)]))
 
 
-_TEMPLATES = "host string, template binary"
+_TEMPLATES = "host long, template binary"
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, template) of the hosts that have one, stored. pages: host, key, html."""
-    hosted = pages.where("host <> ''")
+    """(host, template) of the hosts that have one, stored. pages: host (a number; null: none), key, html."""
+    hosted = pages.where("host is not null")
     total = scratch.store(hosted.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= SUPPORT))
     asked = hosted.join(total.select("host"), "host", "left_semi").select("host", "key", "html")
-    sums = [F.sum(c).alias(c) for c in ("pages", "times", "s1", "s2", "first")]
-    vectors = asked.mapInPandas(_vectors, _VECTORS).groupBy("host", "token").agg(*sums, F.max("path").alias("path")).where(F.col("pages") >= SUPPORT)
+    sums = [F.sum("pages").alias("pages"), F.bit_xor("sign").alias("sign"), F.sum("first").alias("first")]
+    vectors = asked.mapInPandas(_vectors, _VECTORS).groupBy("host", "token").agg(*sums).where(F.col("pages") >= SUPPORT)
     frequent = vectors.join(total, "host").where(F.col("pages") >= SHARE * F.col("total"))
-    classes = scratch.store(frequent.groupBy("host").applyInPandas(_classes, _TEMPLATES))
+    classes = scratch.store(frequent.groupBy("host").applyInPandas(_classes, _TEMPLATES), texts=True)
     met = asked.join(classes, "host").select("host", "html", "template")
-    evidence = met.mapInPandas(_evidence, "host string, at string, a long, b long, c long, d long").groupBy("host", "at").agg(*[F.sum(c).alias(c) for c in "abcd"])
-    judged = scratch.store(classes.groupBy("host").cogroup(evidence.groupBy("host")).applyInPandas(lambda k, x, y: _judged(k, x, y.drop(columns="host")), _TEMPLATES))
+    evidence = met.mapInPandas(_evidence, "host long, at string, a long, b long, c long, d long").groupBy("host", "at").agg(*[F.sum(c).alias(c) for c in "abcd"])
+    judged = scratch.store(classes.groupBy("host").cogroup(evidence.groupBy("host")).applyInPandas(lambda k, x, y: _judged(k, x, y.drop(columns="host")), _TEMPLATES), texts=True)
     scratch.drop(total, classes)
     return judged
 
 
+def host_id(url: Column) -> Column:
+    """host: the URL's host as a 64-bit hash; null where there is none."""
+    host = host_of(url)
+    return F.when(host != "", F.xxhash64(host)).alias("host")
+
+
 def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """page_id, url, text (blocks joined by line breaks), n_chars and templated (whether its host has a template)
     of every row of pages (page_id, url, html)."""
     scratch = scratch or Scratch(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", html).alias("key"))
+    rows = pages.select("page_id", "url", html.alias("html"), host_id(F.col("url")), F.xxhash64("page_id", "url", html).alias("key"))
     known = templates(rows, scratch)
     met = rows.join(known, "host", "left").select("page_id", "url", "html", "template")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
