@@ -198,3 +198,33 @@ def test_stream_keeps_its_baseline_and_counts(spark, tmp_path, fail, max_delay):
     assert sorted(got) == sorted([(10.0, "significant"), (11.0, "expired"), *late, (14.0, "expired")])
     told = spark.read.parquet(counts).where("user_id = 1").agg(F.sum("found"), F.sum("processed"), F.sum("errors")).first()
     assert tuple(told) == (2, 0 if fail else 2, 2 if fail else 0)
+
+
+def test_sessions_stay_open_until_acknowledged(spark, tmp_path):
+    """A delivery that fails twice is offered three times, also by a query that starts again from its
+    checkpoint; then the session is closed, and what arrived is the baseline."""
+    at = lambda s: 1_700_000_000 + s
+    schema = "user_id long, item_id long, ts timestamp, progress double"
+    put = lambda folder, rows: spark.createDataFrame(rows, "user_id long, item_id long, s long, progress double").select(
+        "user_id", "item_id", F.timestamp_seconds("s").alias("ts"), "progress").coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+    put("acks", [(0, 0, at(0), 0.0)])
+    offers = []
+
+    def deliver(rows):
+        got = [tuple(r) for r in rows.select("item_id", "progress", "why").collect()]
+        offers.extend(x for x in got if x[0] == 1)
+        fails = sum(why == "expired" for _, _, why in offers) <= 2
+        return rows.withColumn("sent", (F.col("why") != "expired") | F.lit(not fails))
+
+    def run():
+        read = lambda folder: spark.readStream.schema(schema).parquet(str(tmp_path / folder))
+        out = sessions.acknowledged_updates(read("in"), read("acks"))
+        out.writeStream.foreachBatch(sessions.deliver_acknowledged(deliver, str(tmp_path / "acks"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    for rows in ([(1, 1, at(0), 10.0)], [(1, 1, at(60), 11.0)], *[[(9, 9, at(6_000 + 1_500 * k), 1.0)] for k in range(8)]):
+        put("in", rows)
+        run()
+    assert offers == [(1, 10.0, "significant")] + [(1, 11.0, "expired")] * 3
+    put("in", [(1, 1, at(16_600), 12.0)])
+    run()
+    assert (1, 12.0, "significant") not in offers

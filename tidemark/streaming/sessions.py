@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Seconds by which events may come late.
+LATENESS = 3600
 MILESTONES = (25, 50, 75, 90, 95, 100)
 
 
@@ -161,6 +163,68 @@ def delayed_updates(events: DataFrame, o: SessionOptions = SessionOptions()) ->
     return events.withWatermark("ts", "1 hour").groupBy("user_id", "item_id").applyInPandasWithState(step, FLUSHED, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def acknowledged_updates(events: DataFrame, acks: DataFrame, o: SessionOptions = SessionOptions()) -> DataFrame:
+    """As delayed_updates, for deliveries that may fail: a session that has been silent for the timeout is
+    offered (why 'expired', with the time of the offer as `at`) and stays open until acks (user_id, item_id, ts,
+    progress), a second stream, tells that its progress arrived; until then it is offered again after each further
+    timeout. Only what is acknowledged becomes the stored progress. An acknowledgement of an older progress leaves
+    the newer one pending. Delivery is at least once: an acknowledgement that is an hour late in event time is lost,
+    and its session is offered again."""
+    state = "stored double, pending double, n long, sent long"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        stored, pending, n, sent = held.get if held.exists else (None, None, 0, None)
+        clock, newest, out = held.getCurrentWatermarkMs(), 0, []
+        if held.hasTimedOut:
+            if n:
+                out.append((*key, pending, n, "expired", pd.Timestamp(clock, unit="ms")))
+        else:
+            rows = (r for f in frames for r in f[["ts", "progress", "acked"]].itertuples(index=False))
+            for row in sorted(rows, key=lambda r: (r.ts, r.acked)):
+                at = int(row.ts.timestamp() * 1000)
+                newest = max(newest, at)
+                if row.acked:
+                    stored, sent = row.progress, at
+                    if n and pending == row.progress:
+                        pending, n = None, 0
+                    continue
+                old = pending or stored or 0.0
+                pending, n = row.progress, n + 1
+                if o.immediate_completion and pending >= 100:
+                    why = "complete"
+                elif sent is not None and at - sent >= o.max_delay * 1000:
+                    why = "max_delay"
+                elif stored is None or abs(pending - old) >= o.significant or any(old < m <= pending for m in MILESTONES):
+                    why = "significant"
+                else:
+                    continue
+                out.append((*key, pending, n, why, row.ts))
+        held.update((stored, pending, n, sent))
+        if n:
+            held.setTimeoutTimestamp(max(newest, clock) + o.timeout * 1000)
+        yield pd.DataFrame(out, columns=["user_id", "item_id", "progress", "n_updates", "why", "at"])
+
+    columns = ["user_id", "item_id", "ts", "progress"]
+    both = events.select(*columns, F.lit(False).alias("acked")).unionByName(acks.select(*columns, F.lit(True).alias("acked")))
+    grouped = both.withWatermark("ts", f"{LATENESS} seconds").groupBy("user_id", "item_id")
+    return grouped.applyInPandasWithState(step, f"{FLUSHED}, at timestamp", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def deliver_acknowledged(deliver: Callable[[DataFrame], DataFrame], acks: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on acknowledged_updates: hands what must go out to deliver, which returns it with `sent`,
+    and writes an acknowledgement below acks, a folder that the second stream reads, for what was sent. A failing
+    row gets none, so its session stays open. A batch that is run again writes its files anew; an
+    acknowledgement that is read twice changes nothing."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        done = deliver(rows).where("sent")
+        # As late as any event may be now, so that it neither moves the clock nor comes late.
+        ts = F.timestamp_seconds(F.unix_timestamp("at") + F.when(F.col("why") == "expired", F.lit(LATENESS)).otherwise(0))
+        done.select("user_id", "item_id", ts.alias("ts"), "progress").write.mode("append").parquet(acks)
+
+    return batch
+
+
 def deliver_expired(deliver: Callable[[DataFrame], DataFrame], counts: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: hands the expired sessions of a batch to deliver, which returns them with `sent`, and
     appends how many were found, processed and failed, per user, below counts. A batch that is run again
