@@ -20,7 +20,7 @@ template has at most 1 / SHARE times the tokens of an average page, and is put t
 are stored; Spark broadcasts them if their size allows, else it splits a crowded host's pages (adaptive).
 
 Defined cases: null html is an empty page, with text ''; null URL or none with a host: no template; very long
-pages go through whole; repeated rows are pages of their own; no pages: no rows; other columns are left out.
+pages go through whole; repeated rows are pages of their own (an even number of equal ones leaves no mark in the sum, only in the number of pages); no pages: no rows; other columns are left out.
 """
 
 from __future__ import annotations
