@@ -99,9 +99,10 @@ def narrator_factor(edition: Column, source: Column, source_format: Column) -> C
     )
 
 
-def series_factor(name: Column, sequence: Column, other: Column, other_sequence: Column) -> Column:
+def series_factor(name: Column, sequence: Column, other: Column, other_sequence: Column, similarity: Column | None = None) -> Column:
+    """similarity: of the standard names, from 0 to 1, if it is known already."""
     none = lambda c: c.isNull() | (c == "")
-    alike = T.series_similarity(T.standard_series(name), T.standard_series(other)) * 100
+    alike = (T.series_similarity(T.standard_series(name), T.standard_series(other)) if similarity is None else similarity) * 100
     both = has(sequence) & has(other_sequence)
     bonus = F.when(both & (sequence == other_sequence), 20.0).when(both, 5.0).otherwise(0.0)
     scored = F.get(F.transform(F.array(alike), lambda x: F.when(x < 70, F.greatest(F.lit(20.0), x * 0.5)).otherwise(F.least(F.lit(100.0), x + bonus))), F.lit(0))

@@ -223,7 +223,12 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 
 def series_similarity(a: Column, b: Column) -> Column:
-    return _unless_missing(a, b, _mixed(standard_text(a), standard_text(b), 0.5, 0.5))
+    return series_similarity_of(a, b, standard_text(a), standard_text(b))
+
+
+def series_similarity_of(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """series_similarity of a and b, whose standard texts are x and y."""
+    return _unless_missing(a, b, _mixed(x, y, 0.5, 0.5))
 
 
 def general_similarity(a: Column, b: Column) -> Column:

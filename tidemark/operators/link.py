@@ -78,18 +78,71 @@ def dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int = 500) -
     return facing.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
+_ITEM_EXTRAS = ("item_series", "item_sequence", "item_year")
+
+
+def _standard_items(items: DataFrame) -> DataFrame:
+    """items with _t and _a, the standard forms of title and author, and block."""
+    return items.select("*", T.standard_title(F.col("title")).alias("_t"), F.coalesce(T.standard_author(F.col("author")), F.lit("")).alias("_a"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
+
+
+def _standard_works(works: DataFrame) -> DataFrame:
+    """works with _u and _b, the standard forms of title and author, and block."""
+    return works.select("*", T.standard_title(F.col("title")).alias("_u"), F.coalesce(T.standard_author(F.col("author")), F.lit("")).alias("_b"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
+
+
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left (block, _t, _a) and right (block, _u, _b) joined within blocks, with title_score and
+    author_score. Titles and authors are compared once for all rows of one form."""
+    forms = dealt(left.select("block", "_t", "_a").distinct(), right.select("block", "_u", "_b").distinct(), ["block"])
+    compared = forms.withColumns({"title_score": T.title_similarity(F.col("_t"), F.col("_u")) * 100, "author_score": T.author_similarity(F.col("_a"), F.col("_b")) * 100})
+    return dealt(left.join(compared, ["block", "_t", "_a"]), right, ["block", "_u", "_b"])
+
+
 def candidate_pairs(items: DataFrame, works: DataFrame) -> DataFrame:
     """item_id, item_title, item_author, the work's columns, title_score and author_score, and the item's
     series and year where it has such columns (item_series, item_sequence, item_year): an item meets every
-    work of its block. Titles and authors are compared once for all items and works of one form."""
-    form = lambda title, author, t, a: (T.standard_title(F.col(title)).alias(t), F.coalesce(T.standard_author(F.col(author)), F.lit("")).alias(a))
-    w = works.select("*", *form("title", "author", "_u", "_b"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
-    more = [c for c in ("item_series", "item_sequence", "item_year") if c in items.columns]
-    i = items.select("item_id", *more, F.col("title").alias("item_title"), F.col("author").alias("item_author"), *form("title", "author", "_t", "_a"), F.explode(block_keys(F.col("title"), F.col("author"))).alias("block"))
-    forms = dealt(i.select("block", "_t", "_a").distinct(), w.select("block", "_u", "_b").distinct(), ["block"])
-    compared = forms.withColumns({"title_score": T.title_similarity(F.col("_t"), F.col("_u")) * 100, "author_score": T.author_similarity(F.col("_a"), F.col("_b")) * 100})
-    met = i.join(compared, ["block", "_t", "_a"]).drop("_t", "_a")
-    return dealt(met, w, ["block", "_u", "_b"]).drop("block", "_u", "_b")
+    work of its block."""
+    more = [c for c in _ITEM_EXTRAS if c in items.columns]
+    i = _standard_items(items).select("item_id", *more, F.col("title").alias("item_title"), F.col("author").alias("item_author"), "_t", "_a", "block")
+    return _meet(i, _standard_works(works)).drop("block", "_t", "_a", "_u", "_b")
+
+
+def best_works(items: DataFrame, works: DataFrame, k: int = 10) -> DataFrame:
+    """item_id, book_id, the factors, score and confidence of the k best works of each item: the rows of
+    best_matches over scored candidate_pairs, without listing these pairs.
+
+    Items of one form (standard title and author, series, sequence, year) are compared once. Of the works
+    that differ in activity alone only those can be among the k best that are among the k most active (the
+    score grows with activity) or, where scores end at 0, among the k least book_ids; the others meet no item.
+    So pairs grow with the number of different forms instead of the number of items and works. Works with
+    equal book_id, form and activity count once; an item without a title has no row."""
+    more = [c for c in _ITEM_EXTRAS if c in items.columns]
+    given = _standard_items(items).where(F.col("_t").isNotNull()).select("item_id", F.struct("block", "_t", "_a", *more).alias("form"))
+    series = [c for c in ("series_name", "series_sequence") if c in works.columns]
+    year = [c for c in ("publication_year",) if c in works.columns]
+    w = _standard_works(works).where(F.col("_u").isNotNull()).select("book_id", F.col("activity"), "block", "_u", "_b", *series, *year)
+    # A column that no item is compared with only counts as there or not.
+    if "item_series" not in more and series:
+        w = w.withColumn("series_name", F.when(F.col("series_name") != "", "x")).drop("series_sequence")
+    if "item_year" not in more and year:
+        w = w.withColumn("publication_year", F.when(F.col("publication_year") != 0, 1))
+    alike = [c for c in w.columns if c not in ("book_id", "activity")]
+    top = lambda *by: w.withColumn("_r", F.row_number().over(Window.partitionBy(*alike).orderBy(*by))).where(F.col("_r") <= k).drop("_r")
+    chosen = top(F.desc(S.activity_factor(F.col("activity"))), "book_id").unionByName(top("book_id")).distinct()
+    forms = given.select("form").distinct().select("form", "form.*")
+    standard = lambda c: (T.standard_series(F.col(c)).alias(f"_{c}"), T.standard_text(T.standard_series(F.col(c))).alias(f"_{c}_text"))
+    both = "item_series" in more and "series_name" in w.columns
+    if both:
+        forms, chosen = forms.select("*", *standard("item_series")), chosen.select("*", *standard("series_name"))
+    pairs = _meet(forms, chosen).withColumn("title_length", F.char_length("_t"))
+    if both:
+        pairs = pairs.withColumn("series_alike", T.series_similarity_of(*[F.col(c) for c in ("_item_series", "_series_name", "_item_series_text", "_series_name_text")]))
+    scored = score_works(pairs).select("form", "book_id", *[f"{f}_score" for f in S.WORK_WEIGHTS], "score", "confidence")
+    # Ranked under one key more than joined by, so that the join's shuffle can split a form that many items have.
+    rank = F.row_number().over(Window.partitionBy("form", F.xxhash64("form")).orderBy(F.desc(_steady("score")), "book_id"))
+    best = scored.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    return given.join(best, "form").drop("form")
 
 
 def _steady(score: str) -> Column:
@@ -105,16 +158,19 @@ def best_matches(scored: DataFrame, k: int = 10) -> DataFrame:
 
 def score_works(pairs: DataFrame) -> DataFrame:
     """pairs (item_title, item_author, title, author, activity and, where present, series and year
-    columns of both sides) with one column per factor, score and confidence. title_score and author_score
-    are taken as they are if the pairs have them."""
+    columns of both sides) with one column per factor, score and confidence. title_score, author_score,
+    title_length (of the item's standard title) and series_alike (0 to 1) are taken as they are if the pairs
+    have them."""
     col = lambda name, kind="string": F.col(name) if name in pairs.columns else F.lit(None).cast(kind)
+    given = lambda name, value: F.col(name) if name in pairs.columns else value()
+    title, author = (lambda: T.standard_title(F.col("title"))), (lambda: T.standard_author(F.col("author")))
+    mine, writer = (lambda: T.standard_title(F.col("item_title"))), (lambda: T.standard_author(F.col("item_author")))
     staged = pairs.withColumns(
-        {"_t": T.standard_title(F.col("item_title")), "_u": T.standard_title(F.col("title")), "_a": T.standard_author(F.col("item_author")), "_b": T.standard_author(F.col("author"))}
-    ).withColumns(
         {
-            "title_score": F.col("title_score") if "title_score" in pairs.columns else T.title_similarity(F.col("_t"), F.col("_u")) * 100,
-            "author_score": F.col("author_score") if "author_score" in pairs.columns else T.author_similarity(F.col("_a"), F.col("_b")) * 100,
-            "series_score": S.series_factor(col("item_series"), col("item_sequence", "double"), col("series_name"), col("series_sequence", "double")),
+            "title_length": given("title_length", lambda: F.char_length(mine())),
+            "title_score": given("title_score", lambda: T.title_similarity(mine(), title()) * 100),
+            "author_score": given("author_score", lambda: T.author_similarity(writer(), author()) * 100),
+            "series_score": S.series_factor(col("item_series"), col("item_sequence", "double"), col("series_name"), col("series_sequence", "double"), F.col("series_alike") if "series_alike" in pairs.columns else None),
             "activity_score": S.activity_factor(F.col("activity")),
             "year_score": S.year_factor(col("item_year", "int"), col("publication_year", "int")),
         }
@@ -122,17 +178,15 @@ def score_works(pairs: DataFrame) -> DataFrame:
     t, a = F.col("title_score"), F.col("author_score")
     base = sum((F.col(f"{k}_score") * w for k, w in S.WORK_WEIGHTS.items()), F.lit(0.0))
     bonus = F.when((t >= 90) & (a >= 90), F.least(t, a) * 0.1).when((t >= 80) & (a >= 80), F.least(t, a) * 0.05).otherwise(0.0)
-    short = F.when(F.char_length("_t") <= 10, (10 - F.char_length("_t")) * 2).otherwise(0)
+    short = F.when(F.col("title_length") <= 10, (10 - F.col("title_length")) * 2).otherwise(0)
     other = F.when((a < 30) & (t > 80), (80 - a) * 0.15).otherwise(0.0)
-    scored = staged.withColumn("score", S.clamp(base + bonus - short - other)).drop("_t", "_u", "_a", "_b")
+    scored = staged.withColumn("score", S.clamp(base + bonus - short - other)).drop("title_length", "series_alike")
     return scored.withColumn("confidence", F.when(F.col("score") >= 75, "high").when(F.col("score") >= 60, "medium").when(F.col("score") >= 45, "low").otherwise("none"))
 
 
 def link_by_title_author(items: DataFrame, works: DataFrame, threshold: float = 70.0) -> DataFrame:
     """item_id, book_id, score of the best work at or over the threshold; ties: the least book_id."""
-    scored = score_works(candidate_pairs(items, works)).select("item_id", "book_id", "score")
-    best = scored.groupBy("item_id").agg(F.min_by(F.struct("book_id", "score"), F.struct(-_steady("score"), "book_id")).alias("b"))
-    return best.select("item_id", "b.book_id", "b.score").where(F.col("score") >= threshold)
+    return best_works(items, works, 1).select("item_id", "book_id", "score").where(F.col("score") >= threshold)
 
 
 def resolve_remembered(items: DataFrame, remembered: DataFrame, owned_editions: DataFrame, score: float = 85.0) -> DataFrame:

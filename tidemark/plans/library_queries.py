@@ -75,7 +75,7 @@ _VIEWS = ("fx_editions", "fx_items", "fx_works")
     *_VIEWS, more=SCORES,
 )
 def m1(spark, d):
-    best = link.best_matches(link.score_works(link.candidate_pairs(_items(spark, d), view(spark, d, "fx_works"))))
+    best = link.best_works(_items(spark, d), view(spark, d, "fx_works"))
     return best.select("item_id", "book_id", *[r6(F.col(c)).alias(c) for c in ("title_score", "author_score", "series_score")], "year_score", r6(F.col("score")).alias("score"), "confidence")
 
 
