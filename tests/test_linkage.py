@@ -235,3 +235,22 @@ def test_every_work_of_a_block_is_compared(spark):
     for r in link.best_matches(link.score_works(link.candidate_pairs(i, w))).collect():
         best.setdefault(r["item_id"], []).append((-round(r["score"], 9), r["book_id"]))
     assert {n: sorted(own) for n, own in best.items() if n != 51} == {n: sorted(own)[:10] for n, own in brute.items()}
+
+
+@pytest.mark.parametrize("extras", [True, False])
+def test_best_works_are_those_of_all_pairs(spark, extras):
+    """Many works that differ in activity alone, scores that end at 0, missing parts, repeated items."""
+    names = [("Silver Tide", "Mara Holt"), ("Silver Tide Rising", "Milo Hart"), ("Ox", "M H"), ("", "Qi Wu"), ("Silver Tide", None)]
+    works = [(n, *names[n % 5], (n * 37) % 90 if n % 4 else None, "Tides" if n % 2 else None, 1 + n % 2, 2000 + n % 3 if n % 7 else None) for n in range(120)]
+    items = [(n, names[n % 5][0].upper() + (" (Unabridged)" if n % 2 else ""), names[n % 5][1], "The Tides Series" if n % 3 else None, float(n % 3), 2001 if n % 4 else None) for n in range(30)]
+    w = spark.createDataFrame(works, "book_id long, title string, author string, activity long, series_name string, series_sequence int, publication_year int")
+    i = spark.createDataFrame([*items, (90, None, "x", None, None, None)], "item_id long, title string, author string, item_series string, item_sequence double, item_year int")
+    if not extras:
+        i = i.select("item_id", "title", "author")
+    want, got = {}, {}
+    for r in link.score_works(link.candidate_pairs(i, w)).select("item_id", "book_id", "score").collect():
+        want.setdefault(r["item_id"], []).append((-round(r["score"], 6), r["book_id"]))
+    for r in link.best_works(i, w, 4).select("item_id", "book_id", "score").collect():
+        got.setdefault(r["item_id"], []).append((-round(r["score"], 6), r["book_id"]))
+    assert {n: sorted(rows) for n, rows in got.items()} == {n: sorted(rows)[:4] for n, rows in want.items()} and len(got) > 20
+    assert link.best_works(i.limit(0), w).count() == 0 and link.best_works(i, w.limit(0)).count() == 0

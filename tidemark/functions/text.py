@@ -207,19 +207,30 @@ def _backwards(c: Column) -> Column:
 
 
 def author_similarity(a: Column, b: Column) -> Column:
-    x, y = standard_text(a), standard_text(b)
+    return author_similarity_of(a, b, standard_text(a), standard_text(b))
+
+
+def author_similarity_of(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """author_similarity of a and b, whose standard texts are x and y."""
     two = (F.size(F.split(x, " ")) >= 2) & (F.size(F.split(y, " ")) >= 2)
     turned = F.when(two, F.greatest(_mixed(_backwards(x), y, 0.3, 0.7), _mixed(x, _backwards(y), 0.3, 0.7))).otherwise(0.0)
     return _unless_missing(a, b, F.greatest(_mixed(x, y, 0.3, 0.7), turned))
 
 
+def light_title(c: Column) -> Column:
+    """The form in which titles are compared."""
+    out = F.regexp_replace(trim(F.lower(c)), java(TITLE_STEPS[0]), "")
+    out = F.regexp_replace(F.regexp_replace(out, java(r"\s*\([^)]*\)"), ""), "[:\\-–—]", " ")
+    return squeeze(F.regexp_replace(out, r"[^A-Za-z0-9_\s']", ""))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
-    def light(c: Column) -> Column:
-        out = F.regexp_replace(trim(F.lower(c)), java(TITLE_STEPS[0]), "")
-        out = F.regexp_replace(F.regexp_replace(out, java(r"\s*\([^)]*\)"), ""), "[:\\-–—]", " ")
-        return squeeze(F.regexp_replace(out, r"[^A-Za-z0-9_\s']", ""))
+    return title_similarity_of(a, b, light_title(a), light_title(b))
+
 
-    return _unless_missing(a, b, _mixed(light(a), light(b), 0.6, 0.4))
+def title_similarity_of(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """title_similarity of a and b, whose light titles are x and y."""
+    return _unless_missing(a, b, _mixed(x, y, 0.6, 0.4))
 
 
 def series_similarity(a: Column, b: Column) -> Column:

@@ -93,9 +93,14 @@ def _standard_works(works: DataFrame) -> DataFrame:
 
 def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
     """left (block, _t, _a) and right (block, _u, _b) joined within blocks, with title_score and
-    author_score. Titles and authors are compared once for all rows of one form."""
-    forms = dealt(left.select("block", "_t", "_a").distinct(), right.select("block", "_u", "_b").distinct(), ["block"])
-    compared = forms.withColumns({"title_score": T.title_similarity(F.col("_t"), F.col("_u")) * 100, "author_score": T.author_similarity(F.col("_a"), F.col("_b")) * 100})
+    author_score. Titles and authors are compared once for all rows of one form; what a form is compared by
+    is computed once, before it meets others."""
+    c = F.col
+    mine = left.select("block", "_t", "_a").distinct().select("*", T.light_title(c("_t")).alias("_tx"), T.standard_text(c("_a")).alias("_ax"))
+    theirs = right.select("block", "_u", "_b").distinct().select("*", T.light_title(c("_u")).alias("_ux"), T.standard_text(c("_b")).alias("_bx"))
+    title = T.title_similarity_of(c("_t"), c("_u"), c("_tx"), c("_ux")) * 100
+    author = T.author_similarity_of(c("_a"), c("_b"), c("_ax"), c("_bx")) * 100
+    compared = dealt(mine, theirs, ["block"]).select("block", "_t", "_a", "_u", "_b", title.alias("title_score"), author.alias("author_score"))
     return dealt(left.join(compared, ["block", "_t", "_a"]), right, ["block", "_u", "_b"])
 
 
