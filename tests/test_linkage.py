@@ -254,3 +254,15 @@ def test_best_works_are_those_of_all_pairs(spark, extras):
         got.setdefault(r["item_id"], []).append((-round(r["score"], 6), r["book_id"]))
     assert {n: sorted(rows) for n, rows in got.items()} == {n: sorted(rows)[:4] for n, rows in want.items()} and len(got) > 20
     assert link.best_works(i.limit(0), w).count() == 0 and link.best_works(i, w.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [34, 60, 80, 100])
+def test_similar_token_sets_are_those_of_all_pairs(spark, percent):
+    words = "amber brook cedar delta ember frost grove haven inlet jewel".split()
+    texts = [(n, " ".join(words[(n * k) % 10] for k in range(1, 2 + n % 5)) + " common!") for n in range(60)] + [(60, None), (61, ""), (62, "a b"), (63, "Common, common")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    sets = {n: {w.strip("!,").lower() for w in (t or "").split() if len(w.strip("!,")) > 2} for n, t in texts}
+    want = {(a, b): round(len(x & y) / len(x | y), 9) for a, x in sets.items() for b, y in sets.items() if x and y and 100 * len(x & y) >= percent * len(x | y)}
+    got = link.similar_token_sets(df, df, percent).collect()
+    assert len(got) == len(want) and {(r["left_id"], r["right_id"]): round(r["jaccard"], 9) for r in got} == want
+    assert link.similar_token_sets(df.limit(0), df, percent).count() == 0

@@ -194,6 +194,39 @@ def link_by_title_author(items: DataFrame, works: DataFrame, threshold: float =
     return best_works(items, works, 1).select("item_id", "book_id", "score").where(F.col("score") >= threshold)
 
 
+def similar_token_sets(left: DataFrame, right: DataFrame, percent: int = 80) -> DataFrame:
+    """left and right (id, text) -> left_id, right_id, jaccard: all pairs whose texts' token sets (words of
+    three letters or more) have at least percent of their union in common. Texts without tokens meet nothing.
+
+    Sets are sorted by how few sets hold a token. Two sets that alike share a token among the first of each,
+    n - ceil(n * percent / 100) + 1 of n; a pair is taken up at its first common token only, and only if sizes
+    and places leave room for enough others. So no pair is lost, and frequent tokens are rarely keys."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    c = F.col
+    sets = [side.select("id", F.array_sort(T.tokens(F.coalesce("text", F.lit("")))).alias("set")).where(F.size("set") > 0) for side in (left, right)]
+    forms = [side.select("set").distinct() for side in sets]
+    held = forms[0].unionByName(forms[1]).distinct().select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def prefixes(side: DataFrame, name: str) -> DataFrame:
+        counted = dealt(held, side.select("set", F.explode("set").alias("token")), ["token"])
+        ranked = counted.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r")).select("set", c("r.token").alias("order"))
+        first = F.size("order") - F.ceil(F.size("order") * percent / 100).cast("int") + 1
+        rows = ranked.select("set", "order", F.posexplode(F.slice("order", F.lit(1), first)).alias("place", "token"))
+        return rows.select("token", c("set").alias(f"{name}_set"), c("order").alias(f"{name}_order"), c("place").alias(f"{name}_place"))
+
+    met = dealt(prefixes(forms[0], "l"), prefixes(forms[1], "r"), ["token"])
+    m, n = F.size("l_order"), F.size("r_order")
+    room = F.least(m - c("l_place"), n - c("r_place"))
+    fits = (m * 100 >= n * percent) & (n * 100 >= m * percent) & (room * (100 + percent) >= (m + n) * percent)
+    shared = met.where(fits).withColumn("common", F.array_intersect("l_order", "r_order")).where(F.get("common", F.lit(0)) == c("token"))
+    both = F.size("common")
+    alike = shared.where(both * 100 >= (m + n - both) * percent).select("l_set", "r_set", (both / (m + n - both)).alias("jaccard"))
+    mine = sets[0].select(c("id").alias("left_id"), c("set").alias("l_set"))
+    theirs = sets[1].select(c("id").alias("right_id"), c("set").alias("r_set"))
+    return dealt(dealt(alike, mine, ["l_set"]), theirs, ["r_set"]).select("left_id", "right_id", "jaccard")
+
+
 def resolve_remembered(items: DataFrame, remembered: DataFrame, owned_editions: DataFrame, score: float = 85.0) -> DataFrame:
     """items with a remembered edition: match_type remembered if it is owned, else auto_add."""
     own = owned_editions.select(F.col("edition_id").alias("_e")).distinct()

@@ -84,6 +84,25 @@ def j8(spark, d):
     return link.link_by_title_author(_items(spark, d), view(spark, d, "fx_works")).select("item_id", "book_id", r6(F.col("score")).alias("score"))
 
 
+_TOKENS = "list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '') || ' ' || coalesce({1}, '')), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+'), lambda t: length(t) > 2)))"
+
+
+@query(
+    "u5_similar_tokens",
+    f"SELECT i.item_id, w.book_id, {O.r6('p.j')} AS jaccard FROM alike p JOIN ti i USING (x) JOIN tw w USING (y)",
+    *_VIEWS,
+    more=f"""ti AS (SELECT item_id, {_TOKENS.format('title', 'author')} AS x FROM fx_items), tw AS (SELECT book_id, {_TOKENS.format('title', 'author')} AS y FROM fx_works),
+shared AS (SELECT x, y, len(list_intersect(x, y)) AS n FROM (SELECT DISTINCT x FROM ti) CROSS JOIN (SELECT DISTINCT y FROM tw)),
+alike AS (SELECT x, y, n / (len(x) + len(y) - n) AS j FROM shared WHERE n * 100 >= (len(x) + len(y) - n) * 80 AND n > 0)""",
+)
+def u5(spark, d):
+    """Items and works with at least four fifths of the words of title and author in common."""
+    text = F.concat_ws(" ", "title", "author").alias("text")
+    items, works = view(spark, d, "fx_items").select(F.col("item_id").alias("id"), text), view(spark, d, "fx_works").select(F.col("book_id").alias("id"), text)
+    alike = link.similar_token_sets(items, works, 80)
+    return alike.select(F.col("left_id").alias("item_id"), F.col("right_id").alias("book_id"), r6(F.col("jaccard")).alias("jaccard"))
+
+
 @query(
     "c6_c8_typed_similarities",
     f"SELECT item_id, {O.r6('ts.s')} AS title_sim, {O.r6('aus.s')} AS author_sim, {O.r6('ss.s')} AS series_sim FROM both_ JOIN ts USING (t1, t2) JOIN aus USING (a1, a2) JOIN ss USING (s1, t1)",
