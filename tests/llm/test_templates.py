@@ -106,3 +106,9 @@ def test_defined_cases(spark):
     assert texts[3] == "only text & more" and len(texts[4]) == 1_499_999 and texts[6] == "one two\nthree" and texts[None] == "x"
     assert [r.text for r in out.where("page_id = 6").collect()] == ["one two\nthree"] * 2
     assert templates.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("attribute", [" hidden", " HIDDEN", " hidden=''", " class=x hidden", " hidden class=x"])
+def test_hidden_elements_are_no_content(attribute):
+    page = f"<article><p>one</p><p{attribute}>two</p><p title='the hidden way' class=unhidden>three</p></article>"
+    assert templates.article(page, None) == "one\nthree"

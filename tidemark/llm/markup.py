@@ -35,7 +35,7 @@ MAIN_NAMES = set("article articlebody content contents post entry story main mai
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<=\s)(hidden)(?=[\s/]|\Z)""")
+_ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<=\s)(hidden)(?=[\s/]|\Z)""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
@@ -135,9 +135,7 @@ class Page:
                     k -= 1
                 if k and self.elements[stack[k]][1] in closed:
                     pop_to(k)
-            attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") if a[1] else "" for a in _ATTR.finditer(m[3] or m[6] or "")} if (m[3] or m[6]) else {}
-            if re.search(r"\shidden(?=[\s/]|\Z)", m[3] or m[6] or ""):
-                attrs["hidden"] = ""
+            attrs = {(a[1] or a[5]).lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3] or m[6] or "")} if (m[3] or m[6]) else {}
             sign = re.sub(r"\d+", "#", f"{tag} {attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}") if attrs else tag
             parent = stack[-1]
             path = xxhash.xxh64_intdigest(sign.encode("utf-8", "surrogatepass"), self.elements[parent][2]) >> 1
