@@ -1,7 +1,9 @@
 import html as references
 import random
 import re
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,48 @@ def test_classes_share_vectors_and_come_in_order(spark, site):
             assert all(places == sorted(places) for f in firsts if (places := [f[t] for t in order if t in f]))
 
 
+@pytest.mark.parametrize("held", [1, 400, 3000, 1_000_000])
+def test_bounds_lose_no_frequent_token(monkeypatch, held):
+    """However pages are put together, what is sent bounds the pages of every token, in few rows if they are many."""
+    monkeypatch.setattr(templates, "_HELD", held)
+    rng = random.Random(held)
+    rows = [(h, (marked if h % 2 else unmarked)(rng, prose(rng, 4), [prose(rng, rng.randint(8, 40)) for _ in range(rng.randint(0, 3))])) for h in [0] * 83 + [1] * 35 + [2] * 5 + [3] * 3]
+    rng.shuffle(rows)
+    frames = [pd.DataFrame(rows[i : i + 40], columns=["host", "html"]) for i in range(0, len(rows), 40)]
+    sent, on, total = Counter(), Counter(), Counter(h for h, _ in rows)
+    lines = 0
+    for f in templates._present(iter(frames)):
+        lines += len(f)
+        for host, token, above in f.itertuples(index=False):
+            sent[host, token] += above
+    for h, page in rows:
+        on.update((h, t) for t in templates.counted(Page(page), {})[0])
+    for (h, t), pages in on.items():
+        bound = sent[h, templates.ALLOWED] + sent[h, t]
+        assert bound >= pages
+        if pages >= templates.SHARE * total[h]:
+            assert sent[h, t] > 0 and bound >= templates.SHARE * total[h]
+    assert all(sent[h, templates.ALLOWED] < templates.SHARE * n for h, n in total.items())
+    assert held < 1_000_000 or lines < sum(on.values()) / 10
+
+
+def test_pages_send_few_rows_and_lose_no_vector(spark, site):
+    """The wanted tokens hold all that are frequent, and are few beside all tokens; their vectors are whole."""
+    rows, _ = site
+    pages = spark.createDataFrame(rows, COLUMNS).select(templates.host_id(F.col("url")), F.col("page_id").alias("key"), "html").repartition(3)
+    total = pages.groupBy("host").agg(F.count("*").alias("total"))
+    found = {r.host: templates._wanted(bytes(r.wanted)) for r in templates.candidates(pages, total, Scratch(spark)).collect()}
+    on, counts = Counter(), {}
+    for r in pages.collect():
+        whole, some = (dict(zip(ids, zip(times, firsts))) for ids, times, firsts in (templates.counted(Page(r.html), {}), templates.counted(Page(r.html), {}, found[r.host])))
+        assert some == {t: x for t, x in whole.items() if t in found[r.host]}
+        on.update((r.host, t) for t in whole)
+        counts[r.host] = counts.get(r.host, 0) + 1
+    frequent = {k for k, n in on.items() if n >= templates.SHARE * counts[k[0]]}
+    assert frequent and all(t in found[h] for h, t in frequent)
+    assert sum(map(len, found.values())) < len(on) / 2
+
+
 def test_fixed_text_in_an_article_goes_and_passages_of_few_pages_stay(spark):
     rng, rows, want = random.Random(4), [], {}
     passage = prose(rng, 60)

@@ -8,6 +8,7 @@ ids and roles, digits aside) and a label.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import xxhash
@@ -31,6 +32,9 @@ PART_NAMES = set(
 )
 COMMENT_NAMES = set("comment comments commentlist commenter reply replies respond discussion disqus reviews".split())
 MAIN_NAMES = set("article articlebody content contents post entry story main maincontent".split())
+#: Elements whose start leaves an open paragraph open, and those that closing passes over.
+KEEP_P = set("button svg canvas object audio video noscript template select option".split())
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6".split())
 #: An end tag or a start tag closes open elements of these kinds that can't hold it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -61,6 +65,18 @@ def label(tag: str, attrs: dict[str, str]) -> int:
     return BODY if names & MAIN_NAMES else PLAIN
 
 
+def _described(path: int, tag: str, given: str) -> tuple[int, int]:
+    """Path and label of an element, by its parent's path, its name and its attributes as written."""
+    attrs = {(a[1] or a[5]).lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(given)} if given else {}
+    sign = re.sub(r"\d+", "#", f"{tag} {attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}") if attrs else tag
+    return xxhash.xxh64_intdigest(sign.encode("utf-8", "surrogatepass"), path) >> 1, label(tag, attrs)
+
+
+#: Pages of a host repeat their elements; attributes of up to so many characters are remembered.
+_SHORT = 200
+_remembered = lru_cache(maxsize=16384)(_described)
+
+
 class Page:
     """tags: (element, is end) and blocks: (element, words, linked words), in page order as `items`;
     elements: (parent, tag, path, label), the first is the root."""
@@ -68,26 +84,35 @@ class Page:
     def __init__(self, html: str):
         self.elements: list[tuple[int, str, int, int]] = [(0, "", 0, PLAIN)]
         self.items: list[tuple] = []
+        elements, items = self.elements, self.items
         stack, open_ = [0], {}
         text: list[str] = []
         link, linked, at, breaks = 0, 0, 0, 0
+        search = _TAG.search
 
         def flush() -> None:
             nonlocal linked, breaks
             if text:
                 if words := "".join(text).split():
-                    self.items.append((stack[-1], words, min(linked, len(words))))
+                    items.append((stack[-1], words, min(linked, len(words))))
                 text.clear()
             linked = breaks = 0
 
         def pop_to(k: int) -> None:
             while len(stack) > k:
                 e = stack.pop()
-                open_[self.elements[e][1]] -= 1
-                self.items.append((e, None, True))
+                open_[elements[e][1]] -= 1
+                items.append((e, None, True))
+
+        def close(closed: set[str]) -> None:
+            k = len(stack) - 1
+            while k and (name := elements[stack[k]][1]) not in closed and name in TEXTUAL:
+                k -= 1
+            if k and elements[stack[k]][1] in closed:
+                pop_to(k)
 
         while True:
-            m = _TAG.search(html, at)
+            m = search(html, at)
             raw = html[at : m.start()] if m else html[at:]
             if raw:
                 piece = unescape(raw) if "&" in raw else raw
@@ -99,10 +124,11 @@ class Page:
             if not m:
                 break
             at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            end, tag, given, end_, tag_, given_ = m.groups()
+            tag = (tag or tag_ or "").lower()
             if not tag:
                 continue
-            end = bool(m[1] or m[4])
+            end = end or end_
             if tag == "br":
                 # Two in a row part blocks, one is white space.
                 text.append(" ")
@@ -111,8 +137,8 @@ class Page:
                     flush()
                 continue
             if tag in RAW and not end:
-                close = _END[tag].search(html, at)
-                at = close.start() if close else len(html)
+                stop = _END[tag].search(html, at)
+                at = stop.start() if stop else len(html)
                 text.append(" " if tag == "iframe" else "")
                 continue
             if tag == "a":
@@ -125,26 +151,22 @@ class Page:
             if end:
                 if open_.get(tag):
                     k = len(stack) - 1
-                    while self.elements[stack[k]][1] != tag:
+                    while elements[stack[k]][1] != tag:
                         k -= 1
                     pop_to(k)
                 continue
-            for closed in ({"p"} if open_.get("p") and tag not in ("button", "svg", "canvas", "object", "audio", "video", "noscript", "template", "select", "option") else ()), CLOSES.get(tag, ()):
-                k = len(stack) - 1
-                while k and self.elements[stack[k]][1] not in closed and self.elements[stack[k]][1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", *closed):
-                    k -= 1
-                if k and self.elements[stack[k]][1] in closed:
-                    pop_to(k)
-            attrs = {(a[1] or a[5]).lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3] or m[6] or "")} if (m[3] or m[6]) else {}
-            sign = re.sub(r"\d+", "#", f"{tag} {attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}") if attrs else tag
-            parent = stack[-1]
-            path = xxhash.xxh64_intdigest(sign.encode("utf-8", "surrogatepass"), self.elements[parent][2]) >> 1
+            if open_.get("p") and tag not in KEEP_P:
+                close({"p"})
+            if tag in CLOSES:
+                close(CLOSES[tag])
             if tag == "hr":
                 continue
-            self.elements.append((parent, tag, path, label(tag, attrs)))
-            stack.append(len(self.elements) - 1)
+            parent, given = stack[-1], given or given_ or ""
+            path, kind = (_remembered if len(given) <= _SHORT else _described)(elements[parent][2], tag, given)
+            elements.append((parent, tag, path, kind))
+            stack.append(len(elements) - 1)
             open_[tag] = open_.get(tag, 0) + 1
-            self.items.append((stack[-1], None, False))
+            items.append((stack[-1], None, False))
         flush()
 
     def roles(self) -> tuple[list[bool], list[bool], int]:

@@ -14,10 +14,14 @@ make up its template; what is left between them are slots, and the article is wh
 
 A page of a host without template (too few pages, no host) is judged alike by its own elements as slots.
 
-Spread: vectors are added up inside each batch before they are shuffled by (host, token), so a host with a third
-of all pages is split like any other. A token of a template is on SHARE of its host's pages at least, so a
-template has at most 1 / SHARE times the tokens of an average page, and is put together in one task. Templates
-are stored; Spark broadcasts them if their size allows, else it splits a crowded host's pages (adaptive).
+Spread: vectors are only shuffled for tokens that may be on SHARE of their host's pages. For that, pages are first
+read some thousands at a time: among n pages of a host, a token on at most least(n) of them stays unsent, the others
+send by how many pages they are above it. The sum of a host's least(n) and of what a token has sent bounds the pages
+that it is on; a token on SHARE of them is above somewhere and so isn't lost. Vectors of tokens whose bound is high
+enough are added up inside batches and shuffled by (host, token), so a host with a third of all pages is split like
+any other. A token of a template is on SHARE of its host's pages at least, so a template has at most 1 / SHARE times
+the tokens of an average page, and is put together in one task. Templates are stored; Spark broadcasts them if their
+size allows, else it splits a crowded host's pages (adaptive).
 
 Defined cases: null html is an empty page, with text ''; null URL or none with a host: no template; very long
 pages go through whole; repeated rows are pages of their own (an even number of equal ones leaves no mark in the sum, only in the number of pages); no pages: no rows; other columns are left out.
@@ -25,6 +29,7 @@ pages go through whole; repeated rows are pages of their own (an even number of
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -65,9 +70,65 @@ def text_token(path: int, words: list[str]) -> int:
     return word_token(path, "\n" + " ".join(words))
 
 
-def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], list[int], list[int]]:
-    """The page's tokens, how often each occurs and how many tokens came first. known remembers the tokens of
-    words by path."""
+class Tokens(dict):
+    """Tokens of one path's words, remembered."""
+
+    def __init__(self, path: int):
+        self.path = path
+
+    def __missing__(self, word: str) -> int:
+        t = self[word] = word_token(self.path, word)
+        return t
+
+
+#: Tokens of words by path.
+Known = dict[int, Tokens]
+
+
+def _tokens(known: Known, path: int) -> Tokens:
+    mine = known.get(path)
+    if mine is None:
+        mine = known[path] = Tokens(path)
+    return mine
+
+
+def _forget(known: Known) -> None:
+    """Empties what has become large."""
+    if sum(map(len, known.values())) > _KNOWN:
+        known.clear()
+
+
+class Wanted(frozenset):
+    """Tokens of a host that are asked for."""
+
+    def __init__(self, tokens: list[int]):
+        self.paths = {t >> 31 for t in tokens}
+
+
+@lru_cache(maxsize=256)
+def _wanted(blob: bytes) -> Wanted:
+    return Wanted(np.frombuffer(blob, "<i8").tolist())
+
+
+def present(page: Page, known: Known) -> set[int]:
+    """The page's tokens."""
+    found: set[int] = set()
+    words_of: dict[int, set[str]] = {}
+    for e, words, x in page.items:
+        path = page.elements[e][2]
+        if words is None:
+            found.add(tag_token(path, x))
+        else:
+            if len(words) >= FIXED_WORDS:
+                found.add(text_token(path, words))
+            words_of.setdefault(path, set()).update(words)
+    for path, words in words_of.items():
+        found.update(map(_tokens(known, path).__getitem__, words))
+    return found
+
+
+def counted(page: Page, known: Known, wanted: Wanted | None = None) -> tuple[list[int], list[int], list[int]]:
+    """The page's tokens (those wanted, if given), how often each occurs and how many tokens came first."""
     tags: dict[int, list[int]] = {}
     words_of: dict[int, tuple[Counter, list[int]]] = {}
     texts: dict[int, list[int]] = {}
@@ -81,6 +142,8 @@ def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], li
             else:
                 tags[t] = [1, at]
             at += 1
+        elif wanted is not None and path >> 31 not in wanted.paths:
+            at += len(words) + (len(words) >= FIXED_WORDS)
         else:
             if len(words) >= FIXED_WORDS:
                 t = text_token(path, words)
@@ -90,19 +153,59 @@ def counted(page: Page, known: dict[int, dict[str, int]]) -> tuple[list[int], li
             counts.update(words)
             firsts.extend(range(at, at + len(counts) - len(firsts)))
             at += len(words)
-    ids, times, orders = [*tags, *texts], [x[0] for x in (*tags.values(), *texts.values())], [x[1] for x in (*tags.values(), *texts.values())]
-    for path, (counts, firsts) in words_of.items():
-        mine = known.setdefault(path, {})
-        for w in counts:
-            t = mine.get(w)
-            if t is None:
-                t = mine[w] = word_token(path, w)
+    ids, times, orders = [], [], []
+    for t, (n, first) in (*tags.items(), *texts.items()):
+        if wanted is None or t in wanted:
             ids.append(t)
-        times += counts.values()
-        orders += firsts
+            times.append(n)
+            orders.append(first)
+    for path, (counts, firsts) in words_of.items():
+        for t, n, first in zip(map(_tokens(known, path).__getitem__, counts), counts.values(), firsts):
+            if wanted is None or t in wanted:
+                ids.append(t)
+                times.append(n)
+                orders.append(first)
     return ids, times, orders
 
 
+def least(pages: int) -> int:
+    """On how many of so many pages of its host a token may stay unsent: fewer than SHARE of them."""
+    return int(SHARE * (pages - 1))
+
+
+def _above(held: dict[int, tuple[list[int], array]]) -> pd.DataFrame:
+    """Of hosts' pages and what is present there: tokens on more than the least pages, by how many more, and
+    as token ALLOWED the least itself."""
+    hosts, tokens, above = [], [], []
+    for host, (pages, found) in held.items():
+        token, on = np.unique(np.frombuffer(found, np.int64), return_counts=True)
+        on -= (low := least(pages[0]))
+        tokens += [token[on > 0], [ALLOWED]]
+        above += [on[on > 0], [low]]
+        hosts.append(np.full(np.count_nonzero(on > 0) + 1, host, np.int64))
+    return pd.DataFrame({"host": np.concatenate(hosts), "token": np.concatenate(tokens), "above": np.concatenate(above).astype(np.int32)})
+
+
+def _present(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What some pages at a time hold above the least."""
+    known: Known = {}
+    held: dict[int, tuple[list[int], array]] = {}
+    size = 0
+    for f in frames:
+        _forget(known)
+        for host, html in zip(f.host, f.html):
+            pages, tokens = held.setdefault(host, ([0], array("q")))
+            found = present(Page(html), known)
+            pages[0] += 1
+            tokens.extend(found)
+            size += len(found)
+            if size >= _HELD:
+                yield _above(held)
+                held, size = {}, 0
+    if held:
+        yield _above(held)
+
+
 def _added(parts: list[list[np.ndarray]]) -> pd.DataFrame:
     """Rows of pages' tokens added up by (host, token)."""
     host, key, token, times, first = (np.concatenate(x) for x in zip(*parts))
@@ -117,13 +220,14 @@ def _added(parts: list[list[np.ndarray]]) -> pd.DataFrame:
 
 
 def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What pages hold, added up over some pages at a time."""
+    """What pages hold of the wanted tokens, added up over some pages at a time."""
+    known: Known = {}
     parts: list[list[np.ndarray]] = []
     held = 0
     for f in frames:
-        known: dict[int, dict[str, int]] = {}
-        for host, key, html in zip(f.host, f.key, f.html):
-            columns = [np.array(x, np.int64) for x in counted(Page(html), known)]
+        _forget(known)
+        for host, key, html, blob in zip(f.host, f.key, f.html, f.wanted):
+            columns = [np.array(x, np.int64) for x in counted(Page(html), known, _wanted(blob))]
             if n := len(columns[0]):
                 parts.append([np.full(n, host, np.int64), np.full(n, key, np.int64), *columns])
                 held += n
@@ -134,8 +238,10 @@ def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _added(parts)
 
 
-#: Token rows that a worker adds up at once.
-_HELD = 1_000_000
+#: Token rows that a worker adds up at once, and words that it remembers.
+_HELD, _KNOWN = 1_000_000, 400_000
+#: No token; its rows hold what tokens may have without being sent.
+ALLOWED = -1
 _VECTORS = "host long, token long, pages long, sign long, first long"
 #: A template is an array of such rows, as bytes.
 _COLUMNS = ["token", "class", "ordinal", "fixed", "main"]
@@ -169,9 +275,10 @@ def _template(blob: bytes) -> Template:
 Stack = tuple[tuple[int, int], ...]
 
 
-def walk(page: Page, template: Template) -> tuple[list[Stack], set[int], set[int], list[bool]]:
+def walk(page: Page, template: Template, known: Known | None = None) -> tuple[list[Stack], set[int], set[int], list[bool]]:
     """Of each item the open slots, the classes met, those out of order or not nested, and whether an item is
     fixed text only."""
+    known = {} if known is None else known
     slots: list[Stack] = []
     fixed = [False] * len(page.items)
     open_: list[tuple[int, int]] = []
@@ -208,8 +315,8 @@ def walk(page: Page, template: Template) -> tuple[list[Stack], set[int], set[int
             if len(words) >= FIXED_WORDS and (at := template.of.get(text_token(path, words))):
                 meet(at[0], at[1])
                 fixed[i] = at[2]
-            for w in words:
-                if at := template.of.get(word_token(path, w)):
+            for at in map(template.of.get, map(_tokens(known, path).__getitem__, words)):
+                if at:
                     meet(at[0], at[1])
                 elif free is None:
                     free = tuple(open_)
@@ -247,11 +354,13 @@ def main_slots(measures: dict) -> set:
 
 def _evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Added up by host: measures of slots by all that is open there, and (a, b) how many pages a class is on and contradicted by."""
+    known: Known = {}
     for f in frames:
+        _forget(known)
         held: dict[tuple[int, str], list[int]] = {}
         for host, html, blob in zip(f.host, f.html, f.template):
             page = Page(html)
-            slots, seen, bad, _ = walk(page, _template(blob))
+            slots, seen, bad, _ = walk(page, _template(blob), known)
             found = {" ".join(f"{c}:{o}" for c, o in k): x for k, x in _measures(page, slots).items()}
             found |= {f"class {c}": [1, int(c in bad), 0, 0] for c in seen}
             for k, x in found.items():
@@ -261,7 +370,7 @@ def _evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["host", "at", "a", "b", "c", "d"])
 
 
-def article(html: str, template: Template | None) -> str:
+def article(html: str, template: Template | None, known: Known | None = None) -> str:
     """The page's main text."""
     page = Page(html)
     part, within, kind = page.roles()
@@ -270,7 +379,7 @@ def article(html: str, template: Template | None) -> str:
         slots = [page.elements[e][2] for e, _, _ in page.items]
         main = main_slots(_measures(page, slots))
     else:
-        stacks, _, _, fixed = walk(page, template)
+        stacks, _, _, fixed = walk(page, template, known)
         slots = [_innermost(x) for x in stacks]
         main = template.main
         if kind == PLAIN and not any(s in main for s in slots):
@@ -286,11 +395,18 @@ def article(html: str, template: Template | None) -> str:
 
 
 def _articles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: Known = {}
     for f in frames:
-        texts = [article(html, _template(b) if b else None) for html, b in zip(f.html, f.template)]
+        _forget(known)
+        texts = [article(html, _template(b) if b else None, known) for html, b in zip(f.html, f.template)]
         yield pd.DataFrame({"page_id": f.page_id, "url": f.url, "text": texts, "templated": [bool(b) for b in f.template]})
 
 
+def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One host's wanted tokens."""
+    return pd.DataFrame({"host": [key[0]], "wanted": [np.sort(rows.token.to_numpy(np.int64)).astype("<i8").tobytes()]})
+
+
 def _classes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Classes of one host's frequent tokens, each in the order of its tokens' first places."""
     rows = rows.assign(mean=rows["first"] / rows.pages).sort_values(["mean", "token"], kind="stable")
@@ -322,19 +438,34 @@ def _judged(key: tuple, known: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataF
 _TEMPLATES = "host long, template binary"
 
 
+def candidates(asked: DataFrame, total: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, wanted) of the hosts (total: their pages) with tokens that may be on SHARE of their pages, stored. asked: host, html."""
+    above = scratch.store(asked.select("host", "html").mapInPandas(_present, "host long, token long, above int"), texts=True)
+    # Stored, so that Spark knows its size: the bounds, far more rows, then meet it without another shuffle.
+    allowed = scratch.store(above.where(F.col("token") == ALLOWED).groupBy("host").agg(F.sum("above").alias("allowed")).join(total, "host"))
+    bounds = above.where(F.col("token") != ALLOWED).groupBy("host", "token").agg(F.sum("above").alias("above")).join(allowed, "host")
+    bound = F.col("above") + F.col("allowed")
+    kept = bounds.where((bound >= SUPPORT) & (bound >= SHARE * F.col("total"))).select("host", "token")
+    out = scratch.store(kept.groupBy("host").applyInPandas(_packed, "host long, wanted binary"))
+    scratch.drop(above, allowed)
+    return out
+
+
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, template) of the hosts that have one, stored. pages: host (a number; null: none), key, html."""
     hosted = pages.where("host is not null")
     total = scratch.store(hosted.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= SUPPORT))
     asked = hosted.join(total.select("host"), "host", "left_semi").select("host", "key", "html")
+    wanted = candidates(asked, total, scratch)
     sums = [F.sum("pages").alias("pages"), F.bit_xor("sign").alias("sign"), F.sum("first").alias("first")]
-    vectors = asked.mapInPandas(_vectors, _VECTORS).groupBy("host", "token").agg(*sums).where(F.col("pages") >= SUPPORT)
+    met = asked.join(wanted, "host").select("host", "key", "html", "wanted")
+    vectors = met.mapInPandas(_vectors, _VECTORS).groupBy("host", "token").agg(*sums).where(F.col("pages") >= SUPPORT)
     frequent = vectors.join(total, "host").where(F.col("pages") >= SHARE * F.col("total"))
     classes = scratch.store(frequent.groupBy("host").applyInPandas(_classes, _TEMPLATES), texts=True)
     met = asked.join(classes, "host").select("host", "html", "template")
     evidence = met.mapInPandas(_evidence, "host long, at string, a long, b long, c long, d long").groupBy("host", "at").agg(*[F.sum(c).alias(c) for c in "abcd"])
     judged = scratch.store(classes.groupBy("host").cogroup(evidence.groupBy("host")).applyInPandas(lambda k, x, y: _judged(k, x, y.drop(columns="host")), _TEMPLATES), texts=True)
-    scratch.drop(total, classes)
+    scratch.drop(total, wanted, classes)
     return judged
 
 
