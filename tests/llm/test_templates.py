@@ -71,37 +71,39 @@ def test_classes_share_vectors_and_come_in_order(spark, site):
             assert all(places == sorted(places) for f in firsts if (places := [f[t] for t in order if t in f]))
 
 
-@pytest.mark.parametrize("held", [1, 400, 3000, 1_000_000])
-def test_bounds_lose_no_frequent_token(monkeypatch, held):
-    """However pages are put together, what is sent bounds the pages of every token, in few rows if they are many."""
+@pytest.mark.parametrize("held, part", [(1, 10_000), (400, 10_000), (400, 20), (3000, 7), (1_000_000, 10_000)])
+def test_bounds_lose_no_frequent_token(monkeypatch, held, part):
+    """However pages are put together and tokens parted, what is sent bounds the pages of every token, and it is little if pages are many."""
     monkeypatch.setattr(templates, "_HELD", held)
+    monkeypatch.setattr(templates, "_PART", part)
     rng = random.Random(held)
     rows = [(h, (marked if h % 2 else unmarked)(rng, prose(rng, 4), [prose(rng, rng.randint(8, 40)) for _ in range(rng.randint(0, 3))])) for h in [0] * 83 + [1] * 35 + [2] * 5 + [3] * 3]
     rng.shuffle(rows)
-    frames = [pd.DataFrame(rows[i : i + 40], columns=["host", "html"]) for i in range(0, len(rows), 40)]
-    sent, on, total = Counter(), Counter(), Counter(h for h, _ in rows)
-    lines = 0
-    for f in templates._present(iter(frames)):
-        lines += len(f)
-        for host, token, above in f.itertuples(index=False):
-            sent[host, token] += above
+    on, total = Counter(), Counter(h for h, _ in rows)
     for h, page in rows:
         on.update((h, t) for t in templates.counted(Page(page), {})[0])
-    for (h, t), pages in on.items():
-        bound = sent[h, templates.ALLOWED] + sent[h, t]
-        assert bound >= pages
-        if pages >= templates.SHARE * total[h]:
-            assert sent[h, t] > 0 and bound >= templates.SHARE * total[h]
-    assert all(sent[h, templates.ALLOWED] < templates.SHARE * n for h, n in total.items())
-    assert held < 1_000_000 or lines < sum(on.values()) / 10
+    pages = pd.DataFrame([(h, total[h], page) for h, page in rows], columns=["host", "total", "html"])
+    sent = pd.concat(templates._present(pages[i : i + 40] for i in range(0, len(pages), 40)))
+    found = {h: set() for h in total}
+    for (h, i, n), group in sent.groupby(["host", "part", "total"]):
+        bounds = Counter()
+        for tokens, above in zip(group.tokens, group.above):
+            bounds.update(dict(zip(templates._whole(tokens).tolist(), memoryview(above).cast("i").tolist())))
+        assert group.least.sum() < templates.SHARE * n
+        assert all(x + group.least.sum() >= on[h, t] for t, x in bounds.items())
+        for blob in templates._bounded((h, i, n), group).wanted:
+            found[h] |= templates._wanted(blob)
+    assert sent.part.nunique() == 1 + max(total.values()) // part
+    assert all(t in found[h] for (h, t), n in on.items() if n >= max(templates.SUPPORT, templates.SHARE * total[h]))
+    assert held < 1_000_000 or sent.tokens.map(len).sum() / 8 < sum(on.values()) / 10
 
 
 def test_pages_send_few_rows_and_lose_no_vector(spark, site):
     """The wanted tokens hold all that are frequent, and are few beside all tokens; their vectors are whole."""
     rows, _ = site
     pages = spark.createDataFrame(rows, COLUMNS).select(templates.host_id(F.col("url")), F.col("page_id").alias("key"), "html").repartition(3)
-    total = pages.groupBy("host").agg(F.count("*").alias("total"))
-    found = {r.host: templates._wanted(bytes(r.wanted)) for r in templates.candidates(pages, total, Scratch(spark)).collect()}
+    asked = pages.join(pages.groupBy("host").agg(F.count("*").alias("total")), "host")
+    found = {r.host: templates._wanted(bytes(r.wanted)) for r in templates.candidates(asked, Scratch(spark)).collect()}
     on, counts = Counter(), {}
     for r in pages.collect():
         whole, some = (dict(zip(ids, zip(times, firsts))) for ids, times, firsts in (templates.counted(Page(r.html), {}), templates.counted(Page(r.html), {}, found[r.host])))

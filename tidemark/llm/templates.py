@@ -17,7 +17,8 @@ A page of a host without template (too few pages, no host) is judged alike by it
 Spread: vectors are only shuffled for tokens that may be on SHARE of their host's pages. For that, pages are first
 read some thousands at a time: among n pages of a host, a token on at most least(n) of them stays unsent, the others
 send by how many pages they are above it. The sum of a host's least(n) and of what a token has sent bounds the pages
-that it is on; a token on SHARE of them is above somewhere and so isn't lost. Vectors of tokens whose bound is high
+that it is on; a token on SHARE of them is above somewhere and so isn't lost. This is added up by host and, if that
+has over _PART pages, part of its tokens, so that a group holds what _PART pages can send at most. Vectors of tokens whose bound is high
 enough are added up inside batches and shuffled by (host, token), so a host with a third of all pages is split like
 any other. A token of a template is on SHARE of its host's pages at least, so a template has at most 1 / SHARE times
 the tokens of an average page, and is put together in one task. Templates are stored; Spark broadcasts them if their
@@ -173,37 +174,64 @@ def least(pages: int) -> int:
     return int(SHARE * (pages - 1))
 
 
-def _above(held: dict[int, tuple[list[int], array]]) -> pd.DataFrame:
-    """Of hosts' pages and what is present there: tokens on more than the least pages, by how many more, and
-    as token ALLOWED the least itself."""
-    hosts, tokens, above = [], [], []
+def _halves(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as bytes, their high halves first, which tokens of one path share: they compress well."""
+    return (tokens >> 32).astype("<i4").tobytes() + (tokens & 0xFFFFFFFF).astype("<u4").tobytes()
+
+
+def _whole(blob: bytes) -> np.ndarray:
+    n = len(blob) // 8
+    return np.frombuffer(blob, "<i4", n).astype(np.int64) << 32 | np.frombuffer(blob, "<u4", n, 4 * n).astype(np.int64)
+
+
+#: Pages of a host and the tokens that are present there, page by page.
+Held = dict[int, tuple[list[int], array]]
+
+
+def _above(held: Held, totals: dict[int, int]) -> pd.DataFrame:
+    """By host, and part of its tokens, the least of these pages, and tokens on more of them and on how many more."""
+    out = []
     for host, (pages, found) in held.items():
-        token, on = np.unique(np.frombuffer(found, np.int64), return_counts=True)
-        on -= (low := least(pages[0]))
-        tokens += [token[on > 0], [ALLOWED]]
-        above += [on[on > 0], [low]]
-        hosts.append(np.full(np.count_nonzero(on > 0) + 1, host, np.int64))
-    return pd.DataFrame({"host": np.concatenate(hosts), "token": np.concatenate(tokens), "above": np.concatenate(above).astype(np.int32)})
+        low, parts = least(pages[0]), 1 + totals[host] // _PART
+        tokens, on = np.unique(np.array(found, np.int64), return_counts=True)
+        tokens, on = tokens[on > low], (on[on > low] - low).astype("<i4")
+        part = (_mixed(tokens.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        tokens, on, ends = tokens[order], on[order], np.searchsorted(part[order], np.arange(parts + 1))
+        out += [(host, i, totals[host], low, _halves(tokens[x:y]), on[x:y].tobytes()) for i, (x, y) in enumerate(zip(ends[:-1], ends[1:]))]
+    return pd.DataFrame(out, columns=["host", "part", "total", "least", "tokens", "above"])
 
 
 def _present(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What some pages at a time hold above the least."""
     known: Known = {}
-    held: dict[int, tuple[list[int], array]] = {}
+    held: Held = {}
+    totals: dict[int, int] = {}
     size = 0
     for f in frames:
         _forget(known)
-        for host, html in zip(f.host, f.html):
+        for host, total, html in zip(f.host, f.total, f.html):
+            totals[host] = total
             pages, tokens = held.setdefault(host, ([0], array("q")))
             found = present(Page(html), known)
             pages[0] += 1
             tokens.extend(found)
             size += len(found)
             if size >= _HELD:
-                yield _above(held)
-                held, size = {}, 0
+                yield _above(held, totals)
+                held, totals, size = {}, {}, 0
     if held:
-        yield _above(held)
+        yield _above(held, totals)
+
+
+def _bounded(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of a host's tokens those that may be on SHARE of its pages."""
+    host, _, total = key
+    tokens, where = np.unique(np.concatenate([_whole(x) for x in rows.tokens]), return_inverse=True)
+    above = np.bincount(where, np.concatenate([np.frombuffer(x, "<i4") for x in rows.above]), len(tokens)).astype(np.int64)
+    bound = above + rows.least.sum()
+    kept = tokens[(bound >= SUPPORT) & (bound >= SHARE * total)]
+    return pd.DataFrame({"host": [host], "wanted": [kept.astype("<i8").tobytes()]} if len(kept) else {"host": [], "wanted": []})
 
 
 def _added(parts: list[list[np.ndarray]]) -> pd.DataFrame:
@@ -240,8 +268,8 @@ def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: Token rows that a worker adds up at once, and words that it remembers.
 _HELD, _KNOWN = 1_000_000, 400_000
-#: No token; its rows hold what tokens may have without being sent.
-ALLOWED = -1
+#: The tokens of a host are bounded in a part for so many pages.
+_PART = 10_000
 _VECTORS = "host long, token long, pages long, sign long, first long"
 #: A template is an array of such rows, as bytes.
 _COLUMNS = ["token", "class", "ordinal", "fixed", "main"]
@@ -403,8 +431,8 @@ def _articles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's wanted tokens."""
-    return pd.DataFrame({"host": [key[0]], "wanted": [np.sort(rows.token.to_numpy(np.int64)).astype("<i8").tobytes()]})
+    """One host's wanted tokens, of all parts."""
+    return pd.DataFrame({"host": [key[0]], "wanted": [b"".join(rows.wanted)]})
 
 
 def _classes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -438,25 +466,19 @@ def _judged(key: tuple, known: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataF
 _TEMPLATES = "host long, template binary"
 
 
-def candidates(asked: DataFrame, total: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, wanted) of the hosts (total: their pages) with tokens that may be on SHARE of their pages, stored. asked: host, html."""
-    above = scratch.store(asked.select("host", "html").mapInPandas(_present, "host long, token long, above int"), texts=True)
-    # Stored, so that Spark knows its size: the bounds, far more rows, then meet it without another shuffle.
-    allowed = scratch.store(above.where(F.col("token") == ALLOWED).groupBy("host").agg(F.sum("above").alias("allowed")).join(total, "host"))
-    bounds = above.where(F.col("token") != ALLOWED).groupBy("host", "token").agg(F.sum("above").alias("above")).join(allowed, "host")
-    bound = F.col("above") + F.col("allowed")
-    kept = bounds.where((bound >= SUPPORT) & (bound >= SHARE * F.col("total"))).select("host", "token")
-    out = scratch.store(kept.groupBy("host").applyInPandas(_packed, "host long, wanted binary"))
-    scratch.drop(above, allowed)
-    return out
+def candidates(asked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, wanted) of the hosts with tokens that may be on SHARE of their pages, stored. asked: host, total (its pages), html."""
+    above = asked.select("host", "total", "html").mapInPandas(_present, "host long, part int, total long, least int, tokens binary, above binary")
+    wanted = above.groupBy("host", "part", "total").applyInPandas(_bounded, "host long, wanted binary")
+    return scratch.store(wanted.groupBy("host").applyInPandas(_packed, "host long, wanted binary"), texts=True)
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, template) of the hosts that have one, stored. pages: host (a number; null: none), key, html."""
     hosted = pages.where("host is not null")
     total = scratch.store(hosted.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= SUPPORT))
-    asked = hosted.join(total.select("host"), "host", "left_semi").select("host", "key", "html")
-    wanted = candidates(asked, total, scratch)
+    asked = hosted.join(total, "host").select("host", "total", "key", "html")
+    wanted = candidates(asked, scratch)
     sums = [F.sum("pages").alias("pages"), F.bit_xor("sign").alias("sign"), F.sum("first").alias("first")]
     met = asked.join(wanted, "host").select("host", "key", "html", "wanted")
     vectors = met.mapInPandas(_vectors, _VECTORS).groupBy("host", "token").agg(*sums).where(F.col("pages") >= SUPPORT)
