@@ -17,10 +17,14 @@ def score_editions(editions: DataFrame, ctx: S.EditionContext, profile: S.Profil
     return staged.withColumn("edition_score", S.edition_score({k: F.col(f"f_{k}") for k in factors}, profile, F.col("users_count")))
 
 
+def has_length() -> Column:
+    """An edition has seconds or pages."""
+    return S.has(F.col("audio_seconds")) | S.has(F.col("pages"))
+
+
 def usable_editions(editions: DataFrame, require_length: bool = False) -> DataFrame:
     """Editions that have an id and a work and, where the profile asks for it, a length."""
-    length = S.has(F.col("audio_seconds")) | S.has(F.col("pages"))
-    return editions.where(F.col("edition_id").isNotNull() & F.col("book_id").isNotNull() & (length | F.lit(not require_length)))
+    return editions.where(F.col("edition_id").isNotNull() & F.col("book_id").isNotNull() & (has_length() | F.lit(not require_length)))
 
 
 def best_editions(scored: DataFrame, group: str, profile: S.Profile, current: str | None = None) -> DataFrame:
