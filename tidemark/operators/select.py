@@ -137,10 +137,10 @@ def preferred_editions(scored: DataFrame, editions: DataFrame) -> DataFrame:
 
 
 def resolve_additions(matches: DataFrame, editions: DataFrame, wanted_format: Column, duration: Column) -> DataFrame:
-    """matches (item_id, book_id, edition_id): the matched edition if it can hold progress, else the best
-    sibling that can; null if there is none. Siblings are read only for the works that need them."""
-    cap = capable_editions(editions).select(F.col("edition_id").alias("_c"))
-    j = matches.join(cap, F.col("edition_id") == F.col("_c"), "left")
+    """matches (item_id, book_id, edition_id): the matched edition of that work if it can hold progress, else
+    the best sibling that can; null if there is none. Siblings are read only for the works that need them."""
+    cap = capable_editions(editions).select("book_id", "edition_id", F.lit(True).alias("_c")).distinct()
+    j = matches.join(cap, ["book_id", "edition_id"], "left")
     fine = j.where("_c is not null").select("item_id", "book_id", "edition_id")
     need = j.where("_c is null").select("item_id", "book_id")
     siblings = editions.join(need.select("book_id").distinct(), "book_id", "left_semi")
