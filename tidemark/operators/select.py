@@ -73,10 +73,11 @@ def progress_capable(editions: DataFrame, group: str, wanted_format: Column, dur
     return cap.groupBy(group).agg(F.min_by(F.struct("edition_id", "unit", "total"), order).alias("e")).select(group, "e.*")
 
 
-def distinct_editions(first: DataFrame, second: DataFrame, keep: str = "first") -> DataFrame:
-    """Union of two edition lists, one row per id: from the first or from the second list."""
+def distinct_editions(first: DataFrame, second: DataFrame, keep: str = "first", key: tuple[str, ...] = ("edition_id",)) -> DataFrame:
+    """Union of two edition lists, one row per key: from the first or from the second list. Where works
+    number their editions by themselves, the key is ("book_id", "edition_id")."""
     both = first.withColumn("_s", F.lit(0)).unionByName(second.withColumn("_s", F.lit(1)))
-    rank = Window.partitionBy("edition_id").orderBy(F.col("_s") if keep == "first" else F.desc("_s"))
+    rank = Window.partitionBy(*key).orderBy(F.col("_s") if keep == "first" else F.desc("_s"))
     return both.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_s", "_r")
 
 
