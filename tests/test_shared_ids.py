@@ -28,7 +28,7 @@ def plain(v):
     return None if v is None or v != v else round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["f6_usable_editions", "w9_addition_editions", "p22_state_keys", "u2_distinct_editions", "p12_contributors", "j10_remembered", "j3_j5_library_tiers"])
+@pytest.mark.parametrize("name", ["f6_usable_editions", "w9_addition_editions", "p22_state_keys", "u2_distinct_editions", "p12_contributors", "j10_remembered", "j3_j5_library_tiers", "j6_match_counts"])
 def test_an_id_alone_is_no_edition(spark, tables, name):
     con = duckdb.connect()
     for t in ("part", "lineitem", "orders", "events"):
