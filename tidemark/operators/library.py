@@ -1,9 +1,12 @@
 """A user's library: lookups by edition and work, links to what the user owns, what is remembered of them.
 
-A library holds one row per owned edition: user_id, book_id, edition_id, asin."""
+A library holds one row per owned edition: user_id, book_id, edition_id, asin. It may be given as a Library,
+whose rows are only made for what is asked."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,26 @@ from ..functions import text as T
 from . import link, select, state
 
 
+@dataclass(frozen=True)
+class Library:
+    """A library whose users own the same editions of a work: works (user_id, book_id), a row for each work that
+    a user has, and editions (book_id, edition_id, asin). Its rows, works joined with editions, are many
+    more than those of both."""
+
+    works: DataFrame
+    editions: DataFrame
+
+
+def _owned(asked: DataFrame, library: DataFrame | Library) -> DataFrame:
+    """asked (user_id, book_id) joined left with what its users own of its works, as _own and _asin."""
+    edition = (F.col("edition_id").alias("_own"), F.col("asin").alias("_asin"))
+    if isinstance(library, DataFrame):
+        return asked.join(library.select("user_id", "book_id", *edition), ["user_id", "book_id"], "left")
+    held = asked.join(library.works.select("user_id", "book_id", F.lit(True).alias("_held")), ["user_id", "book_id"], "left")
+    own = library.editions.select(F.col("book_id").alias("_w"), *edition)
+    return held.join(own, F.col("_held") & (F.col("book_id") == F.col("_w")), "left").drop("_held", "_w")
+
+
 def editions_of_works(asked: DataFrame, editions: DataFrame, works: DataFrame | None = None) -> DataFrame:
     """All editions of the works in asked (book_id); works adds title and author."""
     out = editions.join(asked.select("book_id").distinct(), "book_id", "left_semi")
@@ -25,29 +48,34 @@ def works_of_editions(asked: DataFrame, editions: DataFrame, works: DataFrame) -
     return found.join(works.select("book_id", "title", "author"), "book_id", "left")
 
 
-def find_owned(asked: DataFrame, library: DataFrame, by: str = "edition_id") -> DataFrame:
+def find_owned(asked: DataFrame, library: DataFrame | Library, by: str = "edition_id") -> DataFrame:
     """Library rows of the user in asked (user_id and text or number in column `by`); ids are compared as
     text."""
     wanted = asked.select("user_id", F.trim(F.col(by).cast("string")).alias("_id")).distinct()
+    if isinstance(library, Library) and by == "edition_id":
+        editions = library.editions.withColumn("_id", F.col(by).cast("string"))
+        return library.works.join(wanted.join(editions, "_id"), ["user_id", "book_id"]).drop("_id")
+    if isinstance(library, Library):
+        works = library.works.withColumn("_id", F.col(by).cast("string"))
+        return works.join(wanted, ["user_id", "_id"], "left_semi").drop("_id").join(library.editions, "book_id")
     rows = library.withColumn("_id", F.col(by).cast("string"))
     return rows.join(wanted, ["user_id", "_id"], "left_semi").drop("_id")
 
 
-def owned_links(links: DataFrame, library: DataFrame) -> DataFrame:
+def owned_links(links: DataFrame, library: DataFrame | Library) -> DataFrame:
     """links (user_id, item_id, match_type, asin, edition_id, book_id) with the edition that progress goes to
     and tier. library: the user owns that very edition. cross_edition: the user owns another edition of the
     work, for an ASIN the one with this ASIN before the first one. search: the work isn't owned and the
     catalogue's edition stands."""
-    own = library.select("user_id", "book_id", F.col("edition_id").alias("_own"), F.col("asin").alias("_asin"))
     rank = F.when(F.col("_own") == F.col("edition_id"), 0).when((F.col("match_type") == "asin") & (F.upper("_asin") == F.col("asin")), 1).otherwise(2)
     best = F.min_by(F.struct("_own", rank.alias("rank")), F.when(F.col("_own").isNotNull(), F.struct(rank, "_own"))).alias("b")
     keys = ["user_id", "item_id", "match_type", "edition_id", "book_id"]
-    met = links.join(own, ["user_id", "book_id"], "left").groupBy(*keys).agg(best)
+    met = _owned(links, library).groupBy(*keys).agg(best)
     tier = F.when(F.col("b").isNull(), "search").when(F.col("b.rank") == 0, "library").otherwise("cross_edition")
     return met.select("user_id", "item_id", "match_type", "book_id", F.coalesce("b._own", "edition_id").alias("edition_id"), tier.alias("tier"))
 
 
-def title_author_matches(items: DataFrame, works: DataFrame, editions: DataFrame, library: DataFrame, threshold: float = 70.0) -> DataFrame:
+def title_author_matches(items: DataFrame, works: DataFrame, editions: DataFrame, library: DataFrame | Library, threshold: float = 70.0) -> DataFrame:
     """items (user_id, item_id, title, author, fmt, duration_s) linked to works by title and author: the best
     work at or over the threshold, of it the best edition for the item's format and length, and then what the
     user owns: that edition, else another one of the work, else it is to be added."""
@@ -62,7 +90,7 @@ def title_author_matches(items: DataFrame, works: DataFrame, editions: DataFrame
     return owned.join(links.select("item_id", F.col("match_score").alias("score"), "edition_score"), "item_id").select("user_id", "item_id", "book_id", "edition_id", kind.alias("match_type"), "tier", "score", "edition_score")
 
 
-def find_matches(items: DataFrame, editions: DataFrame, works: DataFrame, library: DataFrame) -> DataFrame:
+def find_matches(items: DataFrame, editions: DataFrame, works: DataFrame, library: DataFrame | Library) -> DataFrame:
     """user_id, item_id, match_type, book_id, edition_id, tier: identifiers first; titles and authors are
     compared only for the items that these leave."""
     by_id = link.link_by_identifier(items, link.identifier_index(editions))
